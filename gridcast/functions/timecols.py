@@ -33,18 +33,19 @@ def step_micros(step: timedelta) -> int:
 
 def seconds(ts: Column | str) -> Column:
     """Whole seconds since 1970-01-01 00:00 on the wall clock."""
-    ts = _col(ts)
-    return (
-        F.unix_date(F.to_date(ts)).cast("bigint") * 86_400
-        + F.hour(ts) * 3_600
-        + F.minute(ts) * 60
-        + F.second(ts)
-    )
+    if isinstance(ts, str):
+        return F.expr(f"unix_date(to_date(`{ts}`)) * 86400L + hour(`{ts}`) * 3600 + minute(`{ts}`) * 60 + second(`{ts}`)")
+    day = F.unix_date(F.to_date(ts)).cast("bigint") * 86_400
+    return day + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970-01-01 00:00 on the wall clock."""
-    ts = _col(ts)
+    if isinstance(ts, str):
+        return F.expr(
+            f"(unix_date(to_date(`{ts}`)) * 86400L + hour(`{ts}`) * 3600 + minute(`{ts}`) * 60) * 1000000"
+            f" + cast(extract(SECOND FROM `{ts}`) * 1000000 AS bigint)"
+        )
     whole = F.unix_date(F.to_date(ts)).cast("bigint") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
     return whole * SECOND + (F.extract(F.lit("SECOND"), ts) * SECOND).cast("bigint")
 
@@ -55,14 +56,16 @@ def at_micros(us: Column) -> Column:
 
 
 def grid_pos(ts: Column | str, step: timedelta, origin_us: Column | int = 0) -> Column:
-    """Number of the grid cell a time falls in, counted from `origin_us`."""
+    """Number of the grid cell a time falls in, counted from `origin_us`.
+
+    Micros of any date up to 2110 stay below 2**52, so the quotient keeps its
+    whole part.
+    """
     us = step_micros(step)
     if us % SECOND == 0 and isinstance(origin_us, int) and origin_us % SECOND == 0:
-        shifted, width = seconds(ts) - origin_us // SECOND, us // SECOND
-    else:
-        shifted, width = micros(ts) - origin_us, us
-    width_col = F.lit(width).cast("bigint")
-    return F.call_function("div", shifted - F.pmod(shifted, width_col), width_col)
+        elapsed = seconds(ts) - origin_us // SECOND if origin_us else seconds(ts)
+        return F.floor(elapsed / (us // SECOND))
+    return F.floor((micros(ts) - origin_us) / us)
 
 
 def pos_start(pos: Column, step: timedelta, origin_us: Column | int = 0) -> Column:

@@ -18,18 +18,26 @@ BROADCAST_ROWS = 500_000
 
 
 def attach(
-    rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS
+    rows: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    known_rows: int | None = None,
+    limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join a table of one row per series without moving the rows, if its size allows.
 
-    The small table is computed once, frozen and counted. Up to `limit` rows it
-    is broadcast, so a series with most of the rows stays spread out; a larger
-    one is joined by shuffle, where skewed partitions are split.
+    Unless its size is known, the small table is computed once, frozen and
+    counted. Up to `limit` rows it is broadcast, so a series with most of the
+    rows stays spread out; a larger one is joined by shuffle, where skewed
+    partitions are split.
     """
-    fixed = frozen(small)
-    if fixed.count() <= limit:
-        fixed = F.broadcast(fixed)
-    return rows.join(fixed, list(keys), how)
+    if known_rows is None:
+        small = frozen(small)
+        known_rows = small.count()
+    if known_rows <= limit:
+        small = F.broadcast(small)
+    return rows.join(small, list(keys), how)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

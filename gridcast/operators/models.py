@@ -97,7 +97,8 @@ def fit_early_stop(
     rows: DataFrame, regressor: GBTRegressor, is_validation: str, tolerance: float = 0.01
 ) -> Model:
     """Boost until the error on the validation rows stops falling; keep the best length."""
-    return regressor.copy().setValidationIndicatorCol(is_validation).setValidationTol(tolerance).fit(rows)
+    params = {regressor.validationIndicatorCol: is_validation, regressor.validationTol: tolerance}
+    return regressor.fit(rows, params)
 
 
 def grid_search(

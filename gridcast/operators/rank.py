@@ -29,6 +29,7 @@ def rank_cutoff(
     ranks: DataFrame,
     order: Sequence[tuple[str, Column, Sequence[int]]],
     keys: Sequence[str],
+    series: int | None = None,
 ) -> DataFrame:
     """The order values that sit at a 1-based rank of each series.
 
@@ -37,16 +38,18 @@ def rank_cutoff(
     bucket, the bucket that holds the rank is kept, and the next, finer width
     looks inside it only. No row is shuffled, and a running sum never sees more
     counts than one bucket has finer buckets. The result has keys and a column
-    `<name>_cut` for each order value.
+    `<name>_cut` for each order value. `series`, the number of rows of `ranks`,
+    bounds every table that is joined back; it is counted if not given.
     """
     rows = df.select(*keys, *[c.alias(n) for n, c, _ in order])
     state = ranks.select(*keys, F.col("rank").cast("bigint").alias("_rest")).where("_rest > 0")
+    series = state.count() if series is None else series
     done: list[str] = []
     running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     for name, _, widths in order:
         inside = None
         for width in widths:
-            found = attach(rows, state, keys, "inner")
+            found = attach(rows, state, keys, "inner", known_rows=series)
             for d in done:
                 found = found.where(F.col(d) == F.col(f"{d}_cut"))
             if inside is not None:
@@ -73,7 +76,9 @@ def _up_to_rank(
     flag: str,
 ) -> DataFrame:
     """Mark the rows at or before a rank in the lexicographic order of `order`."""
-    marked = attach(df, rank_cutoff(df, ranks, order, keys), keys)
+    ranks = frozen(ranks)
+    series = ranks.count()
+    marked = attach(df, rank_cutoff(df, ranks, order, keys, series), keys, known_rows=series)
     name, value, _ = order[-1]
     inside = value <= F.col(f"{name}_cut")
     for name, value, _ in reversed(order[:-1]):

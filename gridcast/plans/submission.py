@@ -20,8 +20,13 @@ def hourly_submission(
 
 
 def keyless_submission(
-    lines: DataFrame, value: str = "value", size: int = 4, keys: Sequence[str] = ("source_file",), limit: float | None = 0.01
+    lines: DataFrame,
+    value: str = "value",
+    size: int = 4,
+    keys: Sequence[str] = ("source_file",),
+    limit: float | None = 0.01,
+    strict: bool = True,
 ) -> DataFrame:
     """The same for numbered lines without a time: blocks of `size` lines."""
     kept = lines if limit is None else threshold_to_zero(lines, [value], limit)
-    return block_sum(kept, value, size, "pos", keys)
+    return block_sum(kept, value, size, "pos", keys, strict)

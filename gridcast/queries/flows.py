@@ -1 +1,164 @@
 from __future__ import annotations
+
+from datetime import timedelta
+
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
+
+from gridcast.operators.columns import fill_missing, pivot, unpivot
+from gridcast.operators.grid import bucket_sum, resample_mean
+from gridcast.plans.analog_features import analog_features
+from gridcast.plans.dataset import QUARTER, build_dataset, sensor_grid
+from gridcast.plans.many_series import forecast_many, forecast_validation, segment_values
+from gridcast.plans.submission import hourly_submission, keyless_submission
+from gridcast.plans.training import prepare, train_and_score
+from gridcast.queries.cleaning import DAYS
+from gridcast.queries.registry import GRID_15, daily_users, query, readings, readings_two, rnd, tidy
+from gridcast.queries.sequences import _FILLED, _PROFILE, _profile, hourly
+from gridcast.session import scratch_path
+from gridcast.sources.csv import number_across_files, read_ordered_numbers, write_ordered_numbers
+
+
+def _dataset(spark, sf, anchor="2023-01-01 00:00:00"):
+    rows = readings_two(spark, sf)
+    output = bucket_sum(rows, QUARTER, ["value"]).withColumnRenamed("value", "result")
+    return build_dataset(rows, output, ["value", "load"], ["load"], anchor=anchor)
+
+
+@query(
+    "dataset_build",
+    f"""WITH {GRID_15}, o AS (SELECT event_type series_id, time_bucket(INTERVAL '15 minutes', ts) ts, sum(value) s FROM events GROUP BY 1, 2),
+d AS (SELECT series_id, ts, v, k - lag(k) OVER (PARTITION BY series_id ORDER BY ts) AS k,
+  (epoch_us(ts) - epoch_us(TIMESTAMP '2023-01-01')) / 86400000000.0 AS days FROM r)
+SELECT d.series_id, d.ts, {rnd('coalesce(o.s, 0)', 4)} AS result, {rnd('coalesce(d.v, 0)', 4)} AS value, {rnd('coalesce(d.k, 0)', 4)} AS load,
+  day(d.ts)::BIGINT AS date, month(d.ts)::BIGINT AS month, hour(d.ts)::BIGINT AS hour,
+  {rnd('CASE WHEN days > 365 THEN days - 365 ELSE days END', 4)} AS difference
+FROM d LEFT JOIN o ON o.series_id = d.series_id AND o.ts = d.ts""",
+)
+def dataset_build(spark, sf):
+    return tidy(_dataset(spark, sf), 4)
+
+
+@query(
+    "dataset_per_source",
+    f"""WITH e AS (SELECT event_type series_id, CAST(ts AS DATE) AS f, time_bucket(INTERVAL '15 minutes', ts) ts, value,
+  CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
+lim AS (SELECT series_id, f, min(ts) lo, max(ts) hi FROM e GROUP BY 1, 2),
+g AS (SELECT series_id, f, unnest(generate_series(lo, hi, INTERVAL '15 minutes')) ts FROM lim),
+b AS (SELECT series_id, ts, avg(value) v, avg(k) k FROM e GROUP BY 1, 2)
+SELECT g.series_id, g.ts, {rnd('b.v', 4)} AS value, {rnd('b.k - lag(b.k) OVER (PARTITION BY g.series_id, g.f ORDER BY g.ts)', 4)} AS load
+FROM g LEFT JOIN b ON b.series_id = g.series_id AND b.ts = g.ts""",
+)
+def dataset_per_source(spark, sf):
+    rows = readings_two(spark, sf).withColumn("source_file", F.to_date("ts").cast("string"))
+    return tidy(sensor_grid(rows, ["value", "load"], ["load"], per_source=True), 4)
+
+
+@query(
+    "submission_hours",
+    f"""WITH {GRID_15} SELECT series_id, date_trunc('hour', ts)::TIMESTAMP AS ts,
+  {rnd('sum(CASE WHEN v - 20 < 0.01 THEN 0 ELSE v - 20 END)', 4)} AS prediction FROM r GROUP BY 1, 2""",
+)
+def submission_hours(spark, sf):
+    grid = resample_mean(readings(spark, sf), QUARTER, ["value"])
+    return tidy(hourly_submission(grid.select("series_id", "ts", (F.col("value") - 20).alias("prediction"))), 4)
+
+
+@query(
+    "submission_keyless",
+    f"""WITH h AS (SELECT time_bucket(INTERVAL '15 minutes', ts) ts, avg(value) - 20 v FROM events GROUP BY 1),
+n AS (SELECT row_number() OVER (ORDER BY ts) AS pos, CASE WHEN v < 0.01 THEN 0 ELSE v END AS v FROM h)
+SELECT ((pos - 1) // 4)::BIGINT AS block, {rnd('sum(v)', 4)} AS value FROM n GROUP BY 1""",
+)
+def submission_keyless(spark, sf):
+    path = scratch_path(spark, "forecast")
+    rows = readings(spark, sf).groupBy(F.window("ts", "15 minutes").start.alias("ts"))
+    write_ordered_numbers(rows.agg((F.avg("value") - 20).alias("value")), path, "value", ["ts"])
+    lines = number_across_files(read_ordered_numbers(spark, path))
+    return tidy(keyless_submission(lines, keys=[], strict=False), 4)
+
+
+@query(
+    "analog_features_day",
+    f"""WITH {_FILLED}, {_PROFILE}, x AS (SELECT f.series_id, CAST(f.ts AS DATE) AS day,
+  (((value - v0) / v1 - (tv - v0) / v1) ** 2 + ((load - k0) / k1 - (tk - k0) / k1) ** 2) / 2 AS d FROM f JOIN t ON t.hour = hour(f.ts), s),
+win AS (SELECT series_id, day FROM x GROUP BY 1, 2 HAVING count(*) = 24 ORDER BY avg(d), day, series_id LIMIT 1),
+ev AS (SELECT event_type series_id, ts, time_bucket(INTERVAL '15 minutes', ts) bin, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k
+  FROM events JOIN win ON win.series_id = event_type AND win.day = CAST(ts AS DATE)),
+span AS (SELECT series_id, min(bin) lo, max(bin) hi FROM ev GROUP BY 1),
+gg AS (SELECT series_id, unnest(generate_series(lo, hi, INTERVAL '15 minutes')) ts FROM span),
+bb AS (SELECT series_id, bin AS ts, avg(value) v, avg(k) k FROM ev GROUP BY 1, 2),
+dd AS (SELECT gg.series_id, gg.ts, v, k - lag(k) OVER (PARTITION BY gg.series_id ORDER BY gg.ts) AS dk FROM gg LEFT JOIN bb ON bb.series_id = gg.series_id AND bb.ts = gg.ts),
+sm AS (SELECT series_id, ts, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0 AS difference FROM ev)
+SELECT dd.series_id, dd.ts, {rnd('coalesce(v, 0)', 4)} AS value, {rnd('coalesce(CASE WHEN dk < 0 THEN 0 ELSE dk END, 0)', 4)} AS load,
+  0.0::DOUBLE AS result, 31::BIGINT AS date, 7::BIGINT AS month, hour(dd.ts)::BIGINT AS hour, {rnd('coalesce(sm.difference, 0)', 4)} AS difference
+FROM dd LEFT JOIN sm ON sm.series_id = dd.series_id AND sm.ts = dd.ts""",
+)
+def analog_features_day(spark, sf):
+    rows = readings_two(spark, sf)
+    out = analog_features(
+        hourly(spark, sf), rows, _profile(spark, sf), ["value", "load"], ["value"], ["load"], date=31, month=7
+    )
+    return tidy(out, 4)
+
+
+HOLDOUTS = [(f"2024-01-{d} 00:00:00", f"2024-01-{d + 1} 00:00:00") for d in (10, 20, 28)]
+
+
+@query("holdout_score")
+def holdout_score(spark, sf):
+    features = ["value", "load", "date", "month", "hour", "difference"]
+    rows = prepare(_dataset(spark, sf), features, clipped=["load"])
+    model = GBTRegressor(maxIter=5, maxDepth=4, seed=42)
+    _, _, errors = train_and_score(rows, features, HOLDOUTS, model, capacity=7028)
+    return tidy(errors, 4)
+
+
+def _wide_to_daily(spark, sf):
+    """Page-by-day matrix back to rows, missing days as 0."""
+    wide = pivot(daily_users(spark, sf).withColumn("ts", F.col("ts").cast("string")), "series_id", DAYS)
+    return fill_missing(unpivot(wide, "series_id"), ["value"])
+
+
+_WIDE = f"""d AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS ts, sum(value) AS value FROM events GROUP BY 1, 2),
+g AS (SELECT series_id, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE ts FROM (SELECT DISTINCT series_id FROM d) u),
+z AS (SELECT g.series_id, g.ts, coalesce(d.value, 0) AS value FROM g LEFT JOIN d USING (series_id, ts)),
+bounds(segment, part, lo, hi) AS (VALUES
+  ('train_history', 'train', DATE '2024-01-01', DATE '2024-01-16'), ('train_target', 'train', DATE '2024-01-17', DATE '2024-01-23'),
+  ('val_history', 'val', DATE '2024-01-08', DATE '2024-01-23'), ('val_target', 'val', DATE '2024-01-24', DATE '2024-01-30')),
+w AS (SELECT series_id, ts, value, segment, part FROM z JOIN bounds ON ts BETWEEN lo AND hi),
+m AS (SELECT series_id, part, avg(ln(1 + value)) AS a FROM w WHERE segment LIKE '%_history' GROUP BY 1, 2)"""
+
+
+@query(
+    "many_series_encode",
+    f"""WITH {_WIDE} SELECT series_id, ts, segment, part, {rnd('value', 4)} AS value, {rnd('a', 4)} AS log_mean,
+  {rnd('ln(1 + value) - a', 4)} AS scaled FROM w JOIN m USING (series_id, part)""",
+)
+def many_series_encode(spark, sf):
+    return tidy(segment_values(_wide_to_daily(spark, sf), 7), 4)
+
+
+_STEP = "0.1::DOUBLE + h[-1] * 0.3141592653::DOUBLE + h[-7] * 0.2718281828::DOUBLE"
+
+
+@query(
+    "many_series_recursion",
+    f"""WITH RECURSIVE {_WIDE},
+s AS (SELECT series_id, a, list(ln(1 + value) - a ORDER BY ts) AS h FROM w JOIN m USING (series_id, part)
+  WHERE segment = 'val_history' GROUP BY 1, 2),
+x(series_id, a, h, step) AS (SELECT series_id, a, h, 0 FROM s UNION ALL
+  SELECT series_id, a, list_append(h, {_STEP}), step + 1 FROM x WHERE step < 7)
+SELECT series_id, step::BIGINT AS step, (DATE '2024-01-23' + INTERVAL 1 DAY * step)::TIMESTAMP AS ts,
+  {rnd('exp(h[-1] + a) - 1', 3)} AS prediction FROM x WHERE step > 0""",
+)
+def many_series_recursion(spark, sf):
+    segments = segment_values(_wide_to_daily(spark, sf), 7)
+    ahead = forecast_validation(segments, [1, 7], [0.3141592653, 0.2718281828], 0.1, 7)
+    return tidy(ahead.drop("log_mean"), 3)
+
+
+@query("many_series_forecast")
+def many_series_forecast(spark, sf):
+    _, scored, _ = forecast_many(_wide_to_daily(spark, sf), 7, [1, 2, 7])
+    return tidy(scored.drop("log_mean"), 3)

@@ -1 +1,123 @@
 from __future__ import annotations
+
+from datetime import timedelta
+
+from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import functions as F
+
+from gridcast.functions.timecols import calendar, decimal_hour
+from gridcast.operators import models as M
+from gridcast.operators.columns import fill_missing
+from gridcast.operators.forecast import lag_features, latest_state, recursive_model
+from gridcast.operators.grid import resample_mean
+from gridcast.operators.knn import knn_regress
+from gridcast.operators.rank import chrono_split
+from gridcast.operators.sampling import hash_fold, hash_split
+from gridcast.operators.scale import fit_standard, standardise
+from gridcast.operators.stats import error_metrics, fold_summary
+from gridcast.plans.training import fit_forecaster
+from gridcast.queries.registry import query, readings, rnd, table, tidy
+from gridcast.queries.sampling import _number
+
+HOUR = timedelta(hours=1)
+FEATURES = ["time", "day", "load"]
+
+
+def _samples(spark, sf):
+    """`events` as regression samples: value by time of day, day and load."""
+    return table(spark, sf, "events").select(
+        "event_id",
+        F.col("value").alias("label_value"),
+        decimal_hour("ts").alias("time"),
+        F.dayofmonth("ts").cast("double").alias("day"),
+        F.get_json_object("props", "$.k").cast("double").alias("load"),
+    )
+
+
+def _cv(spark, sf, models):
+    rows = hash_split(_samples(spark, sf), 0.33, ["event_id"]).where("not is_test")
+    scores = M.cross_validate(hash_fold(rows, 10, ["event_id"]), models, FEATURES, "label_value")
+    return tidy(fold_summary(scores, ["rmse", "r2", "mae"]), 4)
+
+
+@query("cart_cv")
+def cart_cv(spark, sf):
+    return _cv(spark, sf, {"cart": M.cart(maxDepth=5)})
+
+
+@query("gbt_cv")
+def gbt_cv(spark, sf):
+    return _cv(spark, sf, {"gbt": M.boosted_trees(maxIter=3, maxDepth=3)})
+
+
+@query("linear_cv")
+def linear_cv(spark, sf):
+    return _cv(spark, sf, {"linear": M.linear(), "lasso": M.lasso(), "elastic_net": M.elastic_net()})
+
+
+_X = """x AS (SELECT event_id, value AS y, hour(ts) + minute(ts) / 15.0::DOUBLE * 0.25 AS a, day(ts)::DOUBLE AS b,
+  CAST(json_extract(props, '$.k') AS DOUBLE) AS c, """ + f"{_number('event_id', 42)} / 4294967296.0 < 0.33 AS is_test FROM events)"
+
+
+@query(
+    "knn_regress",
+    f"""WITH {_X}, f AS (SELECT {', '.join(f'round(avg({v}), 6) m{v}, round(stddev_pop({v}), 6) s{v}' for v in 'abc')} FROM x WHERE NOT is_test),
+z AS (SELECT event_id, y, is_test, {', '.join(f'({v} - m{v}) / s{v} AS {v}' for v in 'abc')} FROM x, f),
+p AS (SELECT q.event_id, t.event_id AS id, t.y, (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) AS d
+  FROM z q, z t WHERE q.is_test AND NOT t.is_test),
+n AS (SELECT event_id, unnest(min_by(y, (d, id), 5)) AS y FROM p GROUP BY 1)
+SELECT event_id, {rnd('avg(y)', 4)} AS prediction FROM n GROUP BY 1""",
+)
+def knn_query(spark, sf):
+    rows = hash_split(_samples(spark, sf), 0.33, ["event_id"])
+    train = rows.where("not is_test")
+    fit = fit_standard(train, FEATURES)
+    fit = fit.select(*[F.round(c, 6).alias(c) for c in fit.columns])
+    scaled = standardise(rows, fit, FEATURES)
+    near = knn_regress(
+        scaled.where("not is_test"), scaled.where("is_test"), FEATURES, "label_value", "event_id", tile_rows=512
+    )
+    return tidy(near.select("event_id", "prediction"), 4)
+
+
+def _lagged(spark, sf):
+    hourly = fill_missing(resample_mean(readings(spark, sf), HOUR, ["value"]), ["value"])
+    lagged = lag_features(hourly, "value", [1, 2, 24], HOUR)
+    return hourly, lagged.withColumns(calendar("ts"))
+
+
+LAG_FEATURES = ["lag_1", "lag_2", "lag_24", "date", "hour"]
+
+
+@query("gbt_early_stop")
+def gbt_early_stop(spark, sf):
+    _, rows = _lagged(spark, sf)
+    model = fit_forecaster(rows, LAG_FEATURES, "value", GBTRegressor(maxIter=10, maxDepth=3, seed=42))
+    scored = model.transform(M.xy_split(rows, LAG_FEATURES, "value", ["series_id"]))
+    metrics = error_metrics(scored, "label", "prediction", ["series_id"])
+    return tidy(metrics.withColumn("trees", F.lit(model.getNumTrees)), 4)
+
+
+@query("grid_search")
+def grid_search(spark, sf):
+    _, rows = _lagged(spark, sf)
+    split = M.xy_split(chrono_split(rows, 0.8), LAG_FEATURES, "value", ["is_train"])
+    tree = M.cart()
+    grid = ParamGridBuilder().addGrid(tree.maxDepth, [2, 4, 6]).build()
+    records, _ = M.grid_search(split.where("is_train"), split.where("not is_train"), tree, grid)
+    trials = spark.createDataFrame(records, "trial int, maxDepth int, mse double")
+    return tidy(trials.withColumn("is_best", F.col("mse") == min(r["mse"] for r in records)), 4)
+
+
+@query("forecast_gbt")
+def forecast_gbt(spark, sf):
+    hourly, rows = _lagged(spark, sf)
+    model = fit_forecaster(rows, LAG_FEATURES, "value", GBTRegressor(maxIter=5, maxDepth=3, seed=42))
+    state = latest_state(hourly, "value", 24, HOUR)
+
+    def features(now):
+        lags = {f"lag_{k}": F.element_at("state", -k) for k in (1, 2, 24)}
+        return M.xy_split(now.withColumns({**lags, **calendar("ts")}), LAG_FEATURES, None, ["series_id", "last_ts", "state"])
+
+    return tidy(recursive_model(state, model, features, 24, HOUR), 4)
