@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from gridcast.session import frozen
+
 MAX_SPLITS = 256
 
 
@@ -128,7 +130,7 @@ def knn_regress(
     """
     features = list(features)
     same = Window.partitionBy(*features).orderBy(key)
-    points = (
+    points = frozen(
         train.select(*features, F.col(key).cast("bigint").alias(key), F.col(label).cast("double").alias(label))
         .withColumn("_r", F.row_number().over(same))
         .where(F.col("_r") <= k)
@@ -147,7 +149,7 @@ def knn_regress(
 
     asked = queries.select(*features).distinct()
     pair_schema = StructType([*asked.schema.fields, StructField("_tile", IntegerType(), False)])
-    pairs = asked.mapInPandas(_near_tiles(tiles, sizes, low, high, k, features), pair_schema)
+    pairs = frozen(asked.mapInPandas(_near_tiles(tiles, sizes, low, high, k, features), pair_schema))
 
     # a tile with many queries is shared out; its training rows go to every share
     load = {r["_tile"]: r["n"] for r in pairs.groupBy("_tile").agg(F.count("*").alias("n")).collect()}

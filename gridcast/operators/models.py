@@ -96,9 +96,16 @@ def cross_validate(
 def fit_early_stop(
     rows: DataFrame, regressor: GBTRegressor, is_validation: str, tolerance: float = 0.01
 ) -> Model:
-    """Boost until the error on the validation rows stops falling; keep the best length."""
+    """Boost until the error on the validation rows stops falling; keep the best length.
+
+    Every round reads the rows again, so they are kept while the fit runs.
+    """
     params = {regressor.validationIndicatorCol: is_validation, regressor.validationTol: tolerance}
-    return regressor.fit(rows, params)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return regressor.fit(rows, params)
+    finally:
+        rows.unpersist()
 
 
 def grid_search(

@@ -9,18 +9,13 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.operators.columns import (
-    cast_columns,
-    clip_negatives,
-    drop_holdout,
-    fill_missing,
-    slice_inclusive,
-    union_all,
-)
+from gridcast.functions.timecols import ntz
+from gridcast.operators.columns import cast_columns, clip_negatives, drop_holdout, fill_missing
 from gridcast.operators.models import fit_early_stop, xy_split
 from gridcast.operators.rank import chrono_split
 from gridcast.operators.scale import fit_minmax, minmax, minmax_inverse
 from gridcast.operators.stats import error_metrics
+from gridcast.session import frozen
 
 
 def prepare(
@@ -63,16 +58,16 @@ def train_and_score(
     """Model, hold-out predictions in the data's unit, and their errors per hold-out.
 
     The scaler is fitted on all rows. Hold-out ranges (start, end) leave
-    training with open ends and are scored with both ends closed.
+    training with open ends and are scored with both ends closed. The rows are
+    read by the scaler, the fit and the scoring: pass a stored table.
     """
     columns = [label, *features]
-    fit = fit_minmax(prepared, columns)
+    fit = frozen(fit_minmax(prepared, columns))
     model = fit_forecaster(
         minmax(drop_holdout(prepared, holdouts), fit, columns), features, label, regressor, keys=keys
     )
-    days = union_all(
-        *[slice_inclusive(prepared, a, b).withColumn("holdout", F.lit(a)) for a, b in holdouts]
-    )
+    scored_in = [F.when(F.col("ts").between(ntz(a), ntz(b)), F.lit(a)) for a, b in holdouts]
+    days = prepared.withColumn("holdout", F.explode(F.array_compact(F.array(*scored_in))))
     kept = ["holdout", *keys, "ts", "truth"]
     scaled_days = xy_split(minmax(days.withColumn("truth", F.col(label)), fit, columns), features, label, kept)
     predicted = minmax_inverse(model.transform(scaled_days), fit, {"prediction": label}).select(*kept, "prediction")

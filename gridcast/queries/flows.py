@@ -15,7 +15,7 @@ from gridcast.plans.training import prepare, train_and_score
 from gridcast.queries.cleaning import DAYS
 from gridcast.queries.registry import GRID_15, daily_users, query, readings, readings_two, rnd, tidy
 from gridcast.queries.sequences import _FILLED, _PROFILE, _profile, hourly
-from gridcast.session import scratch_path
+from gridcast.session import frozen, scratch_path
 from gridcast.sources.csv import number_across_files, read_ordered_numbers, write_ordered_numbers
 
 
@@ -108,7 +108,7 @@ HOLDOUTS = [(f"2024-01-{d} 00:00:00", f"2024-01-{d + 1} 00:00:00") for d in (10,
 @query("holdout_score")
 def holdout_score(spark, sf):
     features = ["value", "load", "date", "month", "hour", "difference"]
-    rows = prepare(_dataset(spark, sf), features, clipped=["load"])
+    rows = frozen(prepare(_dataset(spark, sf), features, clipped=["load"]))
     model = GBTRegressor(maxIter=5, maxDepth=4, seed=42)
     _, _, errors = train_and_score(rows, features, HOLDOUTS, model, capacity=7028)
     return tidy(errors, 4)
