@@ -1,9 +1,10 @@
 """k-nearest-neighbour regression, exact, without comparing all rows with all rows.
 
-Training rows are cut into tiles by quantiles of two features. Each tile keeps
-its bounding box and size. A query's k neighbours lie within the distance in
-which whole boxes already hold k rows, so only tiles nearer than that are
-searched. A tile with many queries is searched by several tasks.
+Training rows are cut into tiles by nested quantiles, denser places into more of
+them; each tile keeps its bounding box and size. A query is first answered from its home tile. Its k
+neighbours can be no farther than that answer, so only the other tiles whose
+boxes come nearer are searched as well. A tile with many queries is searched by
+several tasks.
 """
 
 from __future__ import annotations
@@ -14,74 +15,122 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType
 
 from gridcast.session import frozen
 
-MAX_SPLITS = 256
+MAX_TILES = 65_536
+SPLIT_FEATURES = 4
+QUANTILES = 256
 
 
-def _quantiles(df: DataFrame, column: str, splits: int, by: Sequence[str] = ()) -> DataFrame:
-    probabilities = [i / splits for i in range(1, splits)]
-    return df.groupBy(*by).agg(F.percentile_approx(column, probabilities, 10 * splits).alias("cuts"))
+def _tile_udf(levels: Sequence[dict[int, tuple[int, np.ndarray]]]):
+    """Number of the tile that holds a point.
 
-
-def _tile_udf(first: np.ndarray, second: dict[int, np.ndarray], splits: int):
-    """Tile number of a point: slab by the first feature, place in the slab by the second."""
+    Each level cuts the tiles of the level before along its own feature: a tile
+    maps to the number of its first part and the places of the cuts.
+    """
 
     @F.pandas_udf(IntegerType())
-    def tile(a: pd.Series, b: pd.Series) -> pd.Series:
-        slab = np.searchsorted(first, a.to_numpy(), side="left")
-        place = np.zeros(len(slab), dtype=np.int64)
-        values = b.to_numpy()
-        for s in np.unique(slab):
-            at = slab == s
-            place[at] = np.searchsorted(second.get(int(s), first[:0]), values[at], side="left")
-        return pd.Series(slab * splits + place, dtype="int32")
+    def tile(*columns: pd.Series) -> pd.Series:
+        at = np.zeros(len(columns[0]), dtype="int32")
+        for level, column in zip(levels, columns):
+            values, parts = column.to_numpy(), np.zeros_like(at)
+            for g in np.unique(at):
+                first, cuts = level.get(int(g), (0, values[:0]))
+                here = at == g
+                parts[here] = first + np.searchsorted(cuts, values[here], side="left")
+            at = parts
+        return pd.Series(at)
 
     return tile
 
 
-def _tiled(train: DataFrame, features: Sequence[str], splits: int) -> DataFrame:
-    if splits <= 1:
+def _tiled(train: DataFrame, features: Sequence[str], key: str, rows: int, tile_rows: int) -> DataFrame:
+    """Add `_tile`, with about `tile_rows` rows in each tile and MAX_TILES at most."""
+    if rows <= tile_rows:
         return train.withColumn("_tile", F.lit(0))
-    a, b = features[0], features[min(1, len(features) - 1)]
-    first = np.array(sorted(set(_quantiles(train, a, splits).first()["cuts"])))
-    slab = _tile_udf(first, {}, 1)(F.col(a), F.col(b))
-    slabs = train.select(slab.alias("_slab"), b)
-    # one row per slab, at most MAX_SPLITS of them
-    second = {
-        r["_slab"]: np.array(sorted(set(r["cuts"]))) for r in _quantiles(slabs, b, splits, ["_slab"]).collect()
-    }
-    return train.withColumn("_tile", _tile_udf(first, second, splits)(F.col(a), F.col(b)))
-
-
-def _near_tiles(tiles: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, features: Sequence[str]):
-    """For batches of query points, the tiles that can hold one of their k neighbours."""
-    wanted = min(k, int(sizes.sum()))
-    block = max(1, 2_000_000 // len(tiles))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tile_rows = max(tile_rows, rows / MAX_TILES)
+    split = list(features[:SPLIT_FEATURES])
+    steps = [i / QUANTILES for i in range(1, QUANTILES)]
+    levels: list[dict[int, tuple[int, np.ndarray]]] = []
+    for depth, feature in enumerate(split):
+        so_far = train.select(_tile_udf(levels)(*split).alias("_g"), F.col(feature).alias("_x"))
+        found = so_far.groupBy("_g").agg(
+            F.count("*").alias("n"), F.percentile_approx("_x", steps, 4 * QUANTILES).alias("q")
+        )
+        level, first = {}, 0
+        for r in found.collect():
+            parts = min(QUANTILES, max(1, round((r["n"] / tile_rows) ** (1 / (len(split) - depth)))))
+            cuts = np.array(sorted({r["q"][QUANTILES * j // parts - 1] for j in range(1, parts)}), dtype=float)
+            level[r["_g"]] = first, cuts
+            first += len(cuts) + 1
+        levels.append(level)
+    tiled = train.withColumn("_tile", _tile_udf(levels)(*split))
+
+    # rows that agree in every split feature share a tile however many they are
+    large, free = [], sum(len(cuts) + 1 for _, cuts in levels[-1].values())
+    for r in tiled.groupBy("_tile").agg(F.count("*").alias("n")).where(F.col("n") > 8 * tile_rows).collect():
+        parts = int(-(-r["n"] // (4 * tile_rows)))
+        large.append((r["_tile"], free, parts))
+        free += parts
+    if not large:
+        return tiled
+    spread = F.broadcast(train.sparkSession.createDataFrame(large, "_tile int, _first int, _parts int"))
+    part = (F.col("_first") + F.pmod(F.xxhash64(key), F.col("_parts"))).cast("int")
+    return (
+        tiled.join(spread, "_tile", "left")
+        .withColumn("_tile", F.coalesce(part, "_tile"))
+        .drop("_first", "_parts")
+    )
+
+
+class _Boxes:
+    """Bounding boxes and sizes of the tiles, which are bounded in number."""
+
+    def __init__(self, rows: Sequence, features: Sequence[str], k: int):
+        self.features = list(features)
+        self.tiles = np.array([r["_tile"] for r in rows], dtype="int32")
+        self.sizes = np.array([r["_n"] for r in rows])
+        self.low = np.array([[r[f"_lo{i}"] for i in range(len(features))] for r in rows])
+        self.high = np.array([[r[f"_hi{i}"] for i in range(len(features))] for r in rows])
+        self.wanted = min(k, int(self.sizes.sum()))
+
+    def blocks(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+        """Query points with the squared distance to the near and far end of every box."""
+        size = max(1, 2_000_000 // len(self.tiles))
         for pdf in batches:
-            for start in range(0, len(pdf), block):
-                part = pdf.iloc[start : start + block]
-                near = np.zeros((len(part), len(tiles)))
+            for start in range(0, len(pdf), size):
+                part = pdf.iloc[start : start + size]
+                near = np.zeros((len(part), len(self.tiles)))
                 far = np.zeros_like(near)
-                for i, f in enumerate(features):
+                for i, f in enumerate(self.features):
                     x = part[f].to_numpy()[:, None]
-                    gap = np.maximum(np.maximum(low[:, i] - x, x - high[:, i]), 0.0)
-                    reach = np.maximum(np.abs(x - low[:, i]), np.abs(x - high[:, i]))
+                    gap = np.maximum(np.maximum(self.low[:, i] - x, x - self.high[:, i]), 0.0)
+                    reach = np.maximum(np.abs(x - self.low[:, i]), np.abs(x - self.high[:, i]))
                     near += gap * gap
                     far += reach * reach
-                order = np.argsort(far, axis=1)
-                held = np.cumsum(sizes[order], axis=1)
-                enough = np.argmax(held >= wanted, axis=1)
-                rows = np.arange(len(part))
-                limit = far[rows, order[rows, enough]] * (1 + 1e-9)
-                q, t = np.nonzero(near <= limit[:, None])
-                yield part.iloc[q].assign(_tile=tiles[t].astype("int32"))
+                yield part, near, far
 
-    return search
+    def home(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, near, _ in self.blocks(batches):
+            yield part[self.features].assign(_tile=self.tiles[np.argmin(near, axis=1)])
+
+    def others(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All tiles but the home one that may hold a neighbour.
+
+        `_reach` is the k-th squared distance found so far. Where that is
+        missing, the limit is the distance in which whole boxes hold k rows.
+        """
+        for part, near, far in self.blocks(batches):
+            order = np.argsort(far, axis=1)
+            enough = np.argmax(np.cumsum(self.sizes[order], axis=1) >= self.wanted, axis=1)
+            rows = np.arange(len(part))
+            limit = np.fmin(far[rows, order[rows, enough]], part["_reach"].to_numpy(dtype=float))
+            near_enough = near <= (limit * (1 + 1e-9))[:, None]
+            near_enough[rows, np.argmin(near, axis=1)] = False
+            q, t = np.nonzero(near_enough)
+            yield part[self.features].iloc[q].assign(_tile=self.tiles[t])
 
 
 def _nearest(features: Sequence[str], label: str, key: str, k: int):
@@ -110,6 +159,35 @@ def _nearest(features: Sequence[str], label: str, key: str, k: int):
     return search
 
 
+def _search(
+    pairs: DataFrame,
+    tiled: DataFrame,
+    features: list[str],
+    label: str,
+    key: str,
+    k: int,
+    queries_per_task: int,
+) -> DataFrame:
+    """The k nearest of each (query point, tile) pair: features, _d, _id, _y."""
+    load = {r["_tile"]: r["n"] for r in pairs.groupBy("_tile").agg(F.count("*").alias("n")).collect()}
+    busy = [(t, -(-n // queries_per_task)) for t, n in load.items() if n > queries_per_task]
+    if busy:
+        # a tile with many queries is shared out; its training rows go to every share
+        counts = F.broadcast(pairs.sparkSession.createDataFrame(busy, "_tile int, _shares bigint"))
+        shares = F.coalesce("_shares", F.lit(1))
+        pairs = pairs.join(counts, "_tile", "left").withColumn("_share", F.pmod(F.xxhash64(*features), shares))
+        tiled = tiled.join(counts, "_tile", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+        pairs, tiled = pairs.drop("_shares"), tiled.drop("_shares")
+    else:
+        pairs, tiled = pairs.withColumn("_share", F.lit(0)), tiled.withColumn("_share", F.lit(0))
+    columns = ", ".join(f"`{f}` double" for f in features)
+    return (
+        pairs.groupBy("_tile", "_share")
+        .cogroup(tiled.groupBy("_tile", "_share"))
+        .applyInPandas(_nearest(features, label, key, k), f"{columns}, _d double, _id bigint, _y double")
+    )
+
+
 def knn_regress(
     train: DataFrame,
     queries: DataFrame,
@@ -136,46 +214,20 @@ def knn_regress(
         .where(F.col("_r") <= k)
         .drop("_r")
     )
-    splits = int(min(MAX_SPLITS, max(1, round((points.count() / tile_rows) ** 0.5))))
-    tiled = _tiled(points, features, splits)
+    tiled = frozen(_tiled(points, features, key, points.count(), tile_rows))
     extent = [f(c).alias(f"_{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max))]
     boxes = tiled.groupBy("_tile").agg(F.count("*").alias("_n"), *extent).collect()
     if not boxes:
         return queries.withColumn(name, F.lit(None).cast("double"))
-    tiles = np.array([b["_tile"] for b in boxes])
-    sizes = np.array([b["_n"] for b in boxes])
-    low = np.array([[b[f"_lo{i}"] for i in range(len(features))] for b in boxes])
-    high = np.array([[b[f"_hi{i}"] for i in range(len(features))] for b in boxes])
+    tiles = _Boxes(boxes, features, k)
 
     asked = queries.select(*features).distinct()
-    pair_schema = StructType([*asked.schema.fields, StructField("_tile", IntegerType(), False)])
-    pairs = frozen(asked.mapInPandas(_near_tiles(tiles, sizes, low, high, k, features), pair_schema))
-
-    # a tile with many queries is shared out; its training rows go to every share
-    load = {r["_tile"]: r["n"] for r in pairs.groupBy("_tile").agg(F.count("*").alias("n")).collect()}
-    shares = {t: -(-n // queries_per_task) for t, n in load.items()}
-    busy = {t: s for t, s in shares.items() if s > 1}
-    if busy:
-        spark = queries.sparkSession
-        counts = spark.createDataFrame(
-            list(busy.items()),
-            StructType([StructField("_tile", IntegerType()), StructField("_shares", LongType())]),
-        )
-        parts = lambda df: df.join(F.broadcast(counts), "_tile", "left").withColumn(
-            "_shares", F.coalesce("_shares", F.lit(1))
-        )
-        pairs = parts(pairs).withColumn("_share", F.pmod(F.xxhash64(*features), "_shares")).drop("_shares")
-        tiled = parts(tiled).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
-    else:
-        pairs, tiled = pairs.withColumn("_share", F.lit(0)), tiled.withColumn("_share", F.lit(0))
-
-    on = ["_tile", "_share"]
     columns = ", ".join(f"`{f}` double" for f in features)
-    found = (
-        pairs.groupBy(*on)
-        .cogroup(tiled.groupBy(*on))
-        .applyInPandas(_nearest(features, label, key, k), f"{columns}, _d double, _id bigint, _y double")
-    )
+    search = lambda pairs: _search(frozen(pairs), tiled, features, label, key, k, queries_per_task)
+    at_home = frozen(search(asked.mapInPandas(tiles.home, f"{columns}, _tile int")))
+    reach = at_home.groupBy(*features).agg(F.when(F.count("*") >= k, F.max("_d")).alias("_reach"))
+    nearby = search(reach.mapInPandas(tiles.others, f"{columns}, _tile int"))
+    found = at_home.unionByName(nearby)
     nearest = Window.partitionBy(*features).orderBy("_d", "_id")
     mean = (
         found.withColumn("_r", F.row_number().over(nearest))

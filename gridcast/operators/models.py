@@ -15,6 +15,7 @@ from pyspark.storagelevel import StorageLevel
 
 from gridcast.operators.columns import union_all
 from gridcast.operators.stats import error_metrics, mse
+from gridcast.session import frozen
 
 
 def xy_split(df: DataFrame, features: Sequence[str], label: str | None, keep: Sequence[str] = ()) -> DataFrame:
@@ -65,32 +66,32 @@ def cross_validate(
     """RMSE, R² and MAE of every model on every fold: model, fold, n, mse, rmse, mae, r2.
 
     Folds come from an integer column, so they do not depend on how the rows
-    are partitioned. All fold predictions are scored in one aggregation.
+    are partitioned. The models go through the folds side by side, as choices
+    of one pipeline, and all fold predictions are scored in one aggregation.
     """
     rows = df.select(fold, *features, F.col(label).cast("double").alias("label"))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    scored = []
+    choice = Pipeline(stages=[])
     try:
-        for name, estimator in models.items():
-            fitted = CrossValidator(
-                estimator=scaled(estimator, features),
-                estimatorParamMaps=[{}],
-                evaluator=RegressionEvaluator(metricName="rmse"),
-                numFolds=folds,
-                foldCol=fold,
-                collectSubModels=True,
-                parallelism=parallelism,
-            ).fit(rows)
-            for i, (model,) in enumerate(fitted.subModels):
-                held_out = df.select(fold, *features, F.col(label).cast("double").alias("label"))
-                scored.append(
-                    model.transform(held_out.where(F.col(fold) == i)).select(
-                        F.lit(name).alias("model"), fold, "label", "prediction"
-                    )
-                )
+        fitted = CrossValidator(
+            estimator=choice,
+            estimatorParamMaps=[{choice.stages: scaled(m, features).getStages()} for m in models.values()],
+            evaluator=RegressionEvaluator(metricName="rmse"),
+            numFolds=folds,
+            foldCol=fold,
+            collectSubModels=True,
+            parallelism=parallelism,
+        ).fit(rows)
+        scored = [
+            model.transform(rows.where(F.col(fold) == i)).select(
+                F.lit(name).alias("model"), fold, "label", "prediction"
+            )
+            for i, in_fold in enumerate(fitted.subModels)
+            for name, model in zip(models, in_fold)
+        ]
+        return frozen(error_metrics(union_all(*scored), "label", "prediction", by=["model", fold]))
     finally:
         rows.unpersist()
-    return error_metrics(union_all(*scored), "label", "prediction", by=["model", fold])
 
 
 def fit_early_stop(

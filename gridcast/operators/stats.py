@@ -18,36 +18,49 @@ def _long(df: DataFrame, groups: Sequence[str], rows: list[Column]) -> DataFrame
     return df.select(*groups, F.inline(F.array(*rows)))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson r over the rows where both are present; null for a constant side."""
-    both = a.isNotNull() & b.isNotNull()
-    u, v = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))
+def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
+    """Pearson r of each pair over the rows where both are present: (by…, pair, r).
+
+    Every row is laid out as its pairs inside the task and combined there, so
+    the plan stays small for any number of columns and little is shuffled. A
+    constant side gives null.
+    """
+    columns = dict.fromkeys(c for pair in pairs for c in pair)
+    clean = df.select(*by, *[missing_to_null(c).alias(f"_v_{c}") for c in columns])
+    cells = [
+        F.struct(F.lit(i).alias("pair"), F.col(f"_v_{a}").alias("u"), F.col(f"_v_{b}").alias("v"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    rows = clean.select(*by, F.inline(F.array(*cells)))
+    if not by:
+        # a pair without a single row is reported too
+        rows = rows.unionByName(
+            df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair")), allowMissingColumns=True
+        )
+    both = F.col("u").isNotNull() & F.col("v").isNotNull()
+    u, v = F.when(both, F.col("u")), F.when(both, F.col("v"))
+    r = F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))
+    return rows.groupBy(*by, "pair").agg(r.alias("r"))
+
+
+def _named(pairs: Sequence[tuple[str, str]], side: int) -> Column:
+    return F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair") + 1)
 
 
 def correlation(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Every pair of columns once, as rows (a, b, r): the lower triangle of the matrix."""
     pairs = list(combinations(columns, 2))
-    clean = {c: missing_to_null(c) for c in columns}
-    aggs = [pearson(clean[a], clean[b]).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)]
-    rows = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return _long(df.groupBy(*by).agg(*aggs), by, rows)
+    r = _pair_correlations(df, pairs, by)
+    return r.select(*by, _named(pairs, 0).alias("a"), _named(pairs, 1).alias("b"), "r")
 
 
 def correlation_with(
     df: DataFrame, target: str, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Correlation of one column with each of the others, as rows (column, r)."""
-    others = [c for c in columns if c != target]
-    y = missing_to_null(target)
-    aggs = [pearson(missing_to_null(c), y).alias(f"_r{i}") for i, c in enumerate(others)]
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"_r{i}").alias("r")) for i, c in enumerate(others)
-    ]
-    return _long(df.groupBy(*by).agg(*aggs), by, rows)
+    pairs = [(c, target) for c in columns if c != target]
+    r = _pair_correlations(df, pairs, by)
+    return r.select(*by, _named(pairs, 0).alias("column"), "r")
 
 
 def pretty_step(low: Column, high: Column, n: int) -> Column:

@@ -126,8 +126,8 @@ def json_props(spark, sf):
 def json_pages(spark, sf):
     path = scratch_path(spark, "pages")
     item = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("tm"), F.col("value").alias("ta"), F.col("event_type").alias("station"))
-    hourly = table(spark, sf, "events").groupBy("event_type", F.window("ts", "1 hour")).agg(F.collect_list(item).alias("item"))
-    hourly.select(F.struct(F.struct("item").alias("body")).alias("response")).write.json(path)
+    pages = table(spark, sf, "events").select(F.struct(F.struct(F.array(item).alias("item")).alias("body")).alias("response"))
+    pages.write.json(path)
     schema = "response STRUCT<body: STRUCT<item: ARRAY<STRUCT<tm: STRING, ta: DOUBLE, station: STRING>>>>"
     rows = read_json_pages(spark, path, schema, "response.body.item")
     return tidy(rows.select("station", F.col("tm").cast("timestamp_ntz").alias("tm"), "ta"))

@@ -49,11 +49,11 @@ def daily_users(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded (never -0.0), integers as bigint: independent of the order of sums."""
-    out = []
+    """Doubles rounded half up, integers as bigint: independent of the order of sums."""
+    out, scale = [], F.lit(10.0**digits)
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
-            out.append((F.round(F.col(name), digits) + F.lit(0.0)).alias(name))
+            out.append((F.floor(F.col(name) * scale + 0.5) / scale).alias(name))
         elif kind in ("int", "smallint", "tinyint"):
             out.append(F.col(name).cast("bigint").alias(name))
         else:
@@ -62,8 +62,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def rnd(expr: str, digits: int = 6) -> str:
-    """The SQL form of :func:`tidy` for a double."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    """The SQL form of :func:`tidy` for a double: the same two operations."""
+    return f"(floor(({expr}) * 1e{digits} + 0.5) / 1e{digits})"
 
 
 GRID_15 = """

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from gridcast.operators import knn as K
@@ -42,16 +43,30 @@ def test_equals_brute_force_with_clusters_copies_and_busy_tiles(spark, k):
     assert {r["id"]: r["prediction"] for r in got.collect()} == pytest.approx(brute(train, queries, k))
 
 
+def test_rows_that_agree_in_the_split_features_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(K, "SPLIT_FEATURES", 2)
+    r = np.random.default_rng(7)
+    train = [(i, (1.0, 2.0, float(x)), float(i)) for i, x in enumerate(np.round(r.uniform(0, 9, 200), 4))]
+    train += [(200 + i, tuple(map(float, x)), 0.0) for i, x in enumerate(np.round(r.uniform(0, 9, (40, 3)), 4))]
+    t, q = as_frames(spark, train, [(i, (1.0, 2.0, i / 10)) for i in range(90)])
+    sizes = K._tiled(t, ["a", "b", "c"], "id", 240, 5).groupBy("_tile").count().collect()
+    assert max(x["count"] for x in sizes) < 60 and sum(x["count"] for x in sizes) == 240
+    got = knn_regress(t, q, ["a", "b", "c"], "y", "id", tile_rows=5)
+    queries = [(i, (1.0, 2.0, i / 10)) for i in range(90)]
+    assert {r["id"]: r["prediction"] for r in got.collect()} == pytest.approx(brute(train, queries, 5))
+
+
 def test_fewer_rows_than_neighbours(spark):
     t, q = as_frames(spark, [(1, (0.0, 0.0, 0.0), 2.0), (2, (9.0, 9.0, 9.0), 4.0)], [(1, (1.0, 1.0, 1.0))])
     assert knn_regress(t, q, ["a", "b", "c"], "y", "id").first()["prediction"] == 3.0
     assert knn_regress(t.limit(0), q, ["a", "b", "c"], "y", "id").first()["prediction"] is None
 
 
-def test_only_near_tiles_are_searched(spark):
-    low = np.array([[0.0], [10.0], [20.0]])
-    search = K._near_tiles(np.array([0, 1, 2]), np.array([5, 5, 5]), low, low + 1, 5, ["a"])
-    import pandas as pd
-
-    out = pd.concat(search(iter([pd.DataFrame({"a": [0.5, 20.5, 10.6]})])))
-    assert sorted(map(tuple, out.to_numpy())) == [(0.5, 0), (10.6, 1), (20.5, 2)]
+def test_only_near_tiles_are_searched():
+    rows = [{"_tile": t, "_n": 5, "_lo0": 10.0 * t, "_hi0": 10.0 * t + 1} for t in range(3)]
+    boxes = K._Boxes(rows, ["a"], 8)
+    home = pd.concat(boxes.home(iter([pd.DataFrame({"a": [0.5, 20.5, 4.0]})])))
+    assert list(home["_tile"]) == [0, 2, 0]
+    asked = pd.DataFrame({"a": [0.5, 20.5, 4.0, 4.0], "_reach": [1.0, 100.0, None, 30.0]})
+    others = pd.concat(boxes.others(iter([asked])))
+    assert sorted(map(tuple, others.to_numpy())) == [(4.0, 1), (20.5, 1)]
