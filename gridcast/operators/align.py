@@ -25,11 +25,11 @@ def attach(
     known_rows: int | None = None,
     limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join a table of one row per series without moving the rows, if its size allows.
+    """Join a small table, such as one row per series or date, without moving the rows.
 
     Unless its size is known, the small table is computed once, frozen and
     counted. Up to `limit` rows it is broadcast, so a series with most of the
-    rows stays spread out; a larger one is joined by shuffle, where skewed
+    rows stays spread out; a larger table is joined by shuffle, where skewed
     partitions are split.
     """
     if known_rows is None:

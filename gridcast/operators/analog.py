@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.values import fill_zero
+from gridcast.operators.align import attach
 from gridcast.operators.scale import fit_minmax, minmax
+from gridcast.session import frozen
 
 
 def in_season(ts: str, first: tuple[int, int], last: tuple[int, int]) -> Column:
@@ -32,17 +34,17 @@ def day_distances(
     compares scaled candidates with the target in its own unit. Only days with
     a row for every target hour are compared.
     """
-    profile = target.select("hour", *[fill_zero(f).alias(f) for f in features])
+    profile = frozen(target.select("hour", *[fill_zero(f).alias(f) for f in features]))
+    wanted = profile.count()
     fit = fit_minmax(profile, features)
     goal = minmax(profile, fit, features) if scale_target else profile
     goal = goal.select("hour", *[F.col(f).alias(f"_t_{f}") for f in features])
     hours = candidates.select(
         *keys, F.to_date(ts).alias("day"), F.hour(ts).alias("hour"), *[fill_zero(f).alias(f) for f in features]
     )
-    near = minmax(hours, fit, features).join(goal, "hour")
+    near = attach(minmax(hours, fit, features), goal, ["hour"], "inner", known_rows=wanted)
     squares = [(F.col(f) - F.col(f"_t_{f}")) * (F.col(f) - F.col(f"_t_{f}")) for f in features]
     row = sum(squares[1:], squares[0]) / F.lit(float(len(features)))
-    wanted = profile.agg(F.count("*").alias("n")).scalar()
     return (
         near.groupBy(*keys, "day")
         .agg(F.avg(row).alias("mse"), F.count("*").alias("_n"))

@@ -18,6 +18,7 @@ from gridcast.session import frozen
 
 TIME_WIDTHS = (DAY, SECOND, 1)
 ID_WIDTHS = (1 << 42, 1 << 21, 1)
+LEAF_ROWS = 2_000_000
 
 
 def _floor_to(value: Column, width: int) -> Column:
@@ -135,13 +136,22 @@ def bucketed_rank(
     order: Sequence[Column],
     keys: Sequence[str] = (),
     name: str = "ordinal",
+    finer: Sequence[tuple[str, Column]] = (),
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """1-based rank of every row in its series.
 
     `levels` are bucket columns, coarse to fine, that agree with `order`: a row
     of an earlier bucket comes first. Only the rows of one finest bucket are
-    sorted together; the ranks before it are sums of counts.
+    sorted together; the ranks before it are sums of counts. While the largest
+    bucket holds more than `leaf_rows`, the next of the `finer` levels is added.
     """
+    levels, finer = list(levels), list(finer)
+    while finer:
+        sizes = df.withColumns(dict(levels)).groupBy(*keys, *[n for n, _ in levels]).agg(F.count("*").alias("_n"))
+        if (sizes.agg(F.max("_n")).first()[0] or 0) <= leaf_rows:
+            break
+        levels.append(finer.pop(0))
     names = [n for n, _ in levels]
     rows = df.withColumns(dict(levels))
     counts = rows.groupBy(*keys, *names).agg(F.count("*").alias("_n"))
@@ -173,13 +183,23 @@ def row_ordinal(
     keys: Sequence[str] = ("series_id",),
     ts: str = "ts",
     tie: str | None = None,
-    widths: Sequence[int] = (DAY, SECOND),
     name: str = "ordinal",
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """1-based position of every row in its series by time."""
-    levels = [(f"_l{w}", _floor_to(micros(ts), w)) for w in widths]
-    order = [F.col(ts), *([F.col(tie)] if tie else [])]
-    return bucketed_rank(df, levels, order, keys, name)
+    """1-based position of every row in its series by time.
+
+    `tie` is an integer column that orders rows of the same time. Buckets are
+    days and seconds; crowded seconds are cut into microseconds, and those by
+    the tie column.
+    """
+    time = micros(ts)
+    levels = [("_day", _floor_to(time, DAY)), ("_second", _floor_to(time, SECOND))]
+    finer, order = [("_micro", time)], [F.col(ts)]
+    if tie is not None:
+        order.append(F.col(tie))
+        number = F.col(tie).cast("bigint")
+        finer += [(f"_tie{i}", _floor_to(number, w)) for i, w in enumerate(ID_WIDTHS[:-1])]
+    return bucketed_rank(df, levels, order, keys, name, finer, leaf_rows)
 
 
 def key_ordinal(df: DataFrame, keys: Sequence[str] = ("series_id",), name: str = "ordinal") -> DataFrame:

@@ -57,17 +57,16 @@ def series_holdout(
     return attach(df, marked, keys)
 
 
-def shuffle_batches(
-    df: DataFrame, batch_size: int, key: Sequence[str], seed: int = 100, digits: int = 4
-) -> DataFrame:
+def shuffle_batches(df: DataFrame, batch_size: int, key: Sequence[str], seed: int = 100) -> DataFrame:
     """Rows in a random order, cut into batches: adds `batch` and `slot`, both from 0.
 
-    All batches but the last are full. Rows are ranked inside buckets of equal
-    leading digest digits; take `digits` so that rows / 16**digits fit a task.
+    `key` identifies a row. All batches but the last are full. Rows are ranked
+    inside buckets of equal leading digest digits, with more digits for more rows.
     """
     digest = hash_text(list(key), seed)
-    levels = [("_d1", F.substring(digest, 1, 2)), ("_d2", F.substring(digest, 3, max(digits - 2, 1)))]
-    ranked = bucketed_rank(df, levels, [digest, *[F.col(k) for k in key]], name="_rank")
+    digits = [(f"_d{i}", F.substring(digest, 2 * i + 1, 2)) for i in range(5)]
+    order = [digest, *[F.col(k) for k in key]]
+    ranked = bucketed_rank(df, digits[:2], order, name="_rank", finer=digits[2:])
     place = F.col("_rank") - 1
     return (
         ranked.withColumn("batch", F.floor(place / batch_size))

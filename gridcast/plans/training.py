@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
+from pyspark.ml import Estimator, Model
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +36,29 @@ def fit_forecaster(
     rows: DataFrame,
     features: Sequence[str],
     label: str,
-    regressor: GBTRegressor,
+    regressor: Estimator,
     fraction: float = 0.8,
     keys: Sequence[str] = ("series_id",),
     tolerance: float = 0.01,
 ) -> Model:
-    """Fit on the first part of each series and stop when the rest no longer gains."""
-    split = chrono_split(rows, fraction, keys).withColumn("is_validation", ~F.col("is_train"))
-    return fit_early_stop(xy_split(split, features, label, ["is_validation"]), regressor, "is_validation", tolerance)
+    """Fit on the first part of each series.
+
+    Boosted trees stop when the rest of the series no longer gains; other
+    models do not see the rest.
+    """
+    split = chrono_split(rows, fraction, keys)
+    if isinstance(regressor, GBTRegressor):
+        marked = split.withColumn("is_validation", ~F.col("is_train"))
+        vectors = xy_split(marked, features, label, ["is_validation"])
+        return fit_early_stop(vectors, regressor, "is_validation", tolerance)
+    return regressor.fit(xy_split(split.where("is_train"), features, label))
 
 
 def train_and_score(
     prepared: DataFrame,
     features: Sequence[str],
     holdouts: Sequence[tuple[str, str]],
-    regressor: GBTRegressor,
+    regressor: Estimator,
     label: str = "result",
     keys: Sequence[str] = ("series_id",),
     capacity: float | None = None,

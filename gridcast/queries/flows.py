@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators.columns import fill_missing, pivot, unpivot
 from gridcast.operators.grid import bucket_sum, resample_mean
+from gridcast.operators.models import linear
 from gridcast.plans.analog_features import analog_features
 from gridcast.plans.dataset import QUARTER, build_dataset, sensor_grid
 from gridcast.plans.many_series import forecast_many, forecast_validation, segment_values
@@ -114,6 +115,30 @@ def holdout_score(spark, sf):
     return tidy(errors, 4)
 
 
+_ONE_HOLDOUT = [
+    f"SELECT '{a}' AS holdout, result AS y, a + b * value AS p FROM z, f WHERE ts BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'"
+    for a, b in HOLDOUTS
+]
+_KEPT = " AND ".join(f"NOT (ts > TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}')" for a, b in HOLDOUTS)
+
+
+@query(
+    "holdout_score_linear",
+    f"""WITH {GRID_15}, o AS (SELECT event_type series_id, time_bucket(INTERVAL '15 minutes', ts) ts, sum(value) s FROM events GROUP BY 1, 2),
+z AS (SELECT r.series_id, r.ts, coalesce(o.s, 0) AS result, coalesce(r.v, 0) AS value FROM r LEFT JOIN o ON o.series_id = r.series_id AND o.ts = r.ts),
+k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM z WHERE {_KEPT}),
+f AS (SELECT regr_slope(result, value) AS b, regr_intercept(result, value) AS a FROM k WHERE i <= floor(n * 0.8)),
+q AS ({" UNION ALL ".join(_ONE_HOLDOUT)})
+SELECT holdout, count(*)::BIGINT AS n, {rnd('avg((y - p) * (y - p))', 4)} AS mse, {rnd('sqrt(avg((y - p) * (y - p)))', 4)} AS rmse,
+  {rnd('avg(abs(y - p))', 4)} AS mae, {rnd('1 - avg((y - p) * (y - p)) / var_pop(y)', 4)} AS r2, {rnd('avg((y - p) * (y - p)) / 7028', 4)} AS capacity_error
+FROM q GROUP BY 1""",
+)
+def holdout_score_linear(spark, sf):
+    rows = frozen(prepare(_dataset(spark, sf), ["value"], whole=()))
+    _, _, errors = train_and_score(rows, ["value"], HOLDOUTS, linear(), capacity=7028)
+    return tidy(errors, 4)
+
+
 def _wide_to_daily(spark, sf):
     """Page-by-day matrix back to rows, missing days as 0."""
     wide = pivot(daily_users(spark, sf).withColumn("ts", F.col("ts").cast("string")), "series_id", DAYS)
@@ -162,3 +187,21 @@ def many_series_recursion(spark, sf):
 def many_series_forecast(spark, sf):
     _, scored, _ = forecast_many(_wide_to_daily(spark, sf), 7, [1, 2, 7])
     return tidy(scored.drop("log_mean"), 3)
+
+
+@query(
+    "many_series_one_lag",
+    f"""WITH RECURSIVE {_WIDE},
+e AS (SELECT series_id, part, segment, ts, a, ln(1 + value) - a AS s FROM w JOIN m USING (series_id, part)),
+t AS (SELECT c.s AS y, p.s AS x FROM e c JOIN e p ON p.series_id = c.series_id AND p.ts = c.ts - 1
+  WHERE c.part = 'train' AND p.part = 'train' AND c.segment = 'train_target'),
+fit AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM t),
+x(series_id, a, h, step) AS (SELECT series_id, a, s, 0 FROM e WHERE segment = 'val_history' AND ts = DATE '2024-01-23' UNION ALL
+  SELECT series_id, a, b0 + b1 * h, step + 1 FROM x, fit WHERE step < 7)
+SELECT x.series_id, x.step::BIGINT AS step, (DATE '2024-01-23' + INTERVAL 1 DAY * x.step)::TIMESTAMP AS ts,
+  {rnd('exp(x.h + x.a) - 1', 3)} AS prediction, {rnd('z.value', 3)} AS truth
+FROM x JOIN z ON z.series_id = x.series_id AND z.ts = DATE '2024-01-23' + x.step WHERE x.step > 0""",
+)
+def many_series_one_lag(spark, sf):
+    _, scored, _ = forecast_many(_wide_to_daily(spark, sf), 7, [1])
+    return tidy(scored.drop("log_mean"), 3)

@@ -56,6 +56,25 @@ def linear_cv(spark, sf):
     return _cv(spark, sf, {"linear": M.linear(), "lasso": M.lasso(), "elastic_net": M.elastic_net()})
 
 
+@query(
+    "linear_cv_one_feature",
+    f"""WITH x AS (SELECT value AS y, CAST(json_extract(props, '$.k') AS DOUBLE) AS c, {_number('event_id', 21)} % 10 AS fold FROM events
+  WHERE NOT ({_number('event_id', 42)} / 4294967296.0 < 0.33)),
+f AS (SELECT k, regr_slope(y, c) AS b, regr_intercept(y, c) AS a FROM x, range(10) t(k) WHERE fold <> k GROUP BY k),
+s AS (SELECT k, sqrt(avg((y - a - b * c) ** 2)) AS rmse, 1 - avg((y - a - b * c) ** 2) / var_pop(y) AS r2, avg(abs(y - a - b * c)) AS mae
+  FROM x JOIN f ON fold = k GROUP BY k)
+"""
+    + " UNION ALL ".join(
+        f"SELECT 'linear' AS model, '{m}' AS metric, {rnd(f'avg({m})', 4)} AS mean, {rnd(f'stddev_pop({m})', 4)} AS std FROM s"
+        for m in ("rmse", "r2", "mae")
+    ),
+)
+def linear_cv_one_feature(spark, sf):
+    rows = hash_split(_samples(spark, sf), 0.33, ["event_id"]).where("not is_test")
+    scores = M.cross_validate(hash_fold(rows, 10, ["event_id"]), {"linear": M.linear()}, ["load"], "label_value")
+    return tidy(fold_summary(scores, ["rmse", "r2", "mae"]), 4)
+
+
 _X = """x AS (SELECT event_id, value AS y, hour(ts) + minute(ts) / 15.0::DOUBLE * 0.25 AS a, day(ts)::DOUBLE AS b,
   CAST(json_extract(props, '$.k') AS DOUBLE) AS c, """ + f"{_number('event_id', 42)} / 4294967296.0 < 0.33 AS is_test FROM events)"
 

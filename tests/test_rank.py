@@ -49,9 +49,10 @@ def test_first_and_last(ties, n):
     assert last == {(s, i) for s, v in want.items() for _, i in v[-n:]}
 
 
-def test_ordinal(ties):
+@pytest.mark.parametrize("leaf_rows", [3, 1000])
+def test_ordinal(ties, leaf_rows):
     want, df = ties
-    got = {(r["series_id"], r["id"]): r["ordinal"] for r in row_ordinal(df, tie="id").collect()}
+    got = {(r["series_id"], r["id"]): r["ordinal"] for r in row_ordinal(df, tie="id", leaf_rows=leaf_rows).collect()}
     assert got == {(s, i): p for s, v in want.items() for p, (_, i) in enumerate(v, 1)}
 
 
