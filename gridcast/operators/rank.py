@@ -143,18 +143,18 @@ def bucketed_rank(
 
     `levels` are bucket columns, coarse to fine, that agree with `order`: a row
     of an earlier bucket comes first. Only the rows of one finest bucket are
-    sorted together; the ranks before it are sums of counts. While the largest
-    bucket holds more than `leaf_rows`, the next of the `finer` levels is added.
+    sorted together; the ranks before it are sums of counts, which are counted
+    once and frozen. While the largest bucket holds more than `leaf_rows`, the
+    next of the `finer` levels is added.
     """
     levels, finer = list(levels), list(finer)
-    while finer:
-        sizes = df.withColumns(dict(levels)).groupBy(*keys, *[n for n, _ in levels]).agg(F.count("*").alias("_n"))
-        if (sizes.agg(F.max("_n")).first()[0] or 0) <= leaf_rows:
+    while True:
+        names = [n for n, _ in levels]
+        rows = df.withColumns(dict(levels))
+        counts = frozen(rows.groupBy(*keys, *names).agg(F.count("*").alias("_n")))
+        if not finer or (counts.agg(F.max("_n")).first()[0] or 0) <= leaf_rows:
             break
         levels.append(finer.pop(0))
-    names = [n for n, _ in levels]
-    rows = df.withColumns(dict(levels))
-    counts = rows.groupBy(*keys, *names).agg(F.count("*").alias("_n"))
     offsets = counts
     for depth in range(len(names), 0, -1):
         parent, here = [*keys, *names[: depth - 1]], names[depth - 1]

@@ -37,11 +37,14 @@ FROM a JOIN f l ON l.series_id = a.series_id AND l.i >= a.i AND l.i < a.i + 24""
 )
 def sliding_frames(spark, sf):
     cut = W.sliding_frames(hourly(spark, sf), ["value", "load"], "value", 48, 24, HOUR, stride=4)
-    past = cut.select("series_id", "ts", F.lit("history").alias("part"), F.posexplode("history").alias("pos", "s")).select(
-        "series_id", "ts", "part", "pos", "s.value", "s.load"
-    )
-    ahead = cut.select("series_id", "ts", F.lit("labels").alias("part"), F.posexplode("labels").alias("pos", "value"))
-    return tidy(past.unionByName(ahead.withColumn("load", F.lit(None).cast("double"))))
+    none = F.lit(None).cast("double")
+
+    def step(part, pos, value, load):
+        return F.struct(F.lit(part).alias("part"), pos.alias("pos"), value.alias("value"), load.alias("load"))
+
+    past = F.transform("history", lambda s, i: step("history", i, s["value"], s["load"]))
+    ahead = F.transform("labels", lambda v, i: step("labels", i, v, none))
+    return tidy(cut.select("series_id", "ts", F.inline(F.concat(past, ahead))))
 
 
 @query(
