@@ -121,6 +121,7 @@ def grid_search(
     """
     records, best = [], None
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for number, params in enumerate(grid):
             model = regressor.fit(train, dict(params))
@@ -132,4 +133,5 @@ def grid_search(
                 best = (error, model)
     finally:
         train.unpersist()
+        validation.unpersist()
     return records, best[1]

@@ -14,6 +14,7 @@ from gridcast.operators.frames import walk_forward_segments
 from gridcast.operators.models import xy_split
 from gridcast.operators.scale import fit_log_mean, log_demean, log_demean_inverse
 from gridcast.operators.stats import error_metrics
+from gridcast.session import frozen
 
 DAY = timedelta(days=1)
 
@@ -64,8 +65,11 @@ def forecast_validation(
 def forecast_many(
     daily: DataFrame, horizon: int, lags: Sequence[int], keys: Sequence[str] = ("series_id",), **params
 ) -> tuple[LinearRegressionModel, DataFrame, DataFrame]:
-    """Model, forecast rows with their truth, and the errors over all series."""
-    segments = segment_values(daily, horizon, keys)
+    """Model, forecast rows with their truth, and the errors over all series.
+
+    The segments feed the fit, the forecast and the scoring, so they are frozen.
+    """
+    segments = frozen(segment_values(daily, horizon, keys))
     model = fit_autoregression(segments, lags, keys, **params)
     ahead = forecast_validation(segments, lags, model.coefficients, model.intercept, horizon, keys)
     truth = segments.where(F.col("segment") == "val_target").select(

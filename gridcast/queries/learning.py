@@ -19,6 +19,7 @@ from gridcast.operators.stats import error_metrics, fold_summary
 from gridcast.plans.training import fit_forecaster
 from gridcast.queries.registry import query, readings, rnd, table, tidy
 from gridcast.queries.sampling import _number
+from gridcast.session import frozen
 
 HOUR = timedelta(hours=1)
 FEATURES = ["time", "day", "load"]
@@ -101,7 +102,7 @@ def knn_query(spark, sf):
 
 
 def _lagged(spark, sf):
-    hourly = fill_missing(resample_mean(readings(spark, sf), HOUR, ["value"]), ["value"])
+    hourly = frozen(fill_missing(resample_mean(readings(spark, sf), HOUR, ["value"]), ["value"]))
     lagged = lag_features(hourly, "value", [1, 2, 24], HOUR)
     return hourly, lagged.withColumns(calendar("ts"))
 
