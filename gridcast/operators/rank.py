@@ -7,12 +7,12 @@ same rows spread over many series.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.functions.timecols import DAY, SECOND, micros
+from gridcast.functions.timecols import DAY, SECOND, at_micros, micros
 from gridcast.operators.align import attach
 from gridcast.session import frozen
 
@@ -31,6 +31,7 @@ def rank_cutoff(
     order: Sequence[tuple[str, Column, Sequence[int]]],
     keys: Sequence[str],
     series: int | None = None,
+    within: Callable[[int, int], Column] | None = None,
 ) -> DataFrame:
     """The order values that sit at a 1-based rank of each series.
 
@@ -41,6 +42,9 @@ def rank_cutoff(
     counts than one bucket has finer buckets. The result has keys and a column
     `<name>_cut` for each order value. `series`, the number of rows of `ranks`,
     bounds every table that is joined back; it is counted if not given.
+    `within(low, high)` is the condition on rows that the first order value is
+    at least low and below high: with it the scans after the first one read
+    only the stretch that holds the buckets found.
     """
     rows = df.select(*keys, *[c.alias(n) for n, c, _ in order])
     state = ranks.select(*keys, F.col("rank").cast("bigint").alias("_rest")).where("_rest > 0")
@@ -65,6 +69,12 @@ def rank_cutoff(
                 *keys, *cuts, F.col("_b").alias(f"{name}_cut"), (F.col("_rest") - before).alias("_rest")
             )
             inside = width
+            if within is not None:
+                state = frozen(state)
+                low, high = state.agg(F.min(f"{name}_cut"), F.max(f"{name}_cut")).first()
+                if low is not None:
+                    rows = df.where(within(low, high + width)).select(*keys, *[c.alias(n) for n, c, _ in order])
+                within = None
         done.append(name)
     return state.drop("_rest")
 
@@ -75,11 +85,12 @@ def _up_to_rank(
     keys: Sequence[str],
     order: Sequence[tuple[str, Column, Sequence[int]]],
     flag: str,
+    within: Callable[[int, int], Column],
 ) -> DataFrame:
     """Mark the rows at or before a rank in the lexicographic order of `order`."""
     ranks = frozen(ranks)
     series = ranks.count()
-    marked = attach(df, rank_cutoff(df, ranks, order, keys, series), keys, known_rows=series)
+    marked = attach(df, rank_cutoff(df, ranks, order, keys, series, within), keys, known_rows=series)
     name, value, _ = order[-1]
     inside = value <= F.col(f"{name}_cut")
     for name, value, _ in reversed(order[:-1]):
@@ -96,6 +107,14 @@ def _time_order(ts: str, tie: str | None, backwards: bool) -> list[tuple[str, Co
     return order
 
 
+def _time_within(ts: str, backwards: bool) -> Callable[[int, int], Column]:
+    """A range of order values as a condition on the time itself, which scans can use."""
+    t = F.col(ts)
+    if backwards:
+        return lambda low, high: (t > at_micros(F.lit(-high))) & (t <= at_micros(F.lit(-low)))
+    return lambda low, high: (t >= at_micros(F.lit(low))) & (t < at_micros(F.lit(high)))
+
+
 def chrono_split(
     df: DataFrame,
     fraction: float,
@@ -111,7 +130,7 @@ def chrono_split(
     it times are taken to be unique per series.
     """
     ranks = df.groupBy(*keys).agg(F.floor(F.count("*") * F.lit(fraction)).alias("rank"))
-    return _up_to_rank(df, ranks, keys, _time_order(ts, tie, False), flag)
+    return _up_to_rank(df, ranks, keys, _time_order(ts, tie, False), flag, _time_within(ts, False))
 
 
 def first_rows(
@@ -119,7 +138,7 @@ def first_rows(
 ) -> DataFrame:
     """The n earliest rows of each series."""
     ranks = df.groupBy(*keys).agg(F.least(F.count("*"), F.lit(n)).alias("rank"))
-    return _up_to_rank(df, ranks, keys, _time_order(ts, tie, False), "_in").where("_in").drop("_in")
+    return _up_to_rank(df, ranks, keys, _time_order(ts, tie, False), "_in", _time_within(ts, False)).where("_in").drop("_in")
 
 
 def last_rows(
@@ -127,7 +146,7 @@ def last_rows(
 ) -> DataFrame:
     """The n latest rows of each series."""
     ranks = df.groupBy(*keys).agg(F.least(F.count("*"), F.lit(n)).alias("rank"))
-    return _up_to_rank(df, ranks, keys, _time_order(ts, tie, True), "_in").where("_in").drop("_in")
+    return _up_to_rank(df, ranks, keys, _time_order(ts, tie, True), "_in", _time_within(ts, True)).where("_in").drop("_in")
 
 
 def bucketed_rank(
