@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -43,6 +45,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridcast-{name}-{uuid.uuid4().hex}"
 
 
+_STORED: set[str] = set()
+
+
+def stored(df: DataFrame, name: str = "rows", by: str | None = None) -> DataFrame:
+    """Write a table as Parquet below the shared folder and read it from there.
+
+    For intermediate tables as long as the data: reads keep column pruning,
+    pushed filters and size statistics, and need no lost executor's work. The
+    files go with :func:`release`, at the latest when the driver ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    _STORED.add(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that :func:`stored` has written; results that read them must be done."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _release_at_end() -> None:
+    spark = SparkSession.getActiveSession() if _STORED else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            release(spark)
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
