@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import exact_dedup, simhash
+from gridcast.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity
 from gridcast.session import stored
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.accepted(docs, toxicity.fit(docs, labels))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the smallest doc_id stays."""
     return exact_dedup.deduplicate(docs)
@@ -18,7 +24,23 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
-STAGES = [("exact dedup", exact_stage), ("SimHash near-dedup", simhash_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of the documents and `ids`, the piece numbers of the text."""
+    return sentencepiece.encoded(docs, sentencepiece.model_bytes())
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("SimHash near-dedup", simhash_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", encoding_stage),
+]
 
 #: Fitted weights decide which rows stay, so the rows have no SQL.
 ORACLE_SQL = None

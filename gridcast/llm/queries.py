@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridcast.llm import exact_dedup, simhash
+from gridcast.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +39,63 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
+@query()
+def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Piece numbers of every whole text, and whether decoding them gives the text back."""
+    model = sentencepiece.model_bytes()
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = sentencepiece.decoded(sentencepiece.encoded(docs, model), model)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == sentencepiece.readable(F.col("text"))).alias("round_trip"),
+    )
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.judged(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+           FROM documents),
+     q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+     r AS (SELECT d.doc_id, d.source, d.size,
+                  -ln((CAST('0x' || substr(md5('mix/' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+                  / CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS sampling_key
+           FROM d LEFT JOIN q ON d.doc_id = q.doc_id),
+     t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS BIGINT) AS cap,
+                  1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+           FROM r GROUP BY source),
+     lower AS (SELECT a.source, a.source_size, a.cap, a.w,
+                      coalesce(sum(b.cap) FILTER (WHERE b.cap * a.w < a.cap * b.w), 0) AS spent,
+                      sum(b.w) FILTER (WHERE b.cap * a.w >= a.cap * b.w) AS still, sum(b.source_size) AS every
+               FROM t a, t b GROUP BY a.source, a.source_size, a.cap, a.w),
+     c AS (SELECT *, w * (every - spent) > cap * still AS capped FROM lower),
+     s AS (SELECT any_value(every) - coalesce(sum(cap) FILTER (WHERE capped), 0) AS num, sum(w) FILTER (WHERE NOT capped) AS den FROM c),
+     g AS (SELECT source, source_size,
+                  CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(w * num AS DOUBLE) / CAST(den AS DOUBLE) END AS target
+           FROM c, s),
+     e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM g),
+     o AS (SELECT r.doc_id, r.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+                  sum(size) OVER (PARTITION BY r.source ORDER BY sampling_key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+                  sum(size) OVER (PARTITION BY r.source, sampling_key) AS own
+           FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (epochs + CASE WHEN rest > 0 AND upto + upto - own <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM o
+"""
+)
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    made = mixing.plan(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
 @query()
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf, "documents"))
