@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity
+from gridcast.llm import exact_dedup, mixing, sentencepiece, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf, "documents")))
+
+
 @query()
 def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Piece numbers of every whole text, and whether decoding them gives the text back."""

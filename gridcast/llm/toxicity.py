@@ -110,7 +110,7 @@ class _Known(dict):
 
 def train(
     rows: list[np.ndarray], positive: np.ndarray, prior: float, size: int, seed: int = 0, epochs: int = 400, batches: int = 1,
-    rate: float = 0.05, decay: float = 1e-4,
+    rate: float = 0.1, decay: float = 1e-4,
 ) -> np.ndarray:
     """Weights of `size` features and the intercept, by Adam on the non-negative risk.
 
