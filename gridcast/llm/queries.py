@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import exact_dedup, mixing, sentencepiece, simhash, suffix_dedup, toxicity
+from gridcast.llm import chat, exact_dedup, mixing, sentencepiece, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from gridcast.llm.url_filter import ALLOW, BLOCK, Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +28,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query(
+    r"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+)
+def op1_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query(
     r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t FROM documents),
@@ -44,12 +60,86 @@ def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf, "documents")))
 
 
+@query(
+    r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+     p AS (SELECT *, length('### ' || role || text) + 10
+                     + len(regexp_extract_all(role || chr(10) || text, '###|</turn>')) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+)
+def op4_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    own = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], rows.schema)
+    return chat.read_back(chat.formatted(rows.unionByName(more)))
+
+
+PAGE_RULES = (
+    Rule(ALLOW, "org", "/"),
+    Rule(BLOCK, "example.org", "/es/"),
+    Rule(BLOCK, "example.org", "/en/1"),
+    Rule(ALLOW, "com", "/fr/"),
+    Rule(BLOCK, "com", "/de/"),
+)
+
+
+@query(
+    r"""
+WITH a AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     b AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+     rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                                             ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+     r AS (SELECT b.*, string_split(path, '/') AS label,
+                  (SELECT max_by(rhost || rpath, length(rhost || rpath)) FROM rules
+                   WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
+                  (SELECT max_by(verdict, length(rhost || rpath)) FROM rules
+                   WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS verdict FROM b),
+     t AS (SELECT page_id, host, path, rule, verdict, unnest(list_distinct(list_filter([
+                    'tld=' || string_split(host, '.')[-1],
+                    'site=' || array_to_string(string_split(host, '.')[-2:], '.'),
+                    'host=' || host,
+                    CASE WHEN len(label) > 1 THEN 'first=' || label[2] END,
+                    CASE WHEN len(label) > 2 THEN 'second=' || label[3] END,
+                    'depth=' || least(len(label) - 1, 9),
+                    'ending=' || regexp_extract(path, '\.([^./]*)$', 1),
+                    'query=' || coalesce(contains(url, '?'), false),
+                    'scheme=' || CASE WHEN instr(url, '://') > 0 THEN substr(url, 1, instr(url, '://') - 1) ELSE '' END
+                  ], lambda x: x IS NOT NULL))) AS token FROM r),
+     n AS (SELECT count(*) AS n FROM r WHERE rule IS NOT NULL),
+     sets AS (SELECT page_id, verdict, [token] AS ante FROM t WHERE rule IS NOT NULL
+              UNION ALL SELECT x.page_id, x.verdict, [x.token, y.token] FROM t x JOIN t y ON x.page_id = y.page_id AND x.token < y.token WHERE x.rule IS NOT NULL),
+     g AS (SELECT ante, verdict, count(*) AS c FROM sets GROUP BY ante, verdict),
+     f AS (SELECT ante, verdict, c / CAST(sum(c) OVER (PARTITION BY ante) AS DOUBLE) AS confidence, c / CAST(n AS DOUBLE) AS support, c, n FROM g, n),
+     k AS (SELECT * FROM f WHERE c >= ceil(0.01 * n) AND confidence >= 0.8),
+     kept AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k b WHERE len(k.ante) = 2 AND len(b.ante) = 1 AND b.verdict = k.verdict
+                                                AND list_contains(k.ante, b.ante[1]) AND b.confidence >= k.confidence)),
+     m AS (SELECT page_id, ante, kept.verdict, confidence, support FROM t JOIN kept ON token = ante[1] AND len(ante) = 1 WHERE rule IS NULL
+           UNION ALL SELECT x.page_id, ante, kept.verdict, confidence, support FROM kept JOIN t x ON x.token = ante[1] AND len(ante) = 2
+                     JOIN t y ON y.token = ante[2] AND y.page_id = x.page_id WHERE x.rule IS NULL),
+     o AS (SELECT page_id, verdict, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, support DESC, verdict = 'block' DESC,
+                                                       array_to_string(ante, ' ') DESC) AS place FROM m)
+SELECT r.page_id, host, path, rule, coalesce(r.verdict, o.verdict, 'allow') AS verdict
+FROM r LEFT JOIN o ON o.page_id = r.page_id AND o.place = 1
+"""
+)
+def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf, "pages"), PAGE_RULES)
+
+
 @query()
 def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Piece numbers of every whole text, and whether decoding them gives the text back."""
     model = sentencepiece.model_bytes()
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    rows = sentencepiece.decoded(sentencepiece.encoded(docs, model), model)
+    rows = sentencepiece.encoded(docs, model, back="decoded")
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -101,6 +191,24 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
+@query(
+    r"""
+WITH h AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,
+                  coalesce(strlen(text), 0) AS size FROM documents),
+     e AS (SELECT doc_id, h, size, unnest(generate_series(0, 60)) AS d FROM h),
+     p AS (SELECT doc_id, size, d, h >> CAST(60 - d AS INTEGER) AS prefix FROM e),
+     s AS (SELECT d, prefix, CAST(sum(size) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY d, prefix),
+     f AS (SELECT doc_id, p.d, p.prefix, shard_bytes, shard_rows, row_number() OVER (PARTITION BY doc_id ORDER BY p.d) AS place
+           FROM p JOIN s ON p.d = s.d AND p.prefix = s.prefix WHERE shard_bytes <= 1048576 OR shard_rows = 1)
+SELECT doc_id, CASE WHEN d > 0 THEN lpad(bin(prefix), CAST(d AS INTEGER), '0') ELSE '' END AS shard, CAST(d AS BIGINT) AS depth, shard_bytes, shard_rows
+FROM f WHERE place = 1
+"""
+)
+def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    return sharding.assigned(docs, "doc_id", F.col("size")).drop("size")
+
+
 @query()
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf, "documents"))

@@ -12,10 +12,11 @@ are the last piece: an arc weighs 0 if the two neighbouring pieces are what
 merging makes of their joint text, and infinity otherwise. Exactly one path of
 finite weight remains, and it is the one that merging the whole text gives.
 
-No piece has a space mark after another character, nor holds a character such
-as a line end that only bytes encode, so lattices fall apart there without loss:
-the shortest path is found word by word, and common words are remembered. Paths
-take time and memory in proportion to the text, of any length.
+No piece has a space mark after another character, holds a character such as a
+line end that only bytes encode, or reaches from a letter to a sign (but for a
+few pairs, which are looked for), so lattices fall apart there without loss: the
+shortest path is found word by word, and common words are remembered. Paths take
+time and memory in proportion to the text, of any length.
 
 Defined cases. Null text counts as empty and has no pieces. Rows are encoded one
 by one, so repeated rows have equal results and empty tables give empty results.
@@ -31,9 +32,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -41,9 +43,13 @@ MARK = "▁"
 UNIGRAM, MERGE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Words that a worker remembers, and the longest one remembered.
-CACHE_WORDS = 300_000
+#: More pairs of letter and sign than this within pieces, and words are not cut at signs.
+MOST_ACROSS = 200
+#: Words that a worker remembers, twice, and the longest one remembered.
+CACHE_WORDS = 250_000
 CACHE_CHARS = 48
+#: Rows handed on at once.
+OUT_ROWS = 512
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -95,24 +101,47 @@ class Machine:
             raise ValueError("user-defined pieces are not compiled")
         self.names, self.scores, self.kinds = names, scores, kinds
         self.piece = {n: i for i, (n, k) in enumerate(zip(names, kinds)) if k == NORMAL}
-        self.begins = {n[:i]: -1 for n in self.piece for i in range(1, len(n))} | self.piece
+        self.trie: dict = {}
+        for name, number in self.piece.items():
+            node = self.trie
+            for c in name:
+                node = node.setdefault(c, {})
+            node[""] = number
         self.unknown = kinds.index(UNKNOWN)
         self.bytes = {int(n[1:-1], 16): i for i, (n, k) in enumerate(zip(names, kinds)) if k == BYTE}
         self.lowest = min((scores[i] for i in self.piece.values()), default=0.0)
-        if any(MARK in n.lstrip(MARK) for n in self.piece):
-            self.word = re.compile("(?s).+")
-        else:
-            used = {c for n in self.piece for c in n}
-            alone = "".join(re.escape(chr(c)) for c in range(33) if chr(c) not in used)
-            self.word = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self._compile_words()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spelt = [
             b"" if k == CONTROL else bytes([int(n[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else n.replace(MARK, " ").encode()
             for n, k in zip(names, kinds)
         ]
 
+    def _compile_words(self) -> None:
+        """Where lattices fall apart: no piece reaches over these places."""
+        self.fine = self.coarse = re.compile("(?s).+")
+        self.reaching = None  # places at which the fine rule would cut a piece
+        if any(MARK in n.lstrip(MARK) for n in self.piece):
+            return
+        used = {c for n in self.piece for c in n} - {MARK}
+        alone = "".join(re.escape(chr(c)) for c in range(33) if chr(c) not in used)
+        signs = {c for c in used if not c.isalpha() and not c.isdecimal()}
+        across = {n[i : i + 2] for n in self.piece for i in range(len(n) - 1) if MARK not in n[i : i + 2] and (n[i] in signs) != (n[i + 1] in signs)}
+        first = f"[{alone}]|" if alone else ""
+        self.coarse = self.fine = re.compile(f"{first}{MARK}*[^{MARK}{alone}]+|{MARK}+")
+        if signs and len(across) <= MOST_ACROSS:
+            sign = "".join(map(re.escape, sorted(signs)))
+            self.fine = re.compile(f"{first}{MARK}*[^{MARK}{alone}{sign}]+|{MARK}*[{sign}]+|{MARK}+")
+            self.reaching = re.compile("|".join(map(re.escape, sorted(across)))) if across else None
+
+    def words(self, text: str) -> list[str]:
+        """The normalised text in stretches whose shortest paths are independent."""
+        if self.reaching is not None and self.reaching.search(text):
+            return self.coarse.findall(text)
+        return self.fine.findall(text)
+
     def normalised(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -133,37 +162,34 @@ class Machine:
 
     def _fits(self, last: int, number: int) -> bool:
         """Whether a piece may follow another one, or -1: nothing, or bytes."""
-        if last < 0:
-            fits = self.alone.get(number)
-            if fits is None:
-                fits = self.alone[number] = len(self.merged(self.names[number])) == 1
-            return fits
-        fits = self.pairs.get((last, number))
-        if fits is None:
-            pair = [self.names[last], self.names[number]]
-            fits = self.pairs[last, number] = self.merged("".join(pair)) == pair
+        parts = [self.names[number]] if last < 0 else [self.names[last], self.names[number]]
+        fits = self.pairs[last, number] = self.merged("".join(parts)) == parts
         return fits
 
     def path(self, word: str) -> list[int]:
         """Pieces of the shortest path; -1 stands for a character that is spelt in bytes."""
-        size, begins, merge = len(word), self.begins, self.kind == MERGE
+        size, trie, merge, pairs = len(word), self.trie, self.kind == MERGE, self.pairs
         cost, last, back = [0.0] + [np.inf] * size, [-1] * (size + 1), [0] * (size + 1)
         for start in range(size):
-            here, before = cost[start], last[start]
-            for end in range(start + 1, size + 1):
-                number = begins.get(word[start:end])
-                if number is None:
+            node, end, here, before = trie, start, cost[start], last[start]
+            while end < size:
+                node = node.get(word[end])
+                if node is None:
                     break  # no piece begins like this
-                if number < 0:
-                    continue
-                if not merge:
-                    weight = here - self.scores[number]
-                elif cost[end] and self._fits(before, number):
-                    weight = 0.0
-                else:
+                end += 1
+                number = node.get("")
+                if number is None:
                     continue
-                if weight < cost[end]:
-                    cost[end], last[end], back[end] = weight, number, start
+                if merge:
+                    if not cost[end]:
+                        continue
+                    fits = pairs.get((before, number))
+                    if fits is None:
+                        fits = self._fits(before, number)
+                    if fits:
+                        cost[end], last[end], back[end] = 0.0, number, start
+                elif here - self.scores[number] < cost[end]:
+                    cost[end], last[end], back[end] = here - self.scores[number], number, start
             if word[start] not in self.piece:
                 weight = 0.0 if merge else here - self.lowest + UNKNOWN_PENALTY
                 if weight < cost[start + 1]:
@@ -181,16 +207,23 @@ class Machine:
         return out
 
     def _word(self, word: str) -> bytes:
-        made = np.array(self.path(word), dtype=np.int32).tobytes()
+        made = self.known.get(word)
+        if made is not None:
+            return made
+        made = self.older.get(word) or np.array(self.path(word), dtype=np.int32).tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[word] = made
         return made
 
     def encode(self, text: str | None) -> np.ndarray:
         known, make = self.known.get, self._word
-        return np.frombuffer(b"".join([known(w) or make(w) for w in self.word.findall(self.normalised(text or ""))]), np.int32)
+        words = self.words(self.normalised(text or ""))
+        out = [known(w) for w in words]
+        if None in out:
+            out = [x or make(w) for x, w in zip(out, words)]
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
         spelt = self.spelt
@@ -210,38 +243,53 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encoder(model: bytes):
-    """A column function from text to an array of piece numbers."""
+def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    at = batch.schema.get_field_index(name)
+    return batch.append_column(name, column) if at < 0 else batch.set_column(at, name, column)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = machine(model)
-        for some in texts:
-            yield pd.Series([compiled.encode(t) for t in some], dtype=object)
 
-    return encode
+def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    field = T.StructField(name, kind)
+    fields = [field if f.name == name else f for f in df.schema]
+    return T.StructType(fields if name in df.columns else [*fields, field])
 
 
-def decoder(model: bytes):
-    """A column function from piece numbers to text; null gives null."""
+def encoded(docs: DataFrame, model: bytes, text: str = "text", to: str = "ids", back: str | None = None) -> DataFrame:
+    """The rows with their piece numbers, and with the text decoded again if `back` names a column for it."""
+    schema = _schema(docs, to, T.ArrayType(T.IntegerType()))
+    at = docs.columns.index(text)
+    if back is not None:
+        schema = _schema(docs.sparkSession.createDataFrame([], schema), back, T.StringType())
 
-    @F.pandas_udf("string")
-    def decode(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = machine(model)
-        for some in lists:
-            yield pd.Series([None if x is None else compiled.decode(x.tolist()) for x in some], dtype=object)
+        for batch in batches:
+            for start in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(start, OUT_ROWS)
+                found = [compiled.encode(t.as_py()) for t in part.column(at)]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+                out = _with(part, to, ids)
+                if back is not None:
+                    out = _with(out, back, pa.array([compiled.decode(x.tolist()) for x in found], pa.string()))
+                yield out
 
-    return decode
+    return docs.mapInArrow(run, schema)
 
 
-def encoded(docs: DataFrame, model: bytes, text: str = "text", to: str = "ids") -> DataFrame:
-    """The rows with their piece numbers."""
-    return docs.withColumn(to, encoder(model)(F.col(text)))
+def decoded(rows: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """The rows with the text of their piece numbers; null for null."""
+    at = rows.columns.index(ids)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = machine(model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(start, OUT_ROWS)
+                texts = [compiled.decode(x.as_py()) if x.is_valid else None for x in part.column(at)]
+                yield _with(part, to, pa.array(texts, pa.string()))
 
-def decoded(rows: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """The rows with the text of their piece numbers."""
-    return rows.withColumn(to, decoder(model)(F.col(ids)))
+    return rows.mapInArrow(run, _schema(rows, to, T.StringType()))
 
 
 def readable(text: Column) -> Column:
