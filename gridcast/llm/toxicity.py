@@ -143,7 +143,7 @@ def train(
             loss = np.logaddexp(0, z)
             rest = loss[n:].mean() - prior * loss[:n].mean()
             slope = prior * as_toxic + (u_clean - prior * p_clean) if rest >= 0 else prior * p_clean - u_clean
-            gradient = np.bincount(features, slope[owner], size + 1)
+            gradient = np.bincount(features, slope[owner], size + 1).astype(float)
             gradient[-1] = slope.sum()
             gradient[:-1] += decay * weights[:-1]
             step += 1
@@ -206,6 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if pure:
         prior = PRIOR_MARGIN * sum(r.u for r in pure) * n_positive / (sum(r.p for r in pure) * n_other)
         prior = min(max(prior, 0.001), 0.9)
+    if not names:
+        return Model(prior, math.log(prior / (1 - prior)))
     number = {f: i for i, f in enumerate(names)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
