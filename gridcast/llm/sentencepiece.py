@@ -136,12 +136,6 @@ class Machine:
             self.fine = re.compile(f"{first}{MARK}*[^{MARK}{alone}{sign}]+|{MARK}*[{sign}]+|{MARK}+")
             self.reaching = re.compile("|".join(map(re.escape, sorted(across)))) if across else None
 
-    def words(self, text: str) -> list[str]:
-        """The normalised text in stretches whose shortest paths are independent."""
-        if self.reaching is not None and self.reaching.search(text):
-            return self.coarse.findall(text)
-        return self.fine.findall(text)
-
     def normalised(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -206,11 +200,23 @@ class Machine:
                 out += [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown]
         return out
 
+    def parts(self, word: str) -> list[str]:
+        """A word cut at signs, unless a piece reaches over the cut."""
+        if self.reaching is not None and self.reaching.search(word):
+            return [word]
+        return self.fine.findall(word)
+
     def _word(self, word: str) -> bytes:
         made = self.known.get(word)
         if made is not None:
             return made
-        made = self.older.get(word) or np.array(self.path(word), dtype=np.int32).tobytes()
+        made = self.older.get(word)
+        if made is None:
+            parts = self.parts(word)
+            if len(parts) > 1:
+                made = b"".join(map(self._word, parts))
+            else:
+                made = np.array(self.path(word), dtype=np.int32).tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self.known) >= CACHE_WORDS:
                 self.older, self.known = self.known, {}
@@ -218,11 +224,10 @@ class Machine:
         return made
 
     def encode(self, text: str | None) -> np.ndarray:
-        known, make = self.known.get, self._word
-        words = self.words(self.normalised(text or ""))
-        out = [known(w) for w in words]
+        words = self.coarse.findall(self.normalised(text or ""))
+        out = list(map(self.known.get, words))
         if None in out:
-            out = [x or make(w) for x, w in zip(out, words)]
+            out = [x or self._word(w) for x, w in zip(out, words)]
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:

@@ -49,7 +49,7 @@ def test_forgotten_words_are_found_again(monkeypatch):
     monkeypatch.setattr(S, "CACHE_WORDS", 7)
     machine, other = S.Machine(MODEL), S.Machine(MODEL)
     for t in texts(300):
-        assert machine.encode(t).tolist() == np.concatenate([np.zeros(0, int), *[other.path(w) for w in other.words(other.normalised(t))]]).tolist()
+        assert machine.encode(t).tolist() == np.concatenate([np.zeros(0, int), *[other.path(w) for w in other.coarse.findall(other.normalised(t))]]).tolist()
 
 
 def varint(n):
