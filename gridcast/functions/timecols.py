@@ -58,14 +58,19 @@ def at_micros(us: Column) -> Column:
 def grid_pos(ts: Column | str, step: timedelta, origin_us: Column | int = 0) -> Column:
     """Number of the grid cell a time falls in, counted from `origin_us`.
 
-    Micros of any date up to 2110 stay below 2**52, so the quotient keeps its
-    whole part.
+    The remainder goes first, so the quotient is whole and the division exact
+    for up to 2**52 cells either way.
     """
     us = step_micros(step)
     if us % SECOND == 0 and isinstance(origin_us, int) and origin_us % SECOND == 0:
         elapsed = seconds(ts) - origin_us // SECOND if origin_us else seconds(ts)
-        return F.floor(elapsed / (us // SECOND))
-    return F.floor((micros(ts) - origin_us) / us)
+        return _whole_cells(elapsed, us // SECOND)
+    return _whole_cells(micros(ts) - origin_us, us)
+
+
+def _whole_cells(elapsed: Column, size: int) -> Column:
+    size = F.lit(size).cast("bigint")
+    return F.round((elapsed - F.pmod(elapsed, size)) / size).cast("bigint")
 
 
 def pos_start(pos: Column, step: timedelta, origin_us: Column | int = 0) -> Column:

@@ -81,9 +81,9 @@ def hash_unit(columns: list[Column | str], seed: int) -> Column:
     return hash_number(columns, seed) / F.lit(4294967296.0)
 
 
-def hash_number(columns: list[Column | str], seed: int) -> Column:
-    """32 bits of the row's digest as a non-negative bigint."""
-    return F.conv(F.substring(hash_text(columns, seed), 1, 8), 16, 10).cast("bigint")
+def hash_number(columns: list[Column | str], seed: int, digits: int = 8) -> Column:
+    """The leading hexadecimal digits of the row's digest, 15 at most, as a non-negative bigint."""
+    return F.conv(F.substring(hash_text(columns, seed), 1, digits), 16, 10).cast("bigint")
 
 
 def hash_text(columns: list[Column | str], seed: int) -> Column:

@@ -2,7 +2,7 @@
 
 Between tables there are no broadcast hints: Spark broadcasts a side whose
 measured size is below the session's threshold and shuffles otherwise,
-splitting skewed partitions. Only :func:`attach` broadcasts, after a count.
+splitting skewed partitions. Only :func:`attach` broadcasts, after measuring.
 """
 
 from __future__ import annotations
@@ -11,10 +11,30 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcast.session import frozen
 
-BROADCAST_ROWS = 500_000
+#: Measured bytes up to which a small table is broadcast.
+BROADCAST_BYTES = 32 << 20
+#: A column of fixed width, with its share of the row's overhead and of the hash table.
+CELL_BYTES = 32
+#: A text or array where only the number of rows is known; keys of series are far shorter.
+VARIED_BYTES = 1024
+
+
+def _width(kind: T.DataType) -> int:
+    """Bytes that a value takes in a broadcast table; text and arrays count as `VARIED_BYTES`."""
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType) for f in kind.fields)
+    return VARIED_BYTES if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else CELL_BYTES
+
+
+def measured_bytes(small: DataFrame) -> int:
+    """Bytes of a stored table, by reading it."""
+    text = F.octet_length(F.to_json(F.struct(*small.columns)))
+    n, size = small.agg(F.count("*"), F.sum(text)).first()
+    return n * CELL_BYTES * len(small.columns) + (size or 0)
 
 
 def attach(
@@ -23,19 +43,21 @@ def attach(
     keys: Sequence[str],
     how: str = "left",
     known_rows: int | None = None,
-    limit: int = BROADCAST_ROWS,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join a small table, such as one row per series or date, without moving the rows.
 
-    Unless its size is known, the small table is computed once, frozen and
-    counted. Up to `limit` rows it is broadcast, so a series with most of the
-    rows stays spread out; a larger table is joined by shuffle, where skewed
-    partitions are split.
+    Unless the number of its rows is known, the small table is computed once,
+    frozen and measured. Up to `limit` bytes it is broadcast, so a series with
+    most of the rows stays spread out; a larger table is joined by shuffle,
+    where skewed partitions are split.
     """
     if known_rows is None:
         small = frozen(small)
-        known_rows = small.count()
-    if known_rows <= limit:
+        size = measured_bytes(small)
+    else:
+        size = known_rows * _width(small.schema)
+    if size <= limit:
         small = F.broadcast(small)
     return rows.join(small, list(keys), how)
 

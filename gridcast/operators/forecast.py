@@ -45,10 +45,14 @@ def latest_state(
     """
     ends = df.groupBy(*keys).agg(F.max(ts).alias("last_ts"))
     place = grid_pos(ts, step) - grid_pos("last_ts", step) + (length - 1)
+    # one value bounds the scan: the tail of the series that ends first
+    oldest = df.groupBy(*keys).agg(F.max(ts).alias("e")).agg(F.min("e").alias("e"))
+    since = oldest.select(at_micros(micros("e") - length * step_micros(step)).alias("since")).scalar()
     recent = (
-        attach(df, ends, keys)
-        .withColumn("_place", place.cast("int"))
+        attach(df.where(F.col(ts) >= since), ends, keys)
+        .withColumn("_place", place)
         .where("_place >= 0")
+        .withColumn("_place", F.col("_place").cast("int"))
         .groupBy(*keys, "last_ts")
         .agg(F.map_from_entries(F.collect_list(F.struct("_place", value))).alias("_m"))
     )

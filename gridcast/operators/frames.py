@@ -105,7 +105,7 @@ def window_starts(
         .withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
         .withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))))
     )
-    pick = F.pmod(hash_number([*keys, "batch", "sample"], seed), F.col("n") - length)
+    pick = F.pmod(hash_number([*keys, "batch", "sample"], seed, 15), F.col("n") - length)
     return drawn.select(*keys, "batch", "sample", pick.alias("start"))
 
 

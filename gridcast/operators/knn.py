@@ -1,10 +1,13 @@
 """k-nearest-neighbour regression, exact, without comparing all rows with all rows.
 
-Training rows are cut into tiles by nested quantiles, denser places into more of
-them; each tile keeps its bounding box and size. A query is first answered from its home tile. Its k
-neighbours can be no farther than that answer, so only the other tiles whose
-boxes come nearer are searched as well. A tile with many queries is searched by
-several tasks.
+Training rows are cut into tiles by a tree of binary splits at quantiles, one
+feature after the other, until every tile is small; each node of the tree keeps
+its bounding box and size. A query is first answered from its home, the deepest
+node around it that holds k rows. Its k neighbours can be no farther than that
+answer, so a second walk down the tree follows only nodes whose boxes come
+nearer, and the tiles it ends at are searched as well. Both walks visit a number
+of nodes that grows with the depth of the tree, not with the number of tiles. A
+tile with many queries is searched by several tasks.
 """
 
 from __future__ import annotations
@@ -17,120 +20,159 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from gridcast.session import frozen
+from gridcast.session import frozen, stored
 
-MAX_TILES = 65_536
-SPLIT_FEATURES = 4
-QUANTILES = 256
+#: Levels of the tree that one reading of the rows cuts, and the accuracy of their quantiles.
+LEVELS_AT_ONCE = 3
+ACCURACY = 1000
+#: Tiles that the driver and the tasks hold the tree of; some 100 bytes each. Beyond, tiles hold more rows.
+TREE_TILES = 1 << 18
 
 
-def _tile_udf(levels: Sequence[dict[int, tuple[int, np.ndarray]]]):
-    """Number of the tile that holds a point.
+class Tree:
+    """Binary splits in arrays: left and right child (-1: a tile), feature, cut, parent."""
+
+    def __init__(self):
+        self.left, self.right, self.parent = [-1], [-1], [-1]
+        self.feature, self.cut = [0], [0.0]
+
+    def split(self, node: int, feature: int, cuts: Sequence[float]) -> None:
+        """Cut a tile at ascending values: at the middle one, then both sides."""
+        if not len(cuts):
+            return
+        middle = len(cuts) // 2
+        first = len(self.left)
+        self.left[node], self.right[node] = first, first + 1
+        self.feature[node], self.cut[node] = feature, float(cuts[middle])
+        for grown, value in ((self.left, -1), (self.right, -1), (self.parent, node), (self.feature, 0), (self.cut, 0.0)):
+            grown += [value, value]
+        self.split(first, feature, cuts[:middle])
+        self.split(first + 1, feature, cuts[middle + 1 :])
+
+    def frame(self) -> dict[str, np.ndarray]:
+        kinds = {"left": "int32", "right": "int32", "parent": "int32", "feature": "int32", "cut": "float64"}
+        return {name: np.array(getattr(self, name), dtype=kind) for name, kind in kinds.items()}
 
-    Each level cuts the tiles of the level before along its own feature: a tile
-    maps to the number of its first part and the places of the cuts.
-    """
 
+def _walk(tree: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
+    """The tile of each point."""
+    at = np.zeros(len(points), dtype="int32")
+    moving = np.flatnonzero(tree["left"][at] >= 0)
+    while len(moving):
+        node = at[moving]
+        low = points[moving, tree["feature"][node]] <= tree["cut"][node]
+        at[moving] = np.where(low, tree["left"][node], tree["right"][node])
+        moving = moving[tree["left"][at[moving]] >= 0]
+    return at
+
+
+def _tile_udf(tree: dict[str, np.ndarray]):
     @F.pandas_udf(IntegerType())
     def tile(*columns: pd.Series) -> pd.Series:
-        at = np.zeros(len(columns[0]), dtype="int32")
-        for level, column in zip(levels, columns):
-            values, parts = column.to_numpy(), np.zeros_like(at)
-            for g in np.unique(at):
-                first, cuts = level.get(int(g), (0, values[:0]))
-                here = at == g
-                parts[here] = first + np.searchsorted(cuts, values[here], side="left")
-            at = parts
-        return pd.Series(at)
+        return pd.Series(_walk(tree, np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
     return tile
 
 
-def _tiled(train: DataFrame, features: Sequence[str], key: str, rows: int, tile_rows: int) -> DataFrame:
-    """Add `_tile`, with about `tile_rows` rows in each tile and MAX_TILES at most."""
-    if rows <= tile_rows:
-        return train.withColumn("_tile", F.lit(0))
-    tile_rows = max(tile_rows, rows / MAX_TILES)
-    split = list(features[:SPLIT_FEATURES])
-    steps = [i / QUANTILES for i in range(1, QUANTILES)]
-    levels: list[dict[int, tuple[int, np.ndarray]]] = []
-    for depth, feature in enumerate(split):
-        so_far = train.select(_tile_udf(levels)(*split).alias("_g"), F.col(feature).alias("_x"))
-        found = so_far.groupBy("_g").agg(
-            F.count("*").alias("n"), F.percentile_approx("_x", steps, 4 * QUANTILES).alias("q")
-        )
-        level, first = {}, 0
-        for r in found.collect():
-            parts = min(QUANTILES, max(1, round((r["n"] / tile_rows) ** (1 / (len(split) - depth)))))
-            cuts = np.array(sorted({r["q"][QUANTILES * j // parts - 1] for j in range(1, parts)}), dtype=float)
-            level[r["_g"]] = first, cuts
-            first += len(cuts) + 1
-        levels.append(level)
-    tiled = train.withColumn("_tile", _tile_udf(levels)(*split))
-
-    # rows that agree in every split feature share a tile however many they are
-    large, free = [], sum(len(cuts) + 1 for _, cuts in levels[-1].values())
-    for r in tiled.groupBy("_tile").agg(F.count("*").alias("n")).where(F.col("n") > 8 * tile_rows).collect():
-        parts = int(-(-r["n"] // (4 * tile_rows)))
-        large.append((r["_tile"], free, parts))
-        free += parts
-    if not large:
-        return tiled
-    spread = F.broadcast(train.sparkSession.createDataFrame(large, "_tile int, _first int, _parts int"))
-    part = (F.col("_first") + F.pmod(F.xxhash64(key), F.col("_parts"))).cast("int")
-    return (
-        tiled.join(spread, "_tile", "left")
-        .withColumn("_tile", F.coalesce(part, "_tile"))
-        .drop("_first", "_parts")
-    )
+def _tiled(train: DataFrame, features: Sequence[str], rows: int, tile_rows: int) -> tuple[DataFrame, Tree]:
+    """Add `_tile`, with about `tile_rows` distinct points in each tile at most.
+
+    Every round cuts the tiles that are still too large along the next feature;
+    it ends when none is, or when a whole turn of the features finds no cut.
+    """
+    tree, waiting, turn, idle = Tree(), rows > tile_rows, 0, 0
+    tile_rows = max(tile_rows, rows / TREE_TILES)
+    parts = 1 << LEVELS_AT_ONCE
+    while waiting and idle < len(features):
+        f = turn % len(features)
+        steps = [i / parts for i in range(1, parts)]
+        placed = train.select(_tile_udf(tree.frame())(*features).alias("_g"), F.col(features[f]).alias("_x"))
+        large = placed.groupBy("_g").agg(
+            F.count("*").alias("n"), F.max("_x").alias("most"), F.percentile_approx("_x", steps, ACCURACY).alias("q")
+        ).where(F.col("n") > tile_rows)
+        found, cut = large.collect(), 0
+        for r in found:
+            wanted = min(parts, 1 << max(1, int(np.ceil(np.log2(r["n"] / tile_rows)))))
+            cuts = sorted({r["q"][parts * j // wanted - 1] for j in range(1, wanted)} - {r["most"]})
+            tree.split(r["_g"], f, cuts)
+            cut += len(cuts)
+        waiting, turn, idle = bool(found), turn + 1, 0 if cut else idle + 1
+    return train.withColumn("_tile", _tile_udf(tree.frame())(*features)), tree
 
 
-class _Boxes:
-    """Bounding boxes and sizes of the tiles, which are bounded in number."""
+class Boxes:
+    """The tree with bounding boxes and sizes of its nodes, and the walks of queries down it."""
 
-    def __init__(self, rows: Sequence, features: Sequence[str], k: int):
+    def __init__(self, tree: Tree, rows: Sequence, features: Sequence[str], k: int):
         self.features = list(features)
-        self.tiles = np.array([r["_tile"] for r in rows], dtype="int32")
-        self.sizes = np.array([r["_n"] for r in rows])
-        self.low = np.array([[r[f"_lo{i}"] for i in range(len(features))] for r in rows])
-        self.high = np.array([[r[f"_hi{i}"] for i in range(len(features))] for r in rows])
-        self.wanted = min(k, int(self.sizes.sum()))
-
-    def blocks(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-        """Query points with the squared distance to the near and far end of every box."""
-        size = max(1, 2_000_000 // len(self.tiles))
+        self.tree = tree.frame()
+        count, wide = len(self.tree["left"]), len(self.features)
+        self.sizes = np.zeros(count, dtype="int64")
+        self.low, self.high = np.full((count, wide), np.inf), np.full((count, wide), -np.inf)
+        for r in rows:
+            t = r["_tile"]
+            self.sizes[t] = r["_n"]
+            self.low[t] = [r[f"_lo{i}"] for i in range(wide)]
+            self.high[t] = [r[f"_hi{i}"] for i in range(wide)]
+        for node in range(count - 1, 0, -1):  # children come after their parent
+            p = self.tree["parent"][node]
+            self.sizes[p] += self.sizes[node]
+            self.low[p] = np.minimum(self.low[p], self.low[node])
+            self.high[p] = np.maximum(self.high[p], self.high[node])
+        self.wanted = min(k, int(self.sizes[0]))
+
+    def _home(self, points: np.ndarray) -> np.ndarray:
+        """The deepest node around each point that holds enough rows."""
+        node = _walk(self.tree, points)
+        while (short := self.sizes[node] < self.wanted).any():
+            node[short] = self.tree["parent"][node[short]]
+        return node
+
+    def _near(self, points: np.ndarray, node: np.ndarray) -> np.ndarray:
+        gap = np.maximum(np.maximum(self.low[node] - points, points - self.high[node]), 0.0)
+        total = np.zeros(len(points))
+        for i in range(points.shape[1]):
+            total += gap[:, i] * gap[:, i]
+        return total
+
+    def tiles(self, points: np.ndarray, limit: np.ndarray, home: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray, int]:
+        """(point, tile) of tiles within the squared limits, in or out of the points' homes; and the nodes visited."""
+        asked = np.arange(len(points))
+        node = home.copy() if inside else np.zeros(len(points), dtype="int32")
+        found, visited = [], 0
+        while len(asked):
+            visited += len(asked)
+            keep = self.sizes[node] > 0
+            if not inside:
+                keep &= (node != home[asked]) & (self._near(points[asked], node) <= limit[asked] * (1 + 1e-9))
+            asked, node = asked[keep], node[keep]
+            end = self.tree["left"][node] < 0
+            found.append((asked[end], node[end]))
+            asked, node = asked[~end], node[~end]
+            asked, node = np.tile(asked, 2), np.concatenate([self.tree["left"][node], self.tree["right"][node]])
+        if not found:
+            return asked, node, visited
+        return np.concatenate([q for q, _ in found]), np.concatenate([t for _, t in found]), visited
+
+    def _pairs(self, batches: Iterator[pd.DataFrame], inside: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), size):
-                part = pdf.iloc[start : start + size]
-                near = np.zeros((len(part), len(self.tiles)))
-                far = np.zeros_like(near)
-                for i, f in enumerate(self.features):
-                    x = part[f].to_numpy()[:, None]
-                    gap = np.maximum(np.maximum(self.low[:, i] - x, x - self.high[:, i]), 0.0)
-                    reach = np.maximum(np.abs(x - self.low[:, i]), np.abs(x - self.high[:, i]))
-                    near += gap * gap
-                    far += reach * reach
-                yield part, near, far
+            for start in range(0, len(pdf), 4096):
+                part = pdf.iloc[start : start + 4096]
+                points = part[self.features].to_numpy(dtype=float)
+                limit = np.full(len(part), np.inf)
+                if not inside:
+                    limit = part["_reach"].to_numpy(dtype=float)
+                    limit[np.isnan(limit)] = np.inf
+                q, t, _ = self.tiles(points, limit, self._home(points), inside)
+                yield part[self.features].iloc[q].assign(_tile=t.astype("int32"))
 
     def home(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, near, _ in self.blocks(batches):
-            yield part[self.features].assign(_tile=self.tiles[np.argmin(near, axis=1)])
+        """The tiles of each point's home."""
+        return self._pairs(batches, True)
 
     def others(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """All tiles but the home one that may hold a neighbour.
-
-        `_reach` is the k-th squared distance found so far. Where that is
-        missing, the limit is the distance in which whole boxes hold k rows.
-        """
-        for part, near, far in self.blocks(batches):
-            order = np.argsort(far, axis=1)
-            enough = np.argmax(np.cumsum(self.sizes[order], axis=1) >= self.wanted, axis=1)
-            rows = np.arange(len(part))
-            limit = np.fmin(far[rows, order[rows, enough]], part["_reach"].to_numpy(dtype=float))
-            near_enough = near <= (limit * (1 + 1e-9))[:, None]
-            near_enough[rows, np.argmin(near, axis=1)] = False
-            q, t = np.nonzero(near_enough)
-            yield part[self.features].iloc[q].assign(_tile=self.tiles[t])
+        """The tiles beyond the home that come nearer than `_reach`, the k-th squared distance found at home."""
+        return self._pairs(batches, False)
 
 
 def _nearest(features: Sequence[str], label: str, key: str, k: int):
@@ -208,24 +250,27 @@ def knn_regress(
     """
     features = list(features)
     same = Window.partitionBy(*features).orderBy(key)
-    points = frozen(
+    points = stored(
         train.select(*features, F.col(key).cast("bigint").alias(key), F.col(label).cast("double").alias(label))
         .withColumn("_r", F.row_number().over(same))
         .where(F.col("_r") <= k)
-        .drop("_r")
+        .drop("_r"),
+        "points",
     )
-    tiled = frozen(_tiled(points, features, key, points.count(), tile_rows))
+    cut, tree = _tiled(points, features, points.count(), tile_rows)
+    tiled = stored(cut, "tiled")
     extent = [f(c).alias(f"_{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max))]
     boxes = tiled.groupBy("_tile").agg(F.count("*").alias("_n"), *extent).collect()
     if not boxes:
         return queries.withColumn(name, F.lit(None).cast("double"))
-    tiles = _Boxes(boxes, features, k)
+    tiles = Boxes(tree, boxes, features, k)
 
     asked = queries.select(*features).distinct()
     columns = ", ".join(f"`{f}` double" for f in features)
-    search = lambda pairs: _search(frozen(pairs), tiled, features, label, key, k, queries_per_task)
-    at_home = frozen(search(asked.mapInPandas(tiles.home, f"{columns}, _tile int")))
-    reach = at_home.groupBy(*features).agg(F.when(F.count("*") >= k, F.max("_d")).alias("_reach"))
+    search = lambda pairs: _search(stored(pairs, "pairs"), tiled, features, label, key, k, queries_per_task)
+    at_home = stored(search(asked.mapInPandas(tiles.home, f"{columns}, _tile int")), "at_home")
+    kth = F.element_at(F.sort_array(F.collect_list("_d")), k)
+    reach = at_home.groupBy(*features).agg(F.when(F.count("*") >= k, kth).alias("_reach"))
     nearby = search(reach.mapInPandas(tiles.others, f"{columns}, _tile int"))
     found = at_home.unionByName(nearby)
     nearest = Window.partitionBy(*features).orderBy("_d", "_id")

@@ -163,17 +163,24 @@ def bucketed_rank(
     `levels` are bucket columns, coarse to fine, that agree with `order`: a row
     of an earlier bucket comes first. Only the rows of one finest bucket are
     sorted together; the ranks before it are sums of counts, which are counted
-    once and frozen. While the largest bucket holds more than `leaf_rows`, the
-    next of the `finer` levels is added.
+    once and frozen. Buckets of more than `leaf_rows` rows, and only they, are
+    cut by the next of the `finer` levels.
     """
-    levels, finer = list(levels), list(finer)
+    finer = list(finer)
+    names = [n for n, _ in levels]
+    rows = df.withColumns(dict(levels))
     while True:
-        names = [n for n, _ in levels]
-        rows = df.withColumns(dict(levels))
         counts = frozen(rows.groupBy(*keys, *names).agg(F.count("*").alias("_n")))
-        if not finer or (counts.agg(F.max("_n")).first()[0] or 0) <= leaf_rows:
+        crowded = counts.where(F.col("_n") > leaf_rows).select(*keys, *names, F.lit(True).alias("_crowded"))
+        number = crowded.count() if finer else 0
+        if not number:
             break
-        levels.append(finer.pop(0))
+        level, value = finer.pop(0)
+        kind = df.select(value.alias("v")).schema["v"].dataType.simpleString()
+        whole = F.lit("" if kind == "string" else 0).cast(kind)
+        rows = attach(rows, crowded, [*keys, *names], known_rows=number)
+        rows = rows.withColumn(level, F.when(F.col("_crowded"), value).otherwise(whole)).drop("_crowded")
+        names.append(level)
     offsets = counts
     for depth in range(len(names), 0, -1):
         parent, here = [*keys, *names[: depth - 1]], names[depth - 1]
@@ -191,7 +198,7 @@ def bucketed_rank(
     offsets = offsets.select(*keys, *names, start.cast("bigint").alias("_start"))
     local = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
     return (
-        rows.join(offsets, [*keys, *names])
+        attach(rows, offsets, [*keys, *names], "inner", known_rows=counts.count())
         .withColumn(name, F.col("_start") + local)
         .drop("_start", *names)
     )
@@ -204,16 +211,20 @@ def row_ordinal(
     tie: str | None = None,
     name: str = "ordinal",
     leaf_rows: int = LEAF_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
     """1-based position of every row in its series by time.
 
-    `tie` is an integer column that orders rows of the same time. Buckets are
-    days and seconds; crowded seconds are cut into microseconds, and those by
-    the tie column.
+    `tie` is an integer column that orders rows of the same time; without one,
+    `unique` declares that a series has each time once. Buckets are days;
+    crowded days are cut into seconds, those into microseconds, and those by the
+    tie column.
     """
+    if tie is None and not unique:
+        raise ValueError("rows of the same time need a tie column, or declare unique=True")
     time = micros(ts)
-    levels = [("_day", _floor_to(time, DAY)), ("_second", _floor_to(time, SECOND))]
-    finer, order = [("_micro", time)], [F.col(ts)]
+    levels = [("_day", _floor_to(time, DAY))]
+    finer, order = [("_second", _floor_to(time, SECOND)), ("_micro", time)], [F.col(ts)]
     if tie is not None:
         order.append(F.col(tie))
         number = F.col(tie).cast("bigint")

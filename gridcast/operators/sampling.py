@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.values import hash_number, hash_text, hash_unit
 from gridcast.operators.align import attach
-from gridcast.operators.rank import bucketed_rank, key_ordinal
+from gridcast.operators.rank import bucketed_rank, key_ordinal, rank_cutoff
+from gridcast.session import frozen
 
 
 def hash_split(
@@ -33,9 +34,23 @@ def hash_fold(
 def sample_series(
     df: DataFrame, n: int, seed: int = 8, keys: Sequence[str] = ("series_id",)
 ) -> DataFrame:
-    """All rows of `n` series drawn at random."""
-    drawn = df.select(*keys).distinct().orderBy(hash_text(list(keys), seed), *keys).limit(n)
-    return attach(df, drawn, keys, "left_semi")
+    """All rows of `n` series drawn at random: those with the smallest digests.
+
+    The digest at the cut is found by counting leading digits, so the keys are
+    not brought together.
+    """
+    drawn = frozen(df.select(*keys).distinct().withColumn("_number", hash_number(list(keys), seed, 15)))
+    if drawn.count() <= n:
+        return df
+    ranks = df.sparkSession.createDataFrame([(0, n)], "_all int, rank bigint")
+    every = drawn.withColumn("_all", F.lit(0))
+    cut = rank_cutoff(every, ranks, [("_n", F.col("_number"), [1 << w for w in (48, 36, 24, 12, 0)])], ["_all"], 1)
+    last = cut.first()["_n_cut"] if n > 0 else -1
+    before = drawn.where(F.col("_number") < last)
+    # digests that agree in 60 bits: the rest of the digest and the keys decide
+    place = F.row_number().over(Window.partitionBy("_number").orderBy(hash_text(list(keys), seed), *keys))
+    at = drawn.where(F.col("_number") == last).withColumn("_place", place).where(F.col("_place") <= n - before.count())
+    return attach(df, before.select(*keys).unionByName(at.select(*keys)), keys, "left_semi")
 
 
 def first_series(df: DataFrame, n: int, keys: Sequence[str] = ("series_id",)) -> DataFrame:
@@ -66,7 +81,7 @@ def shuffle_batches(df: DataFrame, batch_size: int, key: Sequence[str], seed: in
     digest = hash_text(list(key), seed)
     digits = [(f"_d{i}", F.substring(digest, 2 * i + 1, 2)) for i in range(5)]
     order = [digest, *[F.col(k) for k in key]]
-    ranked = bucketed_rank(df, digits[:2], order, name="_rank", finer=digits[2:])
+    ranked = bucketed_rank(df, digits[:1], order, name="_rank", finer=digits[1:])
     place = F.col("_rank") - 1
     return (
         ranked.withColumn("batch", F.floor(place / batch_size))

@@ -6,6 +6,7 @@ Every summary is one aggregation over all columns, combined before its shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from gridcast.functions.values import missing_to_null
 
 
+#: Pairs of columns that one aggregation takes; more make its generated code too long.
+PAIRS_AT_ONCE = 32
+
+
 def _long(df: DataFrame, groups: Sequence[str], rows: list[Column]) -> DataFrame:
     return df.select(*groups, F.inline(F.array(*rows)))
 
@@ -21,26 +26,22 @@ def _long(df: DataFrame, groups: Sequence[str], rows: list[Column]) -> DataFrame
 def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
     """Pearson r of each pair over the rows where both are present: (by…, pair, r).
 
-    Every row is laid out as its pairs inside the task and combined there, so
-    the plan stays small for any number of columns and little is shuffled. A
-    constant side gives null.
+    Rows are read once for each `PAIRS_AT_ONCE` pairs and never laid out by
+    pair: every pair is a few sums of the same aggregation. A constant side
+    gives null.
     """
-    columns = dict.fromkeys(c for pair in pairs for c in pair)
-    clean = df.select(*by, *[missing_to_null(c).alias(f"_v_{c}") for c in columns])
-    cells = [
-        F.struct(F.lit(i).alias("pair"), F.col(f"_v_{a}").alias("u"), F.col(f"_v_{b}").alias("v"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    rows = clean.select(*by, F.inline(F.array(*cells)))
-    if not by:
-        # a pair without a single row is reported too
-        rows = rows.unionByName(
-            df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair")), allowMissingColumns=True
-        )
-    both = F.col("u").isNotNull() & F.col("v").isNotNull()
-    u, v = F.when(both, F.col("u")), F.when(both, F.col("v"))
-    r = F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))
-    return rows.groupBy(*by, "pair").agg(r.alias("r"))
+    out = []
+    for first in range(0, len(pairs), PAIRS_AT_ONCE):
+        sums, cells = [], []
+        for i, (a, b) in enumerate(pairs[first : first + PAIRS_AT_ONCE], first):
+            x, y = missing_to_null(a), missing_to_null(b)
+            both = x.isNotNull() & y.isNotNull()
+            u, v = F.when(both, x), F.when(both, y)
+            r = F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))
+            sums.append(r.alias(f"_r{i}"))
+            cells.append(F.struct(F.lit(i).alias("pair"), F.col(f"_r{i}").alias("r")))
+        out.append(_long(df.groupBy(*by).agg(*sums), by, cells))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _named(pairs: Sequence[tuple[str, str]], side: int) -> Column:
@@ -141,7 +142,7 @@ def column_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 
 
 def series_mean(df: DataFrame, value: str = "value", keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    return df.groupBy(*keys).agg(F.avg(missing_to_null(value)).alias("mean"))
 
 
 def mse(y: Column, p: Column) -> Column:
@@ -161,7 +162,8 @@ def r2(y: Column, p: Column) -> Column:
 
 def mape(y: Column, p: Column) -> Column:
     """Mean absolute percentage error; rows whose truth is 0 are left out."""
-    return F.avg(F.abs(F.try_divide(y - p, y))) * 100
+    share = F.abs(F.try_divide(y - p, y))
+    return F.avg(F.when(~F.isnan(share), share)) * 100
 
 
 def error_metrics(
@@ -197,7 +199,7 @@ def warmup_mse(
 ) -> DataFrame:
     """MSE without the first `skip` steps (0-based) of each sequence."""
     rows = df.where(F.col(step) >= skip)
-    return rows.groupBy(*by).agg(mse(F.col(truth), F.col(predicted)).alias("mse"))
+    return rows.groupBy(*by).agg(mse(missing_to_null(truth), missing_to_null(predicted)).alias("mse"))
 
 
 def fold_summary(scores: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("model",)) -> DataFrame:

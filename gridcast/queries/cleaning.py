@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import columns as C
 from gridcast.operators.rank import first_rows, last_rows
-from gridcast.queries.registry import daily_users, query, readings, rnd, table, tidy
+from gridcast.queries.registry import SPAN, daily_users, days_of, query, readings, rnd, table, tidy
 
 
 def _deviations(spark, sf):
@@ -161,18 +161,16 @@ def sort_by_key(spark, sf):
     return tidy(readings(spark, sf)).orderBy("series_id", "ts")
 
 
-DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]
-
-
 @query(
     "unpivot_long",
-    f"""WITH d AS (SELECT CAST(user_id AS VARCHAR) series_id, CAST(ts AS DATE) ts, sum(value) v FROM events GROUP BY 1, 2),
+    f"""WITH {SPAN}, d AS (SELECT CAST(user_id AS VARCHAR) series_id, CAST(ts AS DATE) ts, sum(value) v FROM events GROUP BY 1, 2),
 u AS (SELECT DISTINCT series_id FROM d),
-g AS (SELECT series_id, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE ts FROM u)
+g AS (SELECT series_id, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE ts FROM u, span)
 SELECT g.series_id, g.ts, {rnd('d.v')} AS value FROM g LEFT JOIN d USING (series_id, ts)""",
 )
 def unpivot_long(spark, sf):
-    wide = C.pivot(daily_users(spark, sf).withColumn("ts", F.col("ts").cast("string")), "series_id", DAYS)
+    days = daily_users(spark, sf)
+    wide = C.pivot(days.withColumn("ts", F.col("ts").cast("string")), "series_id", days_of(days))
     return tidy(C.unpivot(wide, "series_id"))
 
 

@@ -13,8 +13,7 @@ from gridcast.plans.dataset import QUARTER, build_dataset, sensor_grid
 from gridcast.plans.many_series import forecast_many, forecast_validation, segment_values
 from gridcast.plans.submission import hourly_submission, keyless_submission
 from gridcast.plans.training import prepare, train_and_score
-from gridcast.queries.cleaning import DAYS
-from gridcast.queries.registry import GRID_15, daily_users, query, readings, readings_two, rnd, tidy
+from gridcast.queries.registry import GRID_15, SPAN, daily_users, days_of, query, readings, readings_two, rnd, tidy
 from gridcast.queries.sequences import _FILLED, _PROFILE, _profile, hourly
 from gridcast.session import frozen, scratch_path
 from gridcast.sources.csv import number_across_files, read_ordered_numbers, write_ordered_numbers
@@ -141,16 +140,16 @@ def holdout_score_linear(spark, sf):
 
 def _wide_to_daily(spark, sf):
     """Page-by-day matrix back to rows, missing days as 0."""
-    wide = pivot(daily_users(spark, sf).withColumn("ts", F.col("ts").cast("string")), "series_id", DAYS)
+    days = daily_users(spark, sf)
+    wide = pivot(days.withColumn("ts", F.col("ts").cast("string")), "series_id", days_of(days))
     return fill_missing(unpivot(wide, "series_id"), ["value"])
 
 
-_WIDE = f"""d AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS ts, sum(value) AS value FROM events GROUP BY 1, 2),
-g AS (SELECT series_id, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE ts FROM (SELECT DISTINCT series_id FROM d) u),
+_WIDE = f"""{SPAN}, d AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS ts, sum(value) AS value FROM events GROUP BY 1, 2),
+g AS (SELECT series_id, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE ts FROM (SELECT DISTINCT series_id FROM d) u, span),
 z AS (SELECT g.series_id, g.ts, coalesce(d.value, 0) AS value FROM g LEFT JOIN d USING (series_id, ts)),
-bounds(segment, part, lo, hi) AS (VALUES
-  ('train_history', 'train', DATE '2024-01-01', DATE '2024-01-16'), ('train_target', 'train', DATE '2024-01-17', DATE '2024-01-23'),
-  ('val_history', 'val', DATE '2024-01-08', DATE '2024-01-23'), ('val_target', 'val', DATE '2024-01-24', DATE '2024-01-30')),
+bounds AS (SELECT 'train_history' AS segment, 'train' AS part, a AS lo, z - 14 AS hi FROM span UNION ALL SELECT 'train_target', 'train', z - 13, z - 7 FROM span
+  UNION ALL SELECT 'val_history', 'val', a + 7, z - 7 FROM span UNION ALL SELECT 'val_target', 'val', z - 6, z FROM span),
 w AS (SELECT series_id, ts, value, segment, part FROM z JOIN bounds ON ts BETWEEN lo AND hi),
 m AS (SELECT series_id, part, avg(ln(1 + value)) AS a FROM w WHERE segment LIKE '%_history' GROUP BY 1, 2)"""
 
@@ -174,8 +173,8 @@ s AS (SELECT series_id, a, list(ln(1 + value) - a ORDER BY ts) AS h FROM w JOIN
   WHERE segment = 'val_history' GROUP BY 1, 2),
 x(series_id, a, h, step) AS (SELECT series_id, a, h, 0 FROM s UNION ALL
   SELECT series_id, a, list_append(h, {_STEP}), step + 1 FROM x WHERE step < 7)
-SELECT series_id, step::BIGINT AS step, (DATE '2024-01-23' + INTERVAL 1 DAY * step)::TIMESTAMP AS ts,
-  {rnd('exp(h[-1] + a) - 1', 3)} AS prediction FROM x WHERE step > 0""",
+SELECT series_id, step::BIGINT AS step, (span.z - 7 + INTERVAL 1 DAY * step)::TIMESTAMP AS ts,
+  {rnd('exp(h[-1] + x.a) - 1', 3)} AS prediction FROM x, span WHERE step > 0""",
 )
 def many_series_recursion(spark, sf):
     segments = segment_values(_wide_to_daily(spark, sf), 7)
@@ -196,11 +195,11 @@ e AS (SELECT series_id, part, segment, ts, a, ln(1 + value) - a AS s FROM w JOIN
 t AS (SELECT c.s AS y, p.s AS x FROM e c JOIN e p ON p.series_id = c.series_id AND p.ts = c.ts - 1
   WHERE c.part = 'train' AND p.part = 'train' AND c.segment = 'train_target'),
 fit AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM t),
-x(series_id, a, h, step) AS (SELECT series_id, a, s, 0 FROM e WHERE segment = 'val_history' AND ts = DATE '2024-01-23' UNION ALL
+x(series_id, a, h, step) AS (SELECT series_id, e.a, s, 0 FROM e, span WHERE segment = 'val_history' AND ts = span.z - 7 UNION ALL
   SELECT series_id, a, b0 + b1 * h, step + 1 FROM x, fit WHERE step < 7)
-SELECT x.series_id, x.step::BIGINT AS step, (DATE '2024-01-23' + INTERVAL 1 DAY * x.step)::TIMESTAMP AS ts,
+SELECT x.series_id, x.step::BIGINT AS step, (span.z - 7 + INTERVAL 1 DAY * x.step)::TIMESTAMP AS ts,
   {rnd('exp(x.h + x.a) - 1', 3)} AS prediction, {rnd('z.value', 3)} AS truth
-FROM x JOIN z ON z.series_id = x.series_id AND z.ts = DATE '2024-01-23' + x.step WHERE x.step > 0""",
+FROM span, x JOIN z ON z.series_id = x.series_id WHERE z.ts = span.z - 7 + x.step AND x.step > 0""",
 )
 def many_series_one_lag(spark, sf):
     _, scored, _ = forecast_many(_wide_to_daily(spark, sf), 7, [1])

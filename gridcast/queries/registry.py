@@ -48,6 +48,12 @@ def daily_users(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("user_id").cast("string").alias("series_id"), F.col("day").alias("ts"), "value")
 
 
+def days_of(days: DataFrame) -> list[str]:
+    """The names of all days from the first to the last one of a daily table."""
+    span = days.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    return [str(r.day) for r in span.select(F.explode(F.sequence("lo", "hi")).alias("day")).collect()]
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded half up, integers as bigint: independent of the order of sums."""
     out, scale = [], F.lit(10.0**digits)
@@ -75,4 +81,6 @@ b AS (SELECT event_type series_id, time_bucket(INTERVAL '15 minutes', ts) ts, av
 r AS (SELECT g.series_id, g.ts, b.v, b.k FROM g LEFT JOIN b USING (series_id, ts))
 """
 
+SPAN = "span AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS z FROM events)"
+
 GRID_HOUR = GRID_15.replace("15 minutes", "1 hour")

@@ -11,8 +11,8 @@ def _digest(columns: str, seed: int) -> str:
     return f"md5(concat_ws('|', {columns}, '{seed}'))"
 
 
-def _number(columns: str, seed: int) -> str:
-    return f"('0x' || substr({_digest(columns, seed)}, 1, 8))::BIGINT"
+def _number(columns: str, seed: int, digits: int = 8) -> str:
+    return f"('0x' || substr({_digest(columns, seed)}, 1, {digits}))::BIGINT"
 
 
 def _orders(spark, sf):
@@ -118,9 +118,9 @@ def first_batch(spark, sf):
 
 @query(
     "consecutive_batches",
-    """WITH o AS (SELECT event_type series_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS p FROM events)
+    """WITH o AS (SELECT event_type series_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS p FROM events)
 SELECT series_id, event_id, (p // 32)::BIGINT AS batch FROM o""",
 )
 def consecutive_batches(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_type").alias("series_id"), "event_id", "ts")
-    return tidy(O.consecutive_batches(row_ordinal(rows), 32).select("series_id", "event_id", "batch"))
+    return tidy(O.consecutive_batches(row_ordinal(rows, tie="event_id"), 32).select("series_id", "event_id", "batch"))

@@ -5,12 +5,14 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from gridcast.functions import values as V
+from gridcast.functions.timecols import grid_pos, pos_start
 from gridcast.operators import frames as W
+from gridcast.operators.align import attach
 from gridcast.operators.analog import analog_day, day_distances
 from gridcast.operators.columns import fill_missing
 from gridcast.operators.forecast import latest_state, recursive_linear
 from gridcast.operators.grid import calendar_ordinal, resample_mean
-from gridcast.queries.registry import GRID_HOUR, daily_users, query, readings, readings_two, rnd, tidy
+from gridcast.queries.registry import GRID_HOUR, SPAN, daily_users, query, readings, readings_two, rnd, tidy
 from gridcast.queries.sampling import _number
 
 HOUR = timedelta(hours=1)
@@ -66,14 +68,16 @@ def single_step_frames(spark, sf):
     "random_windows",
     f"""WITH {_FILLED}, t AS (SELECT DISTINCT series_id, floor(n * 0.9)::BIGINT AS n FROM f),
 d AS (SELECT series_id, n, b AS batch, s AS sample FROM t, generate_series(0, 1) x(b), generate_series(0, 7) y(s)),
-w AS (SELECT series_id, batch, sample, {_number('series_id, batch, sample', 5)} % (n - 168) AS start FROM d)
+w AS (SELECT series_id, batch, sample, {_number('series_id, batch, sample', 5, 15)} % (n - 168) AS start FROM d)
 SELECT w.series_id, w.batch::BIGINT AS batch, w.sample::BIGINT AS sample, (f.i - w.start)::BIGINT AS pos, {rnd('f.value')} AS value
 FROM w JOIN f ON f.series_id = w.series_id AND f.i >= w.start AND f.i < w.start + 168""",
 )
 def random_windows(spark, sf):
     rows = hourly(spark, sf)
-    first = rows.groupBy("series_id").agg(F.min("ts").alias("first_ts"), F.count("*").alias("rows"))
-    numbered = calendar_ordinal(rows.join(first, "series_id"), HOUR, F.col("first_ts"))
+    bounds = readings(spark, sf).groupBy("series_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    cells = grid_pos("hi", HOUR) - grid_pos("lo", HOUR) + 1
+    first = bounds.select("series_id", pos_start(grid_pos("lo", HOUR), HOUR).alias("first_ts"), cells.alias("rows"))
+    numbered = calendar_ordinal(attach(rows, first, ["series_id"]), HOUR, F.col("first_ts"))
     limits = first.select("series_id", F.floor(F.col("rows") * 0.9).alias("n"))
     starts = W.window_starts(limits, 2, 8, 168, 5)
     stacked = W.random_windows(numbered, starts, 168, ["value"])
@@ -81,9 +85,8 @@ def random_windows(spark, sf):
     return tidy(steps.select("series_id", "batch", "sample", "pos", "s.value"))
 
 
-_SEGMENTS = """bounds(segment, lo, hi) AS (VALUES
-  ('train_history', DATE '2024-01-01', DATE '2024-01-16'), ('train_target', DATE '2024-01-17', DATE '2024-01-23'),
-  ('val_history', DATE '2024-01-08', DATE '2024-01-23'), ('val_target', DATE '2024-01-24', DATE '2024-01-30'))"""
+_SEGMENTS = f"""{SPAN}, bounds AS (SELECT 'train_history' AS segment, a AS lo, z - 14 AS hi FROM span UNION ALL SELECT 'train_target', z - 13, z - 7 FROM span
+  UNION ALL SELECT 'val_history', a + 7, z - 7 FROM span UNION ALL SELECT 'val_target', z - 6, z FROM span)"""
 _DAILY = "d AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS ts, sum(value) AS value FROM events GROUP BY 1, 2)"
 
 

@@ -43,30 +43,78 @@ def test_equals_brute_force_with_clusters_copies_and_busy_tiles(spark, k):
     assert {r["id"]: r["prediction"] for r in got.collect()} == pytest.approx(brute(train, queries, k))
 
 
-def test_rows_that_agree_in_the_split_features_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(K, "SPLIT_FEATURES", 2)
+def test_rows_that_agree_in_some_features_are_cut_by_others(spark):
     r = np.random.default_rng(7)
     train = [(i, (1.0, 2.0, float(x)), float(i)) for i, x in enumerate(np.round(r.uniform(0, 9, 200), 4))]
     train += [(200 + i, tuple(map(float, x)), 0.0) for i, x in enumerate(np.round(r.uniform(0, 9, (40, 3)), 4))]
     t, q = as_frames(spark, train, [(i, (1.0, 2.0, i / 10)) for i in range(90)])
-    sizes = K._tiled(t, ["a", "b", "c"], "id", 240, 5).groupBy("_tile").count().collect()
-    assert max(x["count"] for x in sizes) < 60 and sum(x["count"] for x in sizes) == 240
+    sizes = K._tiled(t, ["a", "b", "c"], 240, 5)[0].groupBy("_tile").count().collect()
+    assert max(x["count"] for x in sizes) <= 5 and sum(x["count"] for x in sizes) == 240
     got = knn_regress(t, q, ["a", "b", "c"], "y", "id", tile_rows=5)
     queries = [(i, (1.0, 2.0, i / 10)) for i in range(90)]
     assert {r["id"]: r["prediction"] for r in got.collect()} == pytest.approx(brute(train, queries, 5))
 
 
+def test_one_feature(spark):
+    r = np.random.default_rng(8)
+    train = [(i, (float(x), 0.0, 0.0), float(i % 9)) for i, x in enumerate(np.round(r.normal(0, 1, 900), 3))]
+    queries = [(i, (float(x), 0.0, 0.0)) for i, x in enumerate(np.round(r.normal(0, 2, 200), 3))]
+    t, q = as_frames(spark, train, queries)
+    sizes = K._tiled(t, ["a"], 900, 8)[0].groupBy("_tile").count().collect()
+    assert len(sizes) > 80
+    got = knn_regress(t, q, ["a"], "y", "id", tile_rows=8)
+    assert {r["id"]: r["prediction"] for r in got.collect()} == pytest.approx(brute(train, queries, 5))
+
+
 def test_fewer_rows_than_neighbours(spark):
     t, q = as_frames(spark, [(1, (0.0, 0.0, 0.0), 2.0), (2, (9.0, 9.0, 9.0), 4.0)], [(1, (1.0, 1.0, 1.0))])
     assert knn_regress(t, q, ["a", "b", "c"], "y", "id").first()["prediction"] == 3.0
     assert knn_regress(t.limit(0), q, ["a", "b", "c"], "y", "id").first()["prediction"] is None
 
 
+def even_tree(levels, wide):
+    """A tree that halves the unit box along one feature after the other, with its boxes."""
+    tree, boxes, open_ = K.Tree(), {0: (np.zeros(wide), np.ones(wide))}, [0]
+    for level in range(levels):
+        f, grown = level % wide, []
+        for node in open_:
+            low, high = boxes.pop(node)
+            middle = (low[f] + high[f]) / 2
+            tree.split(node, f, [middle])
+            for child, edge in ((tree.left[node], high), (tree.right[node], low)):
+                part = [low.copy(), high.copy()]
+                part[1 if edge is high else 0][f] = middle
+                boxes[child] = tuple(part)
+                grown.append(child)
+        open_ = grown
+    rows = [
+        {"_tile": t, "_n": 8, **{f"_lo{i}": low[i] for i in range(wide)}, **{f"_hi{i}": high[i] for i in range(wide)}}
+        for t, (low, high) in boxes.items()
+    ]
+    return tree, rows
+
+
+def test_nodes_visited_stay_near_constant():
+    points = np.random.default_rng(1).uniform(0, 1, (500, 2))
+    visits = []
+    for levels in (10, 17):
+        tree, rows = even_tree(levels, 2)
+        boxes = K.Boxes(tree, rows, ["a", "b"], 5)
+        reach = np.full(500, 0.5 / 2**levels)  # the area of half a tile
+        _, found, visited = boxes.tiles(points, reach, boxes._home(points), False)
+        visits.append((visited / 500, len(found) / 500))
+    assert visits[1][0] < 2.2 * visits[0][0] and visits[1][0] < 100
+    assert visits[1][1] < 1.5 * visits[0][1] + 1
+
+
 def test_only_near_tiles_are_searched():
-    rows = [{"_tile": t, "_n": 5, "_lo0": 10.0 * t, "_hi0": 10.0 * t + 1} for t in range(3)]
-    boxes = K._Boxes(rows, ["a"], 8)
+    tree = K.Tree()
+    tree.split(0, 0, [1.0, 11.0])
+    order = K._walk(tree.frame(), np.array([[0.5], [10.5], [20.5]]))
+    where = dict(zip(order.tolist(), (0.0, 10.0, 20.0)))
+    boxes = K.Boxes(tree, [{"_tile": t, "_n": 8, "_lo0": lo, "_hi0": lo + 1} for t, lo in where.items()], ["a"], 8)
     home = pd.concat(boxes.home(iter([pd.DataFrame({"a": [0.5, 20.5, 4.0]})])))
-    assert list(home["_tile"]) == [0, 2, 0]
-    asked = pd.DataFrame({"a": [0.5, 20.5, 4.0, 4.0], "_reach": [1.0, 100.0, None, 30.0]})
+    assert dict(zip(home["a"], home["_tile"].map(where))) == {0.5: 0.0, 20.5: 20.0, 4.0: 10.0}
+    asked = pd.DataFrame({"a": [0.5, 20.5, 4.0, 4.0], "_reach": [1.0, 100.0, None, 16.0]})
     others = pd.concat(boxes.others(iter([asked])))
-    assert sorted(map(tuple, others.to_numpy())) == [(4.0, 1), (20.5, 1)]
+    assert sorted(zip(others["a"], others["_tile"].map(where))) == [(4.0, 0.0), (4.0, 0.0), (4.0, 20.0), (20.5, 10.0)]
