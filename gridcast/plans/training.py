@@ -39,18 +39,18 @@ def fit_forecaster(
     regressor: Estimator,
     fraction: float = 0.8,
     keys: Sequence[str] = ("series_id",),
-    tolerance: float = 0.01,
+    patience: int = 30,
 ) -> Model:
     """Fit on the first part of each series.
 
-    Boosted trees stop when the rest of the series no longer gains; other
-    models do not see the rest.
+    Boosted trees keep the rounds with the least error on the rest of the
+    series; other models do not see the rest.
     """
     split = chrono_split(rows, fraction, keys)
     if isinstance(regressor, GBTRegressor):
         marked = split.withColumn("is_validation", ~F.col("is_train"))
         vectors = xy_split(marked, features, label, ["is_validation"])
-        return fit_early_stop(vectors, regressor, "is_validation", tolerance)
+        return fit_early_stop(vectors, regressor, "is_validation", patience)
     return regressor.fit(xy_split(split.where("is_train"), features, label))
 
 

@@ -17,9 +17,9 @@ from gridcast.operators.sampling import hash_fold, hash_split
 from gridcast.operators.scale import fit_standard, standardise
 from gridcast.operators.stats import error_metrics, fold_summary
 from gridcast.plans.training import fit_forecaster
-from gridcast.queries.registry import query, readings, rnd, table, tidy
+from gridcast.queries.registry import GRID_HOUR, query, readings, rnd, table, tidy
 from gridcast.queries.sampling import _number
-from gridcast.session import frozen
+from gridcast.session import frozen, stored
 
 HOUR = timedelta(hours=1)
 FEATURES = ["time", "day", "load"]
@@ -76,6 +76,90 @@ def linear_cv_one_feature(spark, sf):
     return tidy(fold_summary(scores, ["rmse", "r2", "mae"]), 4)
 
 
+_FOLDS = f"""x AS (SELECT event_id, value AS y, CAST(json_extract(props, '$.k') AS DOUBLE) AS c, {_number('event_id', 21)} % 10 AS fold FROM events
+  WHERE NOT ({_number('event_id', 42)} / 4294967296.0 < 0.33)),
+st AS (SELECT k, round(avg(c), 6) AS m, round(stddev_pop(c), 6) AS d, avg(y) AS ym FROM x, range(10) t(k) WHERE fold <> k GROUP BY k)"""
+
+
+def _summary(model: str) -> str:
+    """SQL of the fold summary from q: k, y, p."""
+    scores = """s AS (SELECT k, sqrt(avg((y - p) ** 2)) AS rmse, 1 - avg((y - p) ** 2) / var_pop(y) AS r2, avg(abs(y - p)) AS mae FROM q GROUP BY k)
+"""
+    return scores + " UNION ALL ".join(
+        f"SELECT '{model}' AS model, '{m}' AS metric, {rnd(f'avg({m})', 3)} AS mean, {rnd(f'stddev_pop({m})', 3)} AS std FROM s"
+        for m in ("rmse", "r2", "mae")
+    )
+
+
+def _penalised(model: str, alpha: float, ratio: float) -> str:
+    """One standardised feature: the slope is its covariance with the label, cut by the penalty and shrunk."""
+    return f"""WITH {_FOLDS},
+cov AS (SELECT k, avg((c - m) / d * (y - ym)) AS v, avg(((c - m) / d) ** 2) AS q, avg((c - m) / d) AS z FROM x, st WHERE fold <> k GROUP BY k),
+w AS (SELECT k, sign(v) * greatest(abs(v) - {alpha * ratio}, 0) / (q + {alpha * (1 - ratio)}) AS w FROM cov),
+q AS (SELECT k, y, ym + w * (c - m) / d AS p FROM x JOIN st ON fold = k JOIN w USING (k)), """ + _summary(model)
+
+
+def _one_feature(spark, sf, models):
+    rows = hash_split(_samples(spark, sf), 0.33, ["event_id"]).where("not is_test")
+    scores = M.cross_validate(hash_fold(rows, 10, ["event_id"]), models, ["load"], "label_value", key="event_id")
+    return tidy(fold_summary(scores, ["rmse", "r2", "mae"]), 3)
+
+
+@query("lasso_one_feature", _penalised("lasso", 0.05, 1.0))
+def lasso_one_feature(spark, sf):
+    return _one_feature(spark, sf, {"lasso": M.lasso(0.05, tol=1e-12)})
+
+
+@query("elastic_net_one_feature", _penalised("elastic_net", 0.2, 0.25))
+def elastic_net_one_feature(spark, sf):
+    return _one_feature(spark, sf, {"elastic_net": M.elastic_net(0.2, 0.25, tol=1e-12)})
+
+
+@query(
+    "model_comparison",
+    f"""WITH {_FOLDS}, z AS (SELECT k, event_id, y, fold, (c - m) / d AS c FROM x, st),
+e AS (SELECT q.k, q.event_id, q.y, t.y AS ty, t.event_id AS id, (q.c - t.c) * (q.c - t.c) AS d FROM z q JOIN z t ON q.k = t.k AND q.fold = q.k AND t.fold <> t.k),
+q AS (SELECT k, event_id, any_value(y) AS y, list_avg(min_by(ty, (d, id), 5)) AS p FROM e GROUP BY k, event_id), """
+    + _summary("nearest")
+    + f""" UNION ALL SELECT * FROM (WITH {_FOLDS},
+f AS (SELECT k, regr_slope(y, c) AS b, regr_intercept(y, c) AS a FROM x, range(10) t(k) WHERE fold <> k GROUP BY k),
+q AS (SELECT k, y, a + b * c AS p FROM x JOIN f ON fold = k), """
+    + _summary("linear")
+    + ")",
+)
+def model_comparison(spark, sf):
+    return _one_feature(spark, sf, {"nearest": M.Nearest(5, tile_rows=512), "linear": M.linear()})
+
+
+_STUMP = f"""WITH x AS (SELECT event_id, value AS y, hour(ts)::DOUBLE AS c, {_number('event_id', 42)} / 4294967296.0 < 0.33 AS is_test FROM events),
+t AS (SELECT * FROM x WHERE NOT is_test), v AS (SELECT DISTINCT c FROM t),
+g AS (SELECT v.c AS cut, count(*) FILTER (WHERE t.c <= v.c) AS nl, count(*) FILTER (WHERE t.c > v.c) AS nr,
+  var_pop(y) FILTER (WHERE t.c <= v.c) AS vl, var_pop(y) FILTER (WHERE t.c > v.c) AS vr,
+  avg(y) FILTER (WHERE t.c <= v.c) AS yl, avg(y) FILTER (WHERE t.c > v.c) AS yr FROM t, v GROUP BY v.c),
+b AS (SELECT * FROM g WHERE nr > 0 ORDER BY nl * vl + nr * vr LIMIT 1)
+SELECT event_id, {rnd('CASE WHEN c <= cut THEN yl ELSE yr END', 4)} AS prediction FROM x, b WHERE is_test"""
+
+
+def _stump(spark, sf, model):
+    rows = table(spark, sf, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"))
+    rows = hash_split(rows, 0.33, ["event_id"])
+    fitted = model.fit(M.xy_split(rows.where("not is_test"), ["hour"], "value"))
+    scored = fitted.transform(M.xy_split(rows.where("is_test"), ["hour"], None, ["event_id"]))
+    return tidy(scored.select("event_id", "prediction"), 4)
+
+
+@query("cart_stump", _STUMP)
+def cart_stump(spark, sf):
+    """A tree of one split: the cut with the least variance on both sides, and the means there."""
+    return _stump(spark, sf, M.cart(maxDepth=1))
+
+
+@query("gbt_one_round", _STUMP)
+def gbt_one_round(spark, sf):
+    """The first round of boosting is one tree on the label itself."""
+    return _stump(spark, sf, M.boosted_trees(maxIter=1, maxDepth=1))
+
+
 _X = """x AS (SELECT event_id, value AS y, hour(ts) + minute(ts) / 15.0::DOUBLE * 0.25 AS a, day(ts)::DOUBLE AS b,
   CAST(json_extract(props, '$.k') AS DOUBLE) AS c, """ + f"{_number('event_id', 42)} / 4294967296.0 < 0.33 AS is_test FROM events)"
 
@@ -130,6 +214,27 @@ def grid_search(spark, sf):
     return tidy(trials.withColumn("is_best", F.col("mse") == min(r["mse"] for r in records)), 4)
 
 
+@query(
+    "ridge_search",
+    f"""WITH {GRID_HOUR}, f AS (SELECT series_id, ts, coalesce(v, 0) AS y, lag(coalesce(v, 0)) OVER (PARTITION BY series_id ORDER BY ts) AS x,
+  row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) - 1 AS n FROM r),
+l AS (SELECT *, i <= floor(n * 0.8) AS is_train FROM f WHERE i > 0),
+m AS (SELECT covar_pop(y, x) AS c, var_pop(x) AS v, stddev_pop(y) AS s, avg(x) AS mx, avg(y) AS my FROM l WHERE is_train),
+trials(trial, a) AS (VALUES (0, 0.0::DOUBLE), (1, 10.0::DOUBLE), (2, 1000.0::DOUBLE)),
+e AS (SELECT trial, a, avg((y - my - c / (v + a / s) * (x - mx)) ** 2) AS mse FROM trials, m, l WHERE NOT is_train GROUP BY trial, a)
+SELECT trial::BIGINT AS trial, a AS "regParam", {rnd('mse', 3)} AS mse, mse = min(mse) OVER () AS is_best FROM e""",
+)
+def ridge_search(spark, sf):
+    hourly = fill_missing(resample_mean(readings(spark, sf), HOUR, ["value"]), ["value"])
+    rows = stored(lag_features(hourly, "value", [1], HOUR), "lagged")
+    split = M.xy_split(chrono_split(rows, 0.8), ["lag_1"], "value", ["is_train"])
+    ridge = M.linear(standardization=False)
+    grid = ParamGridBuilder().addGrid(ridge.regParam, [0.0, 10.0, 1000.0]).build()
+    records, _ = M.grid_search(split.where("is_train"), split.where("not is_train"), ridge, grid)
+    trials = spark.createDataFrame(records, "trial int, regParam double, mse double")
+    return tidy(trials.withColumn("is_best", F.col("mse") == min(r["mse"] for r in records)), 3)
+
+
 @query("forecast_gbt")
 def forecast_gbt(spark, sf):
     hourly, rows = _lagged(spark, sf)
