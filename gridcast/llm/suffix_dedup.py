@@ -58,8 +58,10 @@ TOKEN = 16
 PLACES = SPAN - TOKEN + 1  # where an anchor can stand in a string
 REACH = PLACES - 1  # bytes before an anchor that a string can hold
 WIDTH = REACH + SPAN
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 PIECE = 1 << 20
+#: Documents cut and handed on at once.
+OUT_ROWS = 256
 #: Documents that splitters are drawn from, about, and their tokens kept.
 SAMPLE_DOCS = 4000
 SAMPLE_TOKENS = 200_000
@@ -228,7 +230,7 @@ def _token_hashes(buckets: int, sizes: tuple[int, int]):
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator]]:
-    rows = ((b, k, x) for batch in batches for b, k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+    rows = (tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
     return groupby(rows, key=lambda r: r[0])
 
 
@@ -446,7 +448,7 @@ SPANS_SCHEMA = "doc_id long, starts array<long>, ends array<long>, kept binary"
 
 
 def _cutter(batches):
-    for batch in batches:
+    for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
         ids = batch.column(0)
         starts, ends, kept = [], [], []
         for text, base, found in zip(batch.column(1), batch.column(2), batch.column(3)):

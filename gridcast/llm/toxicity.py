@@ -54,8 +54,10 @@ SURPRISE = 4.0
 PURE = 30
 PRIOR_MARGIN = 0.95
 THRESHOLD = 0.7
+#: Features whose counts a task combines before it hands them on.
+COUNTED = 300_000
 #: Word weights that a scoring worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -159,15 +161,22 @@ def _share(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def _counted(counts: list[Counter]) -> pa.RecordBatch:
+    names = list(counts[0] | counts[1])
+    numbers = [pa.array([c[x] for x in names], pa.int64()) for c in (counts[1], counts[0])]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *numbers], ["f", "p", "u"])
+
+
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) to counts of documents by feature, for the whole task."""
-    counts = Counter(), Counter()
+    """(toxic, text) to counts of documents by feature, combined up to `COUNTED` features at a time."""
+    counts = [Counter(), Counter()]
     for batch in batches:
         for toxic, text in zip(batch.column(0), batch.column(1)):
             counts[toxic.as_py()].update(set(document_features(text.as_py())))
-    names = list(counts[0] | counts[1])
-    columns = [names, [counts[1][x] for x in names], [counts[0][x] for x in names]]
-    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["f", "p", "u"])
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield _counted(counts)
+                counts = [Counter(), Counter()]
+    yield _counted(counts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
