@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.timecols import days_since
-from gridcast.functions.values import clip_negative, fill_zero
+from gridcast.functions.values import all_of, clip_negative, fill_zero
 from gridcast.operators.align import sample_at
 from gridcast.operators.analog import analog_day, day_distances
 from gridcast.operators.grid import grid_diff, resample_mean
@@ -17,9 +17,17 @@ from gridcast.plans.dataset import QUARTER
 
 
 def analog_day_rows(readings: DataFrame, winner: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """The readings of the winning day, which enters the plan by a join."""
-    on = [*keys, "day"]
-    return readings.withColumn("day", F.to_date(ts)).join(winner.select(*on), on, "left_semi").drop("day")
+    """The readings of the winning day.
+
+    The winner is one row; its day and keys become conditions that reach the
+    scan, so of all history one day of one series is read.
+    """
+    found = winner.select(*keys, "day").first()
+    if found is None:
+        return readings.where(F.lit(False))
+    begin, end = (F.lit(d.isoformat()).cast("timestamp_ntz") for d in (found["day"], found["day"] + timedelta(days=1)))
+    own = [F.col(k) == F.lit(found[k]) for k in keys]
+    return readings.where(all_of([F.col(ts) >= begin, F.col(ts) < end, *own]))
 
 
 def forecast_features(

@@ -14,7 +14,7 @@ from gridcast.operators.frames import walk_forward_segments
 from gridcast.operators.models import xy_split
 from gridcast.operators.scale import fit_log_mean, log_demean, log_demean_inverse
 from gridcast.operators.stats import error_metrics
-from gridcast.session import frozen
+from gridcast.session import stored
 
 DAY = timedelta(days=1)
 
@@ -67,9 +67,9 @@ def forecast_many(
 ) -> tuple[LinearRegressionModel, DataFrame, DataFrame]:
     """Model, forecast rows with their truth, and the errors over all series.
 
-    The segments feed the fit, the forecast and the scoring, so they are frozen.
+    The segments feed the fit, the forecast and the scoring, so they are stored.
     """
-    segments = frozen(segment_values(daily, horizon, keys))
+    segments = stored(segment_values(daily, horizon, keys), "segments")
     model = fit_autoregression(segments, lags, keys, **params)
     ahead = forecast_validation(segments, lags, model.coefficients, model.intercept, horizon, keys)
     truth = segments.where(F.col("segment") == "val_target").select(

@@ -54,6 +54,21 @@ def fit_forecaster(
     return regressor.fit(xy_split(split.where("is_train"), features, label))
 
 
+def fit_scaled(
+    prepared: DataFrame,
+    features: Sequence[str],
+    regressor: Estimator,
+    label: str = "result",
+    holdouts: Sequence[tuple[str, str]] = (),
+    keys: Sequence[str] = ("series_id",),
+) -> tuple[Model, DataFrame]:
+    """A forecaster on min-max scaled rows, and the scaler's fit over all rows."""
+    columns = [label, *features]
+    fit = frozen(fit_minmax(prepared, columns))
+    rows = drop_holdout(prepared, holdouts) if holdouts else prepared
+    return fit_forecaster(minmax(rows, fit, columns), features, label, regressor, keys=keys), fit
+
+
 def train_and_score(
     prepared: DataFrame,
     features: Sequence[str],
@@ -70,10 +85,7 @@ def train_and_score(
     read by the scaler, the fit and the scoring: pass a stored table.
     """
     columns = [label, *features]
-    fit = frozen(fit_minmax(prepared, columns))
-    model = fit_forecaster(
-        minmax(drop_holdout(prepared, holdouts), fit, columns), features, label, regressor, keys=keys
-    )
+    model, fit = fit_scaled(prepared, features, regressor, label, holdouts, keys)
     scored_in = [F.when(F.col("ts").between(ntz(a), ntz(b)), F.lit(a)) for a, b in holdouts]
     days = prepared.withColumn("holdout", F.explode(F.array_compact(F.array(*scored_in))))
     kept = ["holdout", *keys, "ts", "truth"]

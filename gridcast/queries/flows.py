@@ -5,18 +5,21 @@ from datetime import timedelta
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from gridcast.operators.analog import in_season
 from gridcast.operators.columns import fill_missing, pivot, unpivot
 from gridcast.operators.grid import bucket_sum, resample_mean
 from gridcast.operators.models import linear
 from gridcast.plans.analog_features import analog_features
 from gridcast.plans.dataset import QUARTER, build_dataset, sensor_grid
+from gridcast.plans.forecast_day import forecast_day
 from gridcast.plans.many_series import forecast_many, forecast_validation, segment_values
 from gridcast.plans.submission import hourly_submission, keyless_submission
-from gridcast.plans.training import prepare, train_and_score
+from gridcast.plans.training import fit_scaled, prepare, train_and_score
 from gridcast.queries.registry import GRID_15, SPAN, daily_users, days_of, query, readings, readings_two, rnd, tidy
 from gridcast.queries.sequences import _FILLED, _PROFILE, _profile, hourly
-from gridcast.session import frozen, scratch_path
+from gridcast.session import scratch_path, stored
 from gridcast.sources.csv import number_across_files, read_ordered_numbers, write_ordered_numbers
+from gridcast.sources.landing import hourly_profile
 
 
 def _dataset(spark, sf, anchor="2023-01-01 00:00:00"):
@@ -108,12 +111,45 @@ HOLDOUTS = [(f"2024-01-{d} 00:00:00", f"2024-01-{d + 1} 00:00:00") for d in (10,
 @query("holdout_score")
 def holdout_score(spark, sf):
     features = ["value", "load", "date", "month", "hour", "difference"]
-    rows = frozen(prepare(_dataset(spark, sf), features, clipped=["load"]))
+    rows = stored(prepare(_dataset(spark, sf), features, clipped=["load"]), "prepared")
     model = GBTRegressor(maxIter=5, maxDepth=4, seed=42)
     _, _, errors = train_and_score(rows, features, HOLDOUTS, model, capacity=7028)
     return tidy(errors, 4)
 
 
+_TARGET = {"value": [30.0, 45.0, 60.0, 75.0, 70.0, 55.0, 40.0, 35.0]}
+_HOURS = ", ".join(f"({h}, {_TARGET['value'][h // 3]}::DOUBLE)" for h in range(24))
+
+
+@query(
+    "forecast_day_linear",
+    f"""WITH {GRID_15}, o AS (SELECT event_type series_id, time_bucket(INTERVAL '15 minutes', ts) ts, sum(value) s FROM events GROUP BY 1, 2),
+y AS (SELECT r.series_id, r.ts, coalesce(o.s, 0) AS result, coalesce(r.v, 0) AS value FROM r LEFT JOIN o ON o.series_id = r.series_id AND o.ts = r.ts),
+k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM y),
+fit AS (SELECT regr_slope(result, value) AS b, regr_intercept(result, value) AS a FROM k WHERE i <= floor(n * 0.8)),
+hl AS (SELECT event_type series_id, date_trunc('hour', min(ts)) lo, date_trunc('hour', max(ts)) hi FROM events GROUP BY 1),
+hg AS (SELECT series_id, unnest(generate_series(lo, hi, INTERVAL '1 hour')) ts FROM hl),
+hb AS (SELECT event_type series_id, date_trunc('hour', ts) ts, avg(value) v FROM events GROUP BY 1, 2),
+t(hour, tv) AS (VALUES {_HOURS}), lim2 AS (SELECT min(tv) v0, max(tv) - min(tv) v1 FROM t),
+x AS (SELECT hg.series_id, CAST(hg.ts AS DATE) AS day, ((coalesce(v, 0) - v0) / v1 - (tv - v0) / v1) ** 2 AS d
+  FROM hg LEFT JOIN hb ON hb.series_id = hg.series_id AND hb.ts = hg.ts JOIN t ON t.hour = hour(hg.ts), lim2
+  WHERE month(hg.ts) * 100 + day(hg.ts) BETWEEN 105 AND 120),
+win AS (SELECT series_id, day FROM x GROUP BY 1, 2 HAVING count(*) = 24 ORDER BY avg(d), day, series_id LIMIT 1),
+ev AS (SELECT event_type series_id, time_bucket(INTERVAL '15 minutes', ts) bin, value FROM events JOIN win ON win.series_id = event_type AND win.day = CAST(ts AS DATE)),
+dg AS (SELECT series_id, unnest(generate_series(min(bin), max(bin), INTERVAL '15 minutes')) ts FROM ev GROUP BY series_id),
+db AS (SELECT series_id, bin AS ts, avg(value) v FROM ev GROUP BY 1, 2),
+p AS (SELECT dg.series_id, dg.ts, a + b * coalesce(v, 0) AS p FROM dg LEFT JOIN db ON db.series_id = dg.series_id AND db.ts = dg.ts, fit)
+SELECT series_id, date_trunc('hour', ts)::TIMESTAMP AS ts, {rnd('sum(CASE WHEN p < 0.01 THEN 0 ELSE p END)', 3)} AS prediction FROM p GROUP BY 1, 2""",
+)
+def forecast_day_linear(spark, sf):
+    rows = stored(prepare(_dataset(spark, sf), ["value"], whole=()), "prepared")
+    model, fit = fit_scaled(rows, ["value"], linear())
+    target = hourly_profile(spark, _TARGET)
+    season = hourly(spark, sf).where(in_season("ts", (1, 5), (1, 20)))
+    day = analog_features(season, readings(spark, sf), target, ["value"], ["value"], [], date=31, month=7)
+    return tidy(forecast_day(model, fit, day, ["value"]), 3)
+
+
 _ONE_HOLDOUT = [
     f"SELECT '{a}' AS holdout, result AS y, a + b * value AS p FROM z, f WHERE ts BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'"
     for a, b in HOLDOUTS
@@ -133,7 +169,7 @@ SELECT holdout, count(*)::BIGINT AS n, {rnd('avg((y - p) * (y - p))', 4)} AS mse
 FROM q GROUP BY 1""",
 )
 def holdout_score_linear(spark, sf):
-    rows = frozen(prepare(_dataset(spark, sf), ["value"], whole=()))
+    rows = stored(prepare(_dataset(spark, sf), ["value"], whole=()), "prepared")
     _, _, errors = train_and_score(rows, ["value"], HOLDOUTS, linear(), capacity=7028)
     return tidy(errors, 4)
 

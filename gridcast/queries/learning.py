@@ -10,16 +10,18 @@ from gridcast.functions.timecols import calendar, decimal_hour
 from gridcast.operators import models as M
 from gridcast.operators.columns import fill_missing
 from gridcast.operators.forecast import lag_features, latest_state, recursive_model
+from gridcast.operators.frames import sliding_frames
 from gridcast.operators.grid import resample_mean
 from gridcast.operators.knn import knn_regress
 from gridcast.operators.rank import chrono_split
 from gridcast.operators.sampling import hash_fold, hash_split
 from gridcast.operators.scale import fit_standard, standardise
 from gridcast.operators.stats import error_metrics, fold_summary
+from gridcast.plans.direct import direct_forecast
 from gridcast.plans.training import fit_forecaster
 from gridcast.queries.registry import GRID_HOUR, query, readings, rnd, table, tidy
 from gridcast.queries.sampling import _number
-from gridcast.session import frozen, stored
+from gridcast.session import stored
 
 HOUR = timedelta(hours=1)
 FEATURES = ["time", "day", "load"]
@@ -186,7 +188,7 @@ def knn_query(spark, sf):
 
 
 def _lagged(spark, sf):
-    hourly = frozen(fill_missing(resample_mean(readings(spark, sf), HOUR, ["value"]), ["value"]))
+    hourly = stored(fill_missing(resample_mean(readings(spark, sf), HOUR, ["value"]), ["value"]), "hourly")
     lagged = lag_features(hourly, "value", [1, 2, 24], HOUR)
     return hourly, lagged.withColumns(calendar("ts"))
 
@@ -235,6 +237,24 @@ def ridge_search(spark, sf):
     return tidy(trials.withColumn("is_best", F.col("mse") == min(r["mse"] for r in records)), 3)
 
 
+@query(
+    "direct_forecast_one_lag",
+    f"""WITH {GRID_HOUR}, f AS (SELECT series_id, ts, coalesce(v, 0) AS value, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i,
+  count(*) OVER (PARTITION BY series_id) AS n FROM r),
+a AS (SELECT series_id, ts, i, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS j, count(*) OVER (PARTITION BY series_id) AS m
+  FROM f WHERE i >= 4 AND i < n - 24),
+p AS (SELECT a.series_id, a.j <= floor(a.m * 0.8) AS is_train, h.value AS x, l.value AS y, l.i - a.i AS step
+  FROM a JOIN f h ON h.series_id = a.series_id AND h.i = a.i - 1 JOIN f l ON l.series_id = a.series_id AND l.i >= a.i AND l.i < a.i + 24),
+w AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM p WHERE is_train)
+SELECT series_id, {rnd('avg((y - c - b * x) ** 2)', 3)} AS mse FROM p, w WHERE NOT is_train AND step >= 6 GROUP BY 1""",
+)
+def direct_forecast_one_lag(spark, sf):
+    hourly = fill_missing(resample_mean(readings(spark, sf), HOUR, ["value"]), ["value"])
+    frames = sliding_frames(hourly, ["value"], "value", 4, 24, HOUR)
+    _, _, errors = direct_forecast(frames, "value", [1], M.linear(), skip=6)
+    return tidy(errors, 3)
+
+
 @query("forecast_gbt")
 def forecast_gbt(spark, sf):
     hourly, rows = _lagged(spark, sf)

@@ -35,14 +35,16 @@ def minmax_train_rows(spark, sf):
 
 @query(
     "minmax_inverse",
-    f"WITH {_KEYED} SELECT {_KEYS}, {rnd('price', 4)} AS prediction, {rnd('quantity', 4)} AS quantity FROM m",
+    f"""WITH {_KEYED} SELECT {_KEYS}, {rnd('price', 4)} AS prediction, {rnd('quantity', 4)} AS quantity,
+  {rnd('(price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ())', 4)} AS scaled FROM m""",
 )
 def minmax_inverse(spark, sf):
     rows = model_rows(spark, sf)
     fit = M.fit_minmax(rows, ["price", "quantity"])
     scaled = M.minmax(rows, fit, ["price", "quantity"]).withColumnRenamed("price", "prediction")
+    scaled = scaled.withColumn("scaled", F.col("prediction"))
     back = M.minmax_inverse(scaled, fit, {"prediction": "price", "quantity": "quantity"})
-    return tidy(back.select("l_orderkey", "l_linenumber", "prediction", "quantity"), 4)
+    return tidy(back.select("l_orderkey", "l_linenumber", "prediction", "quantity", "scaled"), 4)
 
 
 @query(
@@ -75,6 +77,6 @@ FROM events JOIN f ON f.series_id = event_type""",
 def log_demean(spark, sf):
     rows = readings(spark, sf)
     fit = M.fit_log_mean(rows, where=F.col("ts") < F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"))
-    scaled = M.log_demean(rows.drop("none"), fit, name="scaled")
+    scaled = M.log_demean(rows, fit, name="scaled")
     back = M.log_demean_inverse(scaled, "scaled", name="value")
     return tidy(back.select("series_id", "ts", "scaled", "value"))

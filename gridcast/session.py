@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: set[str] = set()
+
+
 def local_session(app: str = "gridcast", cores: str = "*", partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -41,11 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/gridcast-{name}-{uuid.uuid4().hex}"
-
-
-_STORED: set[str] = set()
+    """A fresh path below the shared folder; :func:`release` deletes what is there."""
+    path = f"{shared_dir(spark)}/gridcast-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
 
 
 def stored(df: DataFrame, name: str = "rows", by: str | None = None) -> DataFrame:
@@ -57,23 +59,22 @@ def stored(df: DataFrame, name: str = "rows", by: str | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    _STORED.add(path)
     writer = df.write if by is None else df.write.partitionBy(by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`stored` has written; results that read them must be done."""
+    """Delete all scratch paths given out so far; results that read them must be done."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _STORED:
-        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
 @atexit.register
 def _release_at_end() -> None:
-    spark = SparkSession.getActiveSession() if _STORED else None
+    spark = SparkSession.getActiveSession() if _SCRATCH else None
     if spark is not None:
         with contextlib.suppress(Exception):  # the JVM may have gone first
             release(spark)

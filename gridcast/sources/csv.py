@@ -54,9 +54,21 @@ def _as_latin1(name: str) -> str:
     return name.encode("euc-kr").decode("latin-1")
 
 
-@F.pandas_udf(StringType())
-def _decode_korean(text: pd.Series) -> pd.Series:
-    return text.str.encode("latin-1").str.decode("euc-kr")
+def _java_charsets(spark: SparkSession) -> bool:
+    """Whether the session lets text be coded in any charset of the JVM."""
+    return spark.conf.get("spark.sql.legacy.javaCharsets", "false").lower() == "true"
+
+
+def _recode(spark: SparkSession, column: str, source: str, target: str) -> Column:
+    """The text whose bytes in `target` are the given text's bytes in `source`; in Python where the JVM may not."""
+    if _java_charsets(spark):
+        return F.decode(F.encode(F.col(f"`{column}`"), source), target)
+
+    @F.pandas_udf(StringType())
+    def recode(text: pd.Series) -> pd.Series:
+        return text.str.encode(source).str.decode(target)
+
+    return recode(F.col(f"`{column}`"))
 
 
 def read_korean_csv(
@@ -70,8 +82,9 @@ def read_korean_csv(
 
     EUC-KR never uses a comma, quote or newline inside a character, so the
     bytes are split as Latin-1 (large files stay splittable) and only text
-    columns are decoded, in Arrow batches. The header is compared with the
-    expected one by the scan itself.
+    columns are decoded: by the JVM with `spark.sql.legacy.javaCharsets`, else in
+    Arrow batches. The header is compared with the expected one by the scan
+    itself.
     """
     fields = {f.name: f for f in schema}
     raw = StructType([StructField(_as_latin1(h), fields[n].dataType, True) for h, n in headers.items()])
@@ -85,21 +98,16 @@ def read_korean_csv(
         .toDF(*headers.values())
     )
     decoded = {
-        n: _decode_korean(n) for n in headers.values() if isinstance(fields[n].dataType, StringType)
+        n: _recode(spark, n, "ISO-8859-1", "EUC-KR") for n in headers.values() if isinstance(fields[n].dataType, StringType)
     }
     return df.withColumns(decoded) if decoded else df
 
 
-@F.pandas_udf(StringType())
-def _encode_korean(text: pd.Series) -> pd.Series:
-    return text.str.encode("euc-kr").str.decode("latin-1")
-
-
 def write_korean_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header CSV in EUC-KR, the form :func:`read_korean_csv` reads."""
     encoded = df.select(
         *[
-            (_encode_korean(f"`{n}`") if kind == "string" else F.col(f"`{n}`")).alias(_as_latin1(n))
+            (_recode(df.sparkSession, n, "EUC-KR", "ISO-8859-1") if kind == "string" else F.col(f"`{n}`")).alias(_as_latin1(n))
             for n, kind in df.dtypes
         ]
     )
