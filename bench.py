@@ -16,7 +16,7 @@ import time
 from pathlib import Path
 
 from gridcast.queries import QUERIES
-from gridcast.session import local_session
+from gridcast.session import local_session, release
 
 HEADLINE = (
     "resample_mean",
@@ -37,13 +37,20 @@ HEADLINE = (
     "many_series_encode",
     "recursive_ar_forecast",
     "knn_regress",
+    "random_windows",
+    "linear_cv",
+    "cart_stump",
+    "direct_forecast_one_lag",
+    "forecast_day_linear",
 )
 
 
 def run(spark, name: str, sf: str) -> float:
     start = time.perf_counter()
     QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    took = time.perf_counter() - start
+    release(spark)
+    return took
 
 
 def main(names: list[str]) -> None:

@@ -176,17 +176,34 @@ n AS (SELECT event_id, unnest(min_by(y, (d, id), 5)) AS y FROM p GROUP BY 1)
 SELECT event_id, {rnd('avg(y)', 4)} AS prediction FROM n GROUP BY 1""",
 )
 def knn_query(spark, sf):
+    return _nearest(spark, sf, FEATURES, 512)
+
+
+def _nearest(spark, sf, features, tile_rows):
     rows = hash_split(_samples(spark, sf), 0.33, ["event_id"])
     train = rows.where("not is_test")
-    fit = fit_standard(train, FEATURES)
+    fit = fit_standard(train, features)
     fit = fit.select(*[F.round(c, 6).alias(c) for c in fit.columns])
-    scaled = standardise(rows, fit, FEATURES)
+    scaled = standardise(rows, fit, features)
     near = knn_regress(
-        scaled.where("not is_test"), scaled.where("is_test"), FEATURES, "label_value", "event_id", tile_rows=512
+        scaled.where("not is_test"), scaled.where("is_test"), features, "label_value", "event_id", tile_rows=tile_rows
     )
     return tidy(near.select("event_id", "prediction"), 4)
 
 
+@query(
+    "knn_one_feature",
+    f"""WITH {_X}, f AS (SELECT round(avg(a), 6) m, round(stddev_pop(a), 6) s FROM x WHERE NOT is_test),
+z AS (SELECT event_id, y, is_test, (a - m) / s AS a FROM x, f),
+p AS (SELECT q.event_id, t.event_id AS id, t.y, (q.a - t.a) * (q.a - t.a) AS d FROM z q, z t WHERE q.is_test AND NOT t.is_test),
+n AS (SELECT event_id, unnest(min_by(y, (d, id), 5)) AS y FROM p GROUP BY 1)
+SELECT event_id, {rnd('avg(y)', 4)} AS prediction FROM n GROUP BY 1""",
+)
+def knn_one_feature(spark, sf):
+    """One feature, cut into small tiles by as many splits as it takes."""
+    return _nearest(spark, sf, ["time"], 32)
+
+
 def _lagged(spark, sf):
     hourly = stored(fill_missing(resample_mean(readings(spark, sf), HOUR, ["value"]), ["value"]), "hourly")
     lagged = lag_features(hourly, "value", [1, 2, 24], HOUR)
