@@ -6,6 +6,7 @@ import pytest
 from compare import difference, duck
 
 from gridcast.queries import ORACLE, QUERIES
+from gridcast.session import release
 
 SF = os.environ.get("GRIDCAST_TEST_SF", "/root/testdata/sf0.001")
 
@@ -17,7 +18,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, con, name):
-    assert difference(QUERIES[name](spark, SF), con, ORACLE[name]) is None
+    df = QUERIES[name](spark, SF)
+    assert difference(df, con, ORACLE[name]) is None
+    assert "Cartesian" not in df._jdf.queryExecution().executedPlan().toString()
+    release(spark)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))

@@ -1,14 +1,17 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from gridcast.operators import rank
 from gridcast.operators.analog import analog_day, day_distances, in_season
 from gridcast.plans.analog_features import analog_day_rows, forecast_features
 from gridcast.plans.dataset import sensor_grid
 from gridcast.plans.training import prepare, train_and_score
 from gridcast.queries import QUERIES
+from gridcast.session import release, stored
 from gridcast.sources.landing import hourly_profile
 
 FEATURES = ["temperature", "precipitation"]
@@ -101,3 +104,34 @@ def test_plan_has_no_pairing_of_all_rows(spark, name):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert all("], [" in line for line in windows)  # each has partition columns
+
+
+def test_scratch_tables_are_deleted(spark):
+    rows = stored(spark.range(5).toDF("x"), "some")
+    place = Path(rows.inputFiles()[0].removeprefix("file://")).parent
+    assert rows.count() == 5 and place.exists()
+    release(spark)
+    assert not place.exists()
+
+
+def test_rows_of_all_months_reach_the_wide_table(spark, tmp_path):
+    """Days come from the data: none of them is dropped by a list."""
+    days = ["2023-11-30", "2024-01-15", "2024-03-02"]
+    rows = [(i, f"{d} 10:00:00", i % 3, "a", float(i), "{}") for i, d in enumerate(days * 4)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", events.ts.cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    out = QUERIES["unpivot_long"](spark, str(tmp_path))
+    assert out.agg({"value": "sum"}).first()[0] == sum(r[4] for r in rows)
+    assert out.count() == 3 * 94
+
+
+def test_offsets_of_ordinals_are_counts_of_days(spark, frame):
+    rows = [("a", f"2024-01-{d:02d} {h:02d}:00:00", d * 100 + h) for d in range(1, 9) for h in range(24)]
+    df = frame(rows, "series_id string, ts ntz, id long")
+    seen, real = [], rank.attach
+    rank.attach = lambda left, small, *a, **k: seen.append(k["known_rows"]) or real(left, small, *a, **k)
+    try:
+        out = rank.row_ordinal(df, tie="id").collect()
+    finally:
+        rank.attach = real
+    assert seen == [8] and sorted(r["ordinal"] for r in out) == list(range(1, 193))
