@@ -111,8 +111,8 @@ class _Known(dict):
 
 
 def train(
-    rows: list[np.ndarray], positive: np.ndarray, prior: float, size: int, seed: int = 0, epochs: int = 400, batches: int = 1,
-    rate: float = 0.1, decay: float = 1e-4,
+    rows: list[np.ndarray], positive: np.ndarray, prior: float, size: int, seed: int = 0, epochs: int = 800, batches: int = 1,
+    rate: float = 0.1, decay: float = 5e-5,
 ) -> np.ndarray:
     """Weights of `size` features and the intercept, by Adam on the non-negative risk.
 
@@ -125,23 +125,28 @@ def train(
     weights[-1] = math.log(prior / (1 - prior))
     mean, square, step = np.zeros(size + 1), np.zeros(size + 1), 0
     groups = [np.flatnonzero(positive), np.flatnonzero(~positive)]
+    if not len(groups[0]) or not len(groups[1]):
+        return weights
+
+    def laid_out() -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+        """Per batch: features, their documents, positives (which come first), unlabelled."""
+        out = []
+        for p, u in zip(*[np.array_split(rng.permutation(g), batches) for g in groups]):
+            if len(p) and len(u):
+                take = [rows[i] for i in np.r_[p, u]]
+                owner = np.repeat(np.arange(len(take)), [len(x) for x in take])
+                out.append((np.concatenate(take).astype(np.int64), owner, len(p), len(u)))
+        return out
+
+    dealt = laid_out()
     for _ in range(epochs):
-        dealt = [np.array_split(rng.permutation(g), batches) for g in groups]
-        for b in range(batches):
-            p, u = dealt[0][b], dealt[1][b]
-            if not len(p) or not len(u):
-                continue
-            take = [rows[i] for i in np.r_[p, u]]
-            lengths = np.array([len(x) for x in take])
-            features = np.concatenate(take).astype(np.int64)
-            owner = np.repeat(np.arange(len(take)), lengths)
-            z = np.bincount(owner, weights[features], len(take)) + weights[-1]
+        for features, owner, n, others in dealt if batches == 1 else laid_out():
+            z = np.bincount(owner, weights[features], n + others) + weights[-1]
             toxic = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-            n = len(p)
             # slopes of the three risks in z: the loss is the logistic one
-            as_toxic = np.r_[(toxic[:n] - 1) / n, np.zeros(len(u))]
-            p_clean = np.r_[toxic[:n] / n, np.zeros(len(u))]
-            u_clean = np.r_[np.zeros(n), toxic[n:] / len(u)]
+            as_toxic = np.r_[(toxic[:n] - 1) / n, np.zeros(others)]
+            p_clean = np.r_[toxic[:n] / n, np.zeros(others)]
+            u_clean = np.r_[np.zeros(n), toxic[n:] / others]
             loss = np.logaddexp(0, z)
             rest = loss[n:].mean() - prior * loss[:n].mean()
             slope = prior * as_toxic + (u_clean - prior * p_clean) if rest >= 0 else prior * p_clean - u_clean
