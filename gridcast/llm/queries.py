@@ -55,7 +55,25 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
 
-@query()
+@query(
+    r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+     w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s FROM d, unnest(range(0, greatest(n - 49, 0))) u(p)),
+     m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+     c AS (SELECT w.doc_id, w.p FROM w JOIN m ON w.s = m.s WHERE w.doc_id > least),
+     b AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS fresh FROM c),
+     r AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM b),
+     s AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS e FROM r GROUP BY doc_id, run),
+     k AS (SELECT doc_id, a, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before, e, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM s),
+     t AS (SELECT k.doc_id, count(*) AS n_spans, sum(e - a) AS gone,
+                  string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a)
+                  || max(CASE WHEN next IS NULL THEN substr(h, CAST(2 * e + 1 AS BIGINT)) END) AS rest
+           FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+)
 def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf, "documents")))
 
