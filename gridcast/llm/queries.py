@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcast.llm import chat, exact_dedup, mixing, sentencepiece, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from gridcast.llm.url_filter import ALLOW, BLOCK, Rule
+from gridcast.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -223,8 +224,9 @@ FROM f WHERE place = 1
 """
 )
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("size"))
-    return sharding.assigned(docs, "doc_id", F.col("size")).drop("size")
+    size = F.octet_length("text")
+    shards = sharding.write_shards(table(spark, sf, "documents"), scratch_path(spark, "shards"), "doc_id", size)
+    return sharding.digest(shards, "doc_id", size)
 
 
 @query()

@@ -4,7 +4,8 @@ A row's hash is a string of bits, and a shard is a prefix of it: at first there
 is one shard, the empty prefix. A shard over its byte limit is split on the next
 bit, and only such shards are. Counts of bytes by prefix, combined before they
 are shuffled, decide the splits; the rows themselves are read once more, to get
-their shard from the directory.
+their shard from the directory. So the input is read twice and must give the same
+rows each time, as a stored table does.
 
 The directory is indexed by a number of prefix bits at a time, a slot for each
 prefix that occurs. A slot holds the depth of the shard that it lies in, or, if
@@ -12,8 +13,9 @@ even its own prefix is over the limit, passes its rows on to the next round,
 which looks at further bits of these rows alone.
 
 Rows with equal keys have equal hashes. Behind the `BITS` bits of the key come
-`BITS` bits of the row's number in the stored table, so a key that holds a third
-of all rows is split like any other. A single row over the limit is a shard of
+`BITS` bits of the row's number, so a key that holds a third of all rows is split
+like any other. Rows are numbered in a stored table, which only those are written
+to whose key's bits did not suffice. A single row over the limit is a shard of
 its own.
 
 Defined cases. Null and empty texts have no bytes; a null key hashes as an empty
@@ -77,14 +79,15 @@ def assigned(rows: DataFrame, key: str, size: Column, limit: int = LIMIT, round_
     columns = rows.columns
     kept = F.struct(*[F.col(c) for c in columns]).alias("row")
     plain = rows.select(kept, hash_bits(F.col(key)).alias("h1"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    left = stored(plain.withColumn("n", F.monotonically_increasing_id()), "rows").withColumn("h2", hash_bits(F.col("n")))
-    total = left.agg(F.sum("size")).first()[0] or 0
+    left = plain.withColumn("h2", F.lit(0).cast("long"))
+    counted = stored(plain.select("h1", "size"), "sizes").withColumn("h2", F.lit(0).cast("long"))
+    total = counted.agg(F.sum("size")).first()[0] or 0
     step = min(round_bits, max(4, math.ceil(math.log2(max(total / limit, 1))) + 3))
     done, low = [], 0
     names = [_free(c, columns) for c in ("shard", "depth", "shard_bytes", "shard_rows")]
     while True:
         high = min(low + step, 2 * BITS if low >= BITS else BITS)
-        sums = stored(_sums(left, low, high), "sums")
+        sums = stored(_sums(counted, low, high), "sums")
         fits = (F.col("bytes") <= limit) | (F.col("rows") <= 1) | (F.col("d") == 2 * BITS)
         # a slot lies in the shard of its shortest prefix that fits
         slots = sums.where(F.col("d") == high).select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("d"))
@@ -94,6 +97,8 @@ def assigned(rows: DataFrame, key: str, size: Column, limit: int = LIMIT, round_
         found = slots.join(sums.where(fits), ["d", "p1", "p2"])
         directory = found.groupBy("s1", "s2").agg(F.min(F.struct("d", "p1", "p2", "bytes", "rows")).alias("leaf"))
         directory = stored(directory, "directory")
+        if high <= ROUND_BITS:  # so many slots at most: the rows need not move to meet them
+            directory = F.broadcast(directory)
         slot = left.withColumn("d", F.lit(high)).withColumn("p", _prefix(high)).drop("d")
         joined = slot.join(directory, (F.col("p.p1") == directory["s1"]) & (F.col("p.p2") == directory["s2"]), "left")
         depth = F.col("leaf.d")
@@ -112,7 +117,15 @@ def assigned(rows: DataFrame, key: str, size: Column, limit: int = LIMIT, round_
         over = sums.where((F.col("d") == high) & ~fits)
         if over.isEmpty():
             break
-        left = stored(joined.where("leaf IS NULL").select("row", "h1", "h2", "size"), "left")
+        rest = joined.where("leaf IS NULL")
+        if high < BITS:
+            left = stored(rest.select("row", "h1", "size"), "left").withColumn("h2", F.lit(0).cast("long"))
+        elif low < BITS:  # no bits of the key are left: from here on the row's number counts
+            numbered = rest.select("row", "h1", "size").withColumn("n", F.monotonically_increasing_id())
+            left = stored(numbered, "left").withColumn("h2", hash_bits(F.col("n")))
+        else:
+            left = stored(rest.select("row", "h1", "h2", "size"), "left")
+        counted = left
         low = high
     out = done[0]
     for more in done[1:]:
@@ -120,8 +133,22 @@ def assigned(rows: DataFrame, key: str, size: Column, limit: int = LIMIT, round_
     return out
 
 
-def write_shards(rows: DataFrame, path: str, key: str, size: Column, limit: int = LIMIT) -> None:
-    """Write one folder per shard; a shard's rows come from one task, as it fits the limit."""
+def write_shards(rows: DataFrame, path: str, key: str, size: Column, limit: int = LIMIT) -> DataFrame:
+    """Write one folder per shard; a shard's rows come from one task, as it fits the limit.
+
+    Returned are the rows as the files have them, with the columns of :func:`assigned`.
+    """
     made = assigned(rows, key, size, limit)
     name = made.columns[len(rows.columns)]
     made.repartition(name).write.partitionBy(name).parquet(path)
+    # the schema keeps the bits text; the folder of the empty prefix reads as null
+    back = rows.sparkSession.read.schema(made.schema).parquet(path)
+    return back.withColumn(name, F.coalesce(name, F.lit(""))).select(made.columns)
+
+
+def digest(shards: DataFrame, key: str, size: Column, shard: str = "shard") -> DataFrame:
+    """One row per row of written shards: the key, shard, depth, shard_bytes, shard_rows, counted from the rows themselves."""
+    found = shards.select(F.col(key), F.col(shard).alias("shard"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    found = stored(found, "found")
+    sums = found.groupBy("shard").agg(F.sum("size").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return found.join(sums, "shard").select(key, "shard", F.length("shard").cast("long").alias("depth"), "shard_bytes", "shard_rows")

@@ -3,9 +3,10 @@
 import hashlib
 
 import pytest
+from compare import difference, duck
 from pyspark.sql import functions as F
 
-from gridcast.llm import sharding
+from gridcast.llm import queries, sharding
 
 
 def plain(rows, limit):
@@ -53,3 +54,33 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
     assert back.count() == 100
     assert len(list((tmp_path / "out").glob("shard=*"))) >= 10
+
+
+def texts(spark):
+    rows = [(f"k{i}", "é" * (i % 9), i) for i in range(600)] + [("hot", "abcde", i) for i in range(300)] + [(None, None, -1), ("big", "x" * 900, -2)]
+    return spark.createDataFrame(rows, "doc_id string, text string, other long")
+
+
+@pytest.mark.parametrize("limit", [100, 10**6])
+def test_written_shards_hold_every_row_whole(spark, tmp_path, limit):
+    docs, size = texts(spark), F.octet_length("text")
+    back = sharding.write_shards(docs, str(tmp_path / "out"), "doc_id", size, limit)
+    assert back.columns == [*docs.columns, "shard", "depth", "shard_bytes", "shard_rows"]
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    got = sharding.digest(back, "doc_id", size).collect()
+    assert sorted(map(str, got)) == sorted(map(str, back.select("doc_id", "shard", "depth", "shard_bytes", "shard_rows").collect()))
+    assert all((r.shard_bytes <= limit or r.shard_rows == 1) and r.depth == len(r.shard) for r in got)
+    assert ({r.shard for r in got} == {""}) == (limit > 100)
+
+
+def test_query_writes_whole_documents(spark, monkeypatch):
+    seen, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda *a, **b: seen.append((a[1], write(*a, **b))) or seen[-1][1])
+    sf = "/root/testdata/sf0.01"
+    got, docs = queries.op9_sharding(spark, sf), spark.read.parquet(f"{sf}/documents.parquet")
+    (path, back), = seen
+    files = spark.read.parquet(path)
+    assert set(docs.columns) < set(files.columns) and back.select(docs.columns).exceptAll(docs).isEmpty() and back.count() == docs.count()
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"))
+    assert sizes.where(f"b > {sharding.LIMIT} AND n > 1").isEmpty() and sizes.count() > 1
+    assert difference(got, duck(sf), queries.ORACLE["op9_sharding"]) is None
