@@ -20,8 +20,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of documents whose fingerprints link, one row with the smallest doc_id stays."""
+    return simhash.keep_one(docs, repeats=False)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

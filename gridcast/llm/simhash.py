@@ -28,10 +28,12 @@ but names no component that has another id. Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -263,16 +265,17 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def simhash_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS
-) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (its smallest doc_id)."""
+def _linked(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all documents; the distinct ones; of those, the ones that link, with their component's name."""
     known = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
     distinct = stored(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     stars = components(links(distinct, distinct.count(), radius))
     nodes = stars.select(F.col("node").alias("fp"), "component")
     nodes = nodes.union(stars.select(F.col("component").alias("fp"), "component").distinct())
-    of_nodes = distinct.join(nodes, "fp").select("fp", "component", "first")
+    return known, distinct, distinct.join(nodes, "fp").select("fp", "component", "first")
+
+
+def _named(known: DataFrame, distinct: DataFrame, of_nodes: DataFrame) -> DataFrame:
     smallest = of_nodes.groupBy("component").agg(F.min("first").alias("smallest"))
     linked = of_nodes.join(smallest, "component").select("fp", "smallest")
     # a document whose fingerprint is its own and links to none is its own component
@@ -283,11 +286,40 @@ def simhash_components(
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS
+) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id (its smallest doc_id)."""
+    return _named(*_linked(docs, doc_id, text, words, radius))
+
+
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, repeats: bool = True
+) -> DataFrame:
     """The documents without those of which another of their component stays: the smallest doc_id does.
 
-    Rows that repeat the doc_id that stays all stay.
+    Of several fingerprints with that doc_id the smallest stays. Rows that repeat
+    both the doc_id and the fingerprint that stay all stay; without `repeats`,
+    one of them. Where no doc_id occurs twice, it alone says which rows go.
     """
-    found = simhash_components(docs, doc_id, text, words, radius)
-    lost = stored(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("lost_id")).distinct(), "lost")
-    return docs.join(lost, docs[doc_id].eqNullSafe(lost["lost_id"]), "left_anti")
+    known, distinct, of_nodes = _linked(docs, doc_id, text, words, radius)
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = _named(known, distinct, of_nodes)
+        lost = stored(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("lost_id")), "lost")
+        return docs.join(lost, docs[doc_id].eqNullSafe(lost["lost_id"]), "left_anti")
+    # a null doc_id stays only where its component has no other
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("least")
+    of_nodes = stored(of_nodes, "members")
+    kept = of_nodes.groupBy("component").agg(least).select("least.first", "least.fp")
+    kept = kept.union(distinct.join(of_nodes, "fp", "left_anti").select("first", "fp"))
+    kept = stored(kept.toDF("kept_id", "kept_fp"), "kept")
+
+    @F.pandas_udf("long")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+
+    mark = f"fingerprint_{uuid.uuid4().hex}"
+    marked = docs.withColumn(mark, made(F.col(text)))
+    same = marked[doc_id].cast("long").eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_fp"])
+    rows = marked.join(kept, same, "left_semi")
+    return (rows if repeats else rows.dropDuplicates([doc_id, mark])).drop(mark)

@@ -116,3 +116,38 @@ def test_no_python_list_of_pairs():
     found = {(int(a), int(b)) for x, y in forest.near(points, np.zeros(300, int), 4) for a, b in zip(x, y)}
     want = {(i, j) for i, j in itertools.product(range(300), repeat=2) if int(points[i] ^ points[j]).bit_count() <= 4}
     assert found == want
+
+
+A, B, C = (" ".join(f"{x}{i}" for i in range(300)) for x in "abc")
+
+
+def near(text):
+    """One word more at the end: other bits, but within the radius."""
+    return next(t for t in (f"{text} {w}" for w in range(999)) if 0 < (plain_fingerprint(text) ^ plain_fingerprint(t)).bit_count() <= 4)
+
+
+def test_one_row_stays_of_each_component(spark):
+    near_a, near_b, near_c = near(A), near(B), near(C)
+    rows = [
+        (5, A), (5, B), (3, near_a), (7, near_b),  # 5 goes beside 3, and stays beside 7
+        (8, C), (8, near_c), (8, C),  # one of three
+        (None, near_a), (None, "some words of its own"), (None, "quite another text without a copy"), (None, "some words of its own"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {t: plain_fingerprint(t) for _, t in rows}
+    groups = plain_components(dict(enumerate(fps.values())))
+    of = {t: groups[i] for i, t in enumerate(fps)}
+    want = {g: min((d for d, t in rows if of[t] == g and d is not None), default=None) for g in of.values()}
+    got = simhash.keep_one(docs, repeats=False).collect()
+    assert sorted((of[r.text], str(r.doc_id)) for r in got) == sorted((g, str(d)) for g, d in want.items())
+    assert {(r.doc_id, r.text) for r in got} >= {(3, near_a), (5, B), (None, "some words of its own"), (None, "quite another text without a copy")}
+    both = simhash.keep_one(docs).collect()
+    assert {(r.doc_id, r.text) for r in both} == {(r.doc_id, r.text) for r in got} and len(both) > len(got)
+
+
+def test_the_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(3, "A b c d e"), (3, "a b C d e"), (None, "a b c d e"), (None, "f g h i j k"), (None, "F g h i j k")], "doc_id long, text string")
+    got = corpus_pipeline.simhash_stage(spark, docs, "")
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["3", "None"]
