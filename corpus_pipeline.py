@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridcast.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity
 from gridcast.session import stored
@@ -30,8 +33,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents and `ids`, the piece numbers of the text."""
-    return sentencepiece.encoded(docs, sentencepiece.model_bytes())
+    """The columns of the documents and `ids`, the piece numbers of the text.
+
+    All are decoded again, and rows are written only if their text comes back.
+    """
+    back = f"decoded_{uuid.uuid4().hex}"
+    rows = sentencepiece.encoded(docs, sentencepiece.model_bytes(), back=back)
+    same = F.col(back).eqNullSafe(sentencepiece.readable(F.col("text")))
+    lost = F.raise_error(F.lit("a text does not come back from its piece numbers"))
+    return rows.withColumn("ids", F.when(same, F.col("ids")).otherwise(lost)).drop(back)
 
 
 STAGES = [

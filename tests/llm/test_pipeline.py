@@ -50,3 +50,13 @@ def test_stages_keep_odd_columns_and_empty_tables(spark):
             made = stage(spark, some, SF)
             assert made.columns == (docs.columns if place < 4 else [*docs.columns, "ids"])
             made.count()
+
+
+def test_encoding_stage_decodes_every_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Two words"), (2, None), (3, ""), (4, "a\u2581b \n\u00e9\U0001f600")], "doc_id long, text string")
+    made = corpus_pipeline.encoding_stage(spark, docs, SF).collect()
+    assert [(r.doc_id, r.text) for r in made] == [tuple(r) for r in docs.collect()] and [len(r.ids) > 0 for r in made] == [True, False, False, True]
+    readable = sentencepiece.readable
+    monkeypatch.setattr(sentencepiece, "readable", lambda c: F.replace(readable(c), F.lit("words"), F.lit("word")))
+    with pytest.raises(Exception, match="does not come back"):
+        corpus_pipeline.encoding_stage(spark, docs, SF).collect()
