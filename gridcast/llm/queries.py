@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import chat, exact_dedup, mixing, sentencepiece, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from gridcast.llm import chat, exact_dedup, line_dedup, mixing, sentencepiece, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from gridcast.llm.url_filter import ALLOW, BLOCK, Rule
 from gridcast.session import scratch_path
 
@@ -232,3 +232,22 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf, "documents"))
+
+
+@query(
+    r"""
+WITH l AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+     e AS (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS p FROM l),
+     k AS (SELECT r, p, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+     c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+     m AS (SELECT k.r, k.p, k.line, c.key IS NOT NULL AS gone FROM k LEFT JOIN c ON c.key = k.key),
+     t AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+                  coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM l JOIN t USING (r)
+"""
+)
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    made = line_dedup.cleaned(docs, line_dedup.built(docs))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
