@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import chat, exact_dedup, line_dedup, mixing, sentencepiece, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from gridcast.llm import chat, collocations, exact_dedup, line_dedup, mixing, sentencepiece, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from gridcast.llm.url_filter import ALLOW, BLOCK, Rule
 from gridcast.session import scratch_path
 
@@ -234,6 +234,37 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf, "documents"))
 
 
+@query(
+    r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+     p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+     g AS (SELECT lang, 1 AS words, w[i] AS phrase FROM i
+           UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM i WHERE i + 1 <= len(w)
+           UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM i WHERE i + 2 <= len(w)),
+     f AS (SELECT lang, words, phrase, count(*) AS a FROM g GROUP BY lang, words, phrase),
+     n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+     c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words >= 2 AND a >= 10),
+     k AS (SELECT lang, words, phrase, a, w[1] AS one, array_to_string(w[2:], ' ') AS two, 1 AS k FROM c
+           UNION ALL SELECT lang, words, phrase, a, array_to_string(w[:2], ' '), w[3], 2 FROM c WHERE words = 3),
+     s AS (SELECT k.lang, k.words, k.phrase, k.a, k.k, l.a AS l, r.a AS r,
+                  CAST((CAST(1000000 AS HUGEINT) * k.a * k.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+           FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.one JOIN f r ON r.lang = k.lang AND r.phrase = k.two),
+     b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s),
+     m AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE words = 3
+                                                    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE words = 3) GROUP BY lang, phrase),
+     o AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score,
+                  row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+           FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE b.cut = 1 AND NOT coalesce(100 * m.most >= 50 * b.a, false))
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+)
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 @query(
     r"""
 WITH l AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
