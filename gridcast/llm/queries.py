@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import chat, collocations, exact_dedup, line_dedup, mixing, sentencepiece, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from gridcast.llm import chat, collocations, exact_dedup, line_dedup, mixing, sentencepiece, sharding, simhash, spelling, suffix_dedup, topk, toxicity, url_filter
 from gridcast.llm.url_filter import ALLOW, BLOCK, Rule
 from gridcast.session import scratch_path
 
@@ -282,3 +282,35 @@ def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     made = line_dedup.cleaned(docs, line_dedup.built(docs))
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    r"""
+WITH RECURSIVE bits(i, k, v) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+                       UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+     crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+     r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                  translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+           FROM documents),
+     x AS (SELECT run, hex(encode(id || ':' || run)) AS x FROM r),
+     h AS (SELECT run, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+                                       lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS BIGINT) + 1])), 4294967295) AS h FROM x, crc),
+     w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+     v AS MATERIALIZED (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+     s AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+     c AS MATERIALIZED (SELECT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM s),
+     p AS (SELECT x.word, y.word AS near, y.n AS near_n FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+           UNION SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.a || c.b
+           UNION SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.a || c.b),
+     o AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM p),
+     f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form,
+                  CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN o ON o.word = v.word AND place = 1),
+     u(word, root, depth) AS (SELECT word, word, 0 FROM f
+                              UNION ALL SELECT u.word, f.form, depth + 1 FROM u JOIN f ON f.word = u.root WHERE f.form IS NOT NULL),
+     z AS (SELECT word, max_by(root, depth) AS root FROM u GROUP BY word)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN z ON z.word = f.word
+"""
+)
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf, "documents"))
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
