@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import timedelta
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.timecols import at_micros, grid_pos, micros, step_micros
 from gridcast.operators.align import attach
+from gridcast.operators.boosting import BoostedTrees
 from gridcast.operators.grid import CHUNK, grid_shift
 from gridcast.session import frozen
 
@@ -86,16 +87,52 @@ def recursive_linear(
     """
     pairs = [(int(k), float(w)) for k, w in zip(lags, weights)]
 
-    def advance(past, _):
+    def linear(past, _):
         value = F.lit(float(intercept))
         for k, w in pairs:
             value = value + F.element_at(past, -k) * w
-        return F.concat(past, F.array(value))
+        return value
+
+    return recursive_value(state, linear, horizon, step, keys, ts)
+
+
+def recursive_value(
+    state: DataFrame,
+    value: Callable[[Column, Column], Column],
+    horizon: int,
+    step: timedelta,
+    keys: Sequence[str] = ("series_id",),
+    ts: str = "ts",
+) -> DataFrame:
+    """Forecast `horizon` steps; `value` gives the next one from all before it (an array) and its time.
+
+    One expression over one row per series: no job, shuffle or plan grows with the steps.
+    """
+    us = F.lit(step_micros(step)).cast("bigint")
+
+    def advance(past, i):
+        return F.concat(past, F.array(value(past, at_micros(micros("last_ts") + i * us)).cast("double")))
 
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("state"), advance)
     return _as_rows(state.withColumn("state", grown), horizon, step, keys, ts)
 
 
+def recursive_trees(
+    state: DataFrame,
+    model: BoostedTrees,
+    features: Callable[[Column, Column], Mapping[str, Column]],
+    horizon: int,
+    step: timedelta,
+    keys: Sequence[str] = ("series_id",),
+    ts: str = "ts",
+) -> DataFrame:
+    """Forecast with boosted trees, compiled into the recursion.
+
+    `features` gives the model's features from the values so far and the time to predict.
+    """
+    return recursive_value(state, lambda past, at: model.value(features(past, at).__getitem__), horizon, step, keys, ts)
+
+
 def recursive_model(
     state: DataFrame,
     model: PipelineModel,

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from gridcast.queries.registry import ORACLE, QUERIES
 
-for _part in ("timegrid", "cleaning", "joining", "files", "summaries", "scaling", "sampling", "sequences", "learning", "flows"):
+for _part in ("timegrid", "cleaning", "joining", "files", "summaries", "scaling", "sampling", "sequences", "learning", "boosting", "grams", "flows"):
     import_module(f"gridcast.queries.{_part}")
 
 __all__ = ["ORACLE", "QUERIES"]

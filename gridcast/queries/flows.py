@@ -2,10 +2,10 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from gridcast.operators.analog import in_season
+from gridcast.operators.boosting import Boosting
 from gridcast.operators.columns import fill_missing, pivot, unpivot
 from gridcast.operators.grid import bucket_sum, resample_mean
 from gridcast.operators.models import linear
@@ -112,7 +112,7 @@ HOLDOUTS = [(f"2024-01-{d} 00:00:00", f"2024-01-{d + 1} 00:00:00") for d in (10,
 def holdout_score(spark, sf):
     features = ["value", "load", "date", "month", "hour", "difference"]
     rows = stored(prepare(_dataset(spark, sf), features, clipped=["load"]), "prepared")
-    model = GBTRegressor(maxIter=5, maxDepth=4, seed=42)
+    model = Boosting(rounds=20, depth=4, step=0.3, patience=3, plateau=1)
     _, _, errors = train_and_score(rows, features, HOLDOUTS, model, capacity=7028)
     return tidy(errors, 4)
 

@@ -2,23 +2,21 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from gridcast.functions.timecols import calendar, decimal_hour
 from gridcast.operators import models as M
 from gridcast.operators.columns import fill_missing
-from gridcast.operators.forecast import lag_features, latest_state, recursive_model
+from gridcast.operators.forecast import lag_features
 from gridcast.operators.frames import sliding_frames
 from gridcast.operators.grid import resample_mean
 from gridcast.operators.knn import knn_regress
 from gridcast.operators.rank import chrono_split
 from gridcast.operators.sampling import hash_fold, hash_split
 from gridcast.operators.scale import fit_standard, standardise
-from gridcast.operators.stats import error_metrics, fold_summary
+from gridcast.operators.stats import fold_summary
 from gridcast.plans.direct import direct_forecast
-from gridcast.plans.training import fit_forecaster
 from gridcast.queries.registry import GRID_HOUR, query, readings, rnd, table, tidy
 from gridcast.queries.sampling import _number
 from gridcast.session import stored
@@ -54,11 +52,6 @@ def gbt_cv(spark, sf):
     return _cv(spark, sf, {"gbt": M.boosted_trees(maxIter=3, maxDepth=3)})
 
 
-@query("linear_cv")
-def linear_cv(spark, sf):
-    return _cv(spark, sf, {"linear": M.linear(), "lasso": M.lasso(), "elastic_net": M.elastic_net()})
-
-
 @query(
     "linear_cv_one_feature",
     f"""WITH x AS (SELECT value AS y, CAST(json_extract(props, '$.k') AS DOUBLE) AS c, {_number('event_id', 21)} % 10 AS fold FROM events
@@ -213,15 +206,6 @@ def _lagged(spark, sf):
 LAG_FEATURES = ["lag_1", "lag_2", "lag_24", "date", "hour"]
 
 
-@query("gbt_early_stop")
-def gbt_early_stop(spark, sf):
-    _, rows = _lagged(spark, sf)
-    model = fit_forecaster(rows, LAG_FEATURES, "value", GBTRegressor(maxIter=10, maxDepth=3, seed=42))
-    scored = model.transform(M.xy_split(rows, LAG_FEATURES, "value", ["series_id"]))
-    metrics = error_metrics(scored, "label", "prediction", ["series_id"])
-    return tidy(metrics.withColumn("trees", F.lit(model.getNumTrees)), 4)
-
-
 @query("grid_search")
 def grid_search(spark, sf):
     _, rows = _lagged(spark, sf)
@@ -270,16 +254,3 @@ def direct_forecast_one_lag(spark, sf):
     frames = sliding_frames(hourly, ["value"], "value", 4, 24, HOUR)
     _, _, errors = direct_forecast(frames, "value", [1], M.linear(), skip=6)
     return tidy(errors, 3)
-
-
-@query("forecast_gbt")
-def forecast_gbt(spark, sf):
-    hourly, rows = _lagged(spark, sf)
-    model = fit_forecaster(rows, LAG_FEATURES, "value", GBTRegressor(maxIter=5, maxDepth=3, seed=42))
-    state = latest_state(hourly, "value", 24, HOUR)
-
-    def features(now):
-        lags = {f"lag_{k}": F.element_at("state", -k) for k in (1, 2, 24)}
-        return M.xy_split(now.withColumns({**lags, **calendar("ts")}), LAG_FEATURES, None, ["series_id", "last_ts", "state"])
-
-    return tidy(recursive_model(state, model, features, 24, HOUR), 4)

@@ -64,12 +64,17 @@ def stored(df: DataFrame, name: str = "rows", by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that nothing reads any more."""
+    _SCRATCH.discard(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all scratch paths given out so far; results that read them must be done."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
+        discard(spark, next(iter(_SCRATCH)))
 
 
 @atexit.register
