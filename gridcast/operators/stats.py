@@ -5,31 +5,32 @@ Every summary is one aggregation over all columns, combined before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.values import missing_to_null
 
 
-#: Pairs of columns that one aggregation takes; more make its generated code too long.
-PAIRS_AT_ONCE = 32
+#: Pairs of columns that one grouped aggregation takes; more make its generated code too long.
+PAIRS_AT_ONCE = 4
+#: Rows of which the centre is taken that sums are about.
+CENTRE_ROWS = 1024
+#: A variance below this share of the mean square about the centre is rounding.
+ROUNDING = 1e-13
 
 
 def _long(df: DataFrame, groups: Sequence[str], rows: list[Column]) -> DataFrame:
     return df.select(*groups, F.inline(F.array(*rows)))
 
 
-def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
-    """Pearson r of each pair over the rows where both are present: (by…, pair, r).
-
-    Rows are read once for each `PAIRS_AT_ONCE` pairs and never laid out by
-    pair: every pair is a few sums of the same aggregation. A constant side
-    gives null.
-    """
+def _grouped_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
+    """Pearson r of each pair in each group: (by…, pair, r); rows are read once for each `PAIRS_AT_ONCE` pairs."""
     out = []
     for first in range(0, len(pairs), PAIRS_AT_ONCE):
         sums, cells = [], []
@@ -44,6 +45,47 @@ def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequ
     return reduce(DataFrame.unionByName, out)
 
 
+def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
+    """Pearson r of each pair over the rows where both are present: (by…, pair, r).
+
+    Without groups the rows are read once, however many pairs there are: the
+    sums of all pairs are four matrix products of a batch, those of values and
+    squares with the marks of what is present. A task hands on one row per pair.
+    A side that is constant, or varies by rounding only, gives null.
+    """
+    if by or not pairs:
+        return _grouped_correlations(df, pairs, by)
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    centre = df.limit(CENTRE_ROWS).agg(*[F.max(missing_to_null(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    about = centre.select(F.struct(*centre.columns).alias("c")).scalar()
+    shifted = [missing_to_null(c) - F.coalesce(about[f"c{i}"], F.lit(0.0)) for i, c in enumerate(columns)]
+    rows = df.select(F.array(*[F.coalesce(x, F.lit(float("nan"))) for x in shifted]).alias("v"))
+    left, right = ([columns.index(p[side]) for p in pairs] for side in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(columns)
+        counts, sums, squares, products = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, k)
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            counts += there.T @ there
+            sums += x.T @ there
+            squares += (x * x).T @ there
+            products += x.T @ x
+        found = [counts[left, right], sums[left, right], sums[right, left], squares[left, right], squares[right, left], products[left, right]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(left))), *map(pa.array, found)], ["pair", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = rows.mapInArrow(run, "pair long, n double, x double, y double, xx double, yy double, xy double")
+    added = parts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]).where("n > 0")
+    mean_x, mean_y = F.col("x") / F.col("n"), F.col("y") / F.col("n")
+    var_x, var_y = F.col("xx") / F.col("n") - mean_x * mean_x, F.col("yy") / F.col("n") - mean_y * mean_y
+    varies = (var_x > ROUNDING * F.col("xx") / F.col("n")) & (var_y > ROUNDING * F.col("yy") / F.col("n"))
+    r = F.when(varies, F.try_divide(F.col("xy") / F.col("n") - mean_x * mean_y, F.sqrt(var_x) * F.sqrt(var_y)))
+    every = df.sparkSession.range(len(pairs)).withColumnRenamed("id", "pair")
+    return every.join(added.select("pair", r.alias("r")), "pair", "left").select(F.col("pair").cast("int").alias("pair"), "r")
+
+
 def _named(pairs: Sequence[tuple[str, str]], side: int) -> Column:
     return F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair") + 1)
 

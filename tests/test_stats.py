@@ -40,6 +40,35 @@ def test_correlation_of_few_rows(spark):
     assert S.correlation(df.limit(0), ["a", "b"]).first()["r"] is None
 
 
+def test_correlation_of_many_columns_is_one_scan(spark):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(300, 40)) + 1e5 * np.arange(40)
+    x[draw.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 0.1
+    x[150:, 8] = np.where(np.isnan(x[150:, 8]), np.nan, 3.3)
+    x[:150, 9] = np.nan  # present only where column 8 is constant
+    names = [f"c{i}" for i in range(40)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(5)
+    found = S.correlation(df, names)
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    with np.errstate(all="ignore"):
+        want = pd.DataFrame(x - np.nanmean(x, axis=0), columns=names).corr()  # large means would cost digits here
+    got = {(r["a"], r["b"]): r["r"] for r in found.collect()}
+    assert len(got) == 780 and got["c7", "c1" if ("c7", "c1") in got else "c10"] is None and got["c8", "c9"] is None
+    for (a, b), r in got.items():
+        if "c7" not in (a, b) and (a, b) != ("c8", "c9"):
+            assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_correlation_by_group_equals_each_group(spark):
+    rows = [(i % 3, float(i), float((i * 7) % 11), float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g long, a double, b double, c double")
+    grouped = {(r["g"], r["a"], r["b"]): r["r"] for r in S.correlation(df, ["a", "b", "c"], ["g"]).collect()}
+    for g in range(3):
+        for r in S.correlation(df.where(F.col("g") == g), ["a", "b", "c"]).collect():
+            assert grouped[g, r["a"], r["b"]] == pytest.approx(r["r"], abs=1e-12)
+
+
 @pytest.mark.parametrize(
     "low,high,width",
     [(0.1, 99.9, 5.0), (1, 1000, 50.0), (0.01, 490.02, 20.0), (0, 28, 1.0), (2, 61, 2.0), (5, 5, 5.0), (100, 100, 20.0)],
