@@ -121,30 +121,29 @@ WITH a AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url,
                    WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
                   (SELECT max_by(verdict, length(rhost || rpath)) FROM rules
                    WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS verdict FROM b),
-     t AS (SELECT page_id, host, path, rule, verdict, unnest(list_distinct(list_filter([
+     t AS (SELECT page_id, rule, verdict, list_sort(list_distinct(list_concat([
                     'tld=' || string_split(host, '.')[-1],
                     'site=' || array_to_string(string_split(host, '.')[-2:], '.'),
                     'host=' || host,
-                    CASE WHEN len(label) > 1 THEN 'first=' || label[2] END,
-                    CASE WHEN len(label) > 2 THEN 'second=' || label[3] END,
-                    'depth=' || least(len(label) - 1, 9),
+                    'depth=' || (len(label) - 1),
                     'ending=' || regexp_extract(path, '\.([^./]*)$', 1),
                     'query=' || coalesce(contains(url, '?'), false),
                     'scheme=' || CASE WHEN instr(url, '://') > 0 THEN substr(url, 1, instr(url, '://') - 1) ELSE '' END
-                  ], lambda x: x IS NOT NULL))) AS token FROM r),
+                  ], list_transform(range(2, len(label) + 1), lambda i: 'path' || (i - 1) || '=' || label[i])))) AS tokens FROM r),
+     d AS (SELECT rule IS NULL AS asked, verdict, tokens, list(page_id) AS pages, count(*) AS pages_n FROM t GROUP BY 1, 2, 3),
+     sets AS (SELECT asked, verdict, pages, pages_n, list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS ante
+              FROM (SELECT *, unnest(range(1, 1 << len(tokens))) AS m FROM d)),
      n AS (SELECT count(*) AS n FROM r WHERE rule IS NOT NULL),
-     sets AS (SELECT page_id, verdict, [token] AS ante FROM t WHERE rule IS NOT NULL
-              UNION ALL SELECT x.page_id, x.verdict, [x.token, y.token] FROM t x JOIN t y ON x.page_id = y.page_id AND x.token < y.token WHERE x.rule IS NOT NULL),
-     g AS (SELECT ante, verdict, count(*) AS c FROM sets GROUP BY ante, verdict),
+     g AS (SELECT ante, verdict, sum(pages_n) AS c FROM sets WHERE NOT asked GROUP BY ante, verdict),
      f AS (SELECT ante, verdict, c / CAST(sum(c) OVER (PARTITION BY ante) AS DOUBLE) AS confidence, c / CAST(n AS DOUBLE) AS support, c, n FROM g, n),
-     k AS (SELECT * FROM f WHERE c >= ceil(0.01 * n) AND confidence >= 0.8),
-     kept AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k b WHERE len(k.ante) = 2 AND len(b.ante) = 1 AND b.verdict = k.verdict
-                                                AND list_contains(k.ante, b.ante[1]) AND b.confidence >= k.confidence)),
-     m AS (SELECT page_id, ante, kept.verdict, confidence, support FROM t JOIN kept ON token = ante[1] AND len(ante) = 1 WHERE rule IS NULL
-           UNION ALL SELECT x.page_id, ante, kept.verdict, confidence, support FROM kept JOIN t x ON x.token = ante[1] AND len(ante) = 2
-                     JOIN t y ON y.token = ante[2] AND y.page_id = x.page_id WHERE x.rule IS NULL),
+     k AS MATERIALIZED (SELECT * FROM f WHERE c >= ceil(0.01 * n) AND confidence >= 0.8),
+     parts AS (SELECT ante, verdict, confidence, list_filter(ante, lambda x, i: (m >> (i - 1)) & 1 = 1) AS part
+               FROM (SELECT *, unnest(range(1, (1 << len(ante)) - 1)) AS m FROM k WHERE len(ante) > 1)),
+     lost AS (SELECT DISTINCT parts.ante, parts.verdict FROM parts JOIN k b ON b.ante = part AND b.verdict = parts.verdict AND b.confidence >= parts.confidence),
+     kept AS (SELECT k.* FROM k ANTI JOIN lost ON lost.ante = k.ante AND lost.verdict = k.verdict),
      o AS (SELECT page_id, verdict, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, support DESC, verdict = 'block' DESC,
-                                                       array_to_string(ante, ' ') DESC) AS place FROM m)
+                                                       array_to_string(ante, ' ') DESC) AS place
+           FROM (SELECT unnest(pages) AS page_id, ante, kept.verdict, confidence, support FROM sets JOIN kept USING (ante) WHERE asked))
 SELECT r.page_id, host, path, rule, coalesce(r.verdict, o.verdict, 'allow') AS verdict
 FROM r LEFT JOIN o ON o.page_id = r.page_id AND o.place = 1
 """

@@ -1,5 +1,6 @@
 """URL filters against plain parsing, counting and matching."""
 
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -34,31 +35,31 @@ def tokens(url):
     host, path = parts(url)
     label, dots = path.split("/"), host.split(".")
     end = label[-1].rsplit(".", 1)
-    out = {"tld=" + dots[-1], "site=" + ".".join(dots[-2:]), "host=" + host, f"depth={min(len(label) - 1, 9)}", "ending=" + (end[1] if len(end) > 1 else ""), f"query={'?' in (url or '')}".lower()}
+    out = {"tld=" + dots[-1], "site=" + ".".join(dots[-2:]), "host=" + host, f"depth={len(label) - 1}", "ending=" + (end[1] if len(end) > 1 else ""), f"query={'?' in (url or '')}".lower()}
     out.add("scheme=" + (url.split("://", 1)[0] if url and "://" in url else ""))
-    out |= {f"{n}={label[i]}" for i, n in ((1, "first"), (2, "second")) if len(label) > i}
-    return out
-
-
-def plain(urls, support=0.01, confidence=0.8):
-    known = [(tokens(u), by_list(*parts(u)).verdict) for u in urls if by_list(*parts(u))]
-    sets = {}
-    for t, v in known:
-        for n in (1, 2):
-            for a in combinations(sorted(t), n):
-                sets.setdefault(a, []).append(v)
-    rules = {}
-    for a, vs in sets.items():
-        for v in set(vs):
-            c = vs.count(v)
-            if c >= support * len(known) and c / len(vs) >= confidence:
-                rules[a, v] = (c / len(vs), c / len(known))
-    rules = {(a, v): s for (a, v), s in rules.items() if len(a) == 1 or not any(rules.get(((x,), v), (0, 0))[0] >= s[0] for x in a)}
+    return out | {f"path{i}={x}" for i, x in enumerate(label) if i}
+
+
+def subsets(t):
+    t = sorted(t)
+    return (c for n in range(1, len(t) + 1) for c in combinations(t, n))
+
+
+def plain(urls, rules=PAGE_RULES, support=0.01, confidence=0.8):
+    """All combinations of any size; those of equal pages are counted once and weighted."""
+    known = Counter((frozenset(tokens(u)), by_list(*parts(u), rules).verdict) for u in urls if by_list(*parts(u), rules))
+    size, every, by_verdict = sum(known.values()), Counter(), Counter()
+    for (t, v), n in known.items():
+        for a in subsets(t):
+            every[a] += n
+            by_verdict[a, v] += n
+    found = {k: (n / every[k[0]], n / size) for k, n in by_verdict.items() if n >= support * size and n / every[k[0]] >= confidence}
+    kept = {(a, v): s for (a, v), s in found.items() if not any(found.get((x, v), (0, 0))[0] >= s[0] for x in subsets(a) if len(x) < len(a))}
     out = []
     for u in urls:
         host, path = parts(u)
-        rule = by_list(host, path)
-        best = max(((*s, v == "block", " ".join(a), v) for (a, v), s in rules.items() if set(a) <= tokens(u)), default=None)
+        rule = by_list(host, path, rules)
+        best = None if rule else max(((*s, v == "block", " ".join(a), v) for (a, v), s in kept.items() if set(a) <= tokens(u)), default=None)
         out.append((host, path, rule and rule.text, rule.verdict if rule else best[-1] if best else "allow"))
     return sorted(out, key=str)
 
@@ -83,6 +84,38 @@ def test_mined_rules(spark, hot):
     assert {g[3] for g in got if g[2] is None} == {"allow", "block"}
 
 
+def test_a_rule_of_three_tokens_in_the_third_segment(spark):
+    """Only the end, the scheme and the third segment together tell a blocked page; each one and two of them are of both kinds."""
+    rules = [Rule("block", "bad.com", "/"), Rule("allow", "good.com", "/")]
+    urls = []
+    for i in range(8):
+        scheme, third, end = ("http", "https")[i & 1], ("x", "y")[i >> 1 & 1], ("php", "html")[i >> 2]
+        host = "bad.com" if i == 0 else "good.com"
+        urls += [f"{scheme}://{host}/a/b/{third}/{n}{i}.{end}" for n in range(20)]
+    asked = [f"{s}://new.net/a/b/{t}/q.{e}" for s in ("http", "https") for t in ("x", "y") for e in ("php", "html")]
+    got = judged(spark, urls + asked, rules)
+    assert got == plain(urls + asked, rules)
+    assert [g[1] for g in got if g[0] == "new.net" and g[3] == "block"] == ["/a/b/x/q.php"]
+
+
+def test_deep_paths(spark):
+    """Forty segments that always come together are mined as one token."""
+    rules = [Rule("block", "bad.com", "/"), Rule("allow", "good.com", "/")]
+    deep = "/".join(f"s{i}" for i in range(40))
+    urls = [f"http://bad.com/{deep}/{i}" for i in range(30)] + [f"http://good.com/t/{i}" for i in range(30)]
+    asked = ["http://c.net/s0/s1", "http://c.net/u/s1/v", "http://c.net/t/0", f"http://c.net/{deep}"]
+    made = {g[1]: g[3] for g in judged(spark, urls + asked, rules) if g[0] == "c.net"}
+    assert made == {"/s0/s1": "block", "/u/s1/v": "block", "/t/0": "allow", f"/{deep}": "block"}
+
+
+def test_tokens_of_the_same_pages_share_a_name(spark):
+    rows = [(0, ["a", "b", "c"]), (1, ["a", "b", "d"]), (2, ["c", "e"]), (3, ["a", "b", "c", "f"])]
+    df = spark.createDataFrame(rows, "page long, tokens array<string>")
+    names = {r.token: r["name"] for r in url_filter.together(df, 2).collect()}
+    assert names == {"a": "a", "b": "a", "c": "c"}
+    assert {r["name"] for r in url_filter.together(df, 1).where("token IN ('d', 'e', 'f')").collect()} == {"d", "e", "f"}
+
+
 def test_without_rules_or_rows(spark):
     assert {g[2:] for g in judged(spark, URLS, [])} == {(None, "allow")}
     empty = spark.createDataFrame([], "page_id long, url string")
