@@ -9,7 +9,9 @@ words taken are as near the rest as whole documents allow.
 
 No source has to fit a task. Keys are counted into key ranges, and words are
 prefix-summed over ranges; documents of earlier ranges are all taken, those of
-later ones not, and only the one range that holds the cut is sorted.
+later ones not, and only the one range that holds the cut is sorted. Ranges are
+even for weight 1; of documents with weight 1/2, the last one of n / `RANGE_ROWS`
+ranges holds about the root of n * `RANGE_ROWS`.
 
 Defined cases. Null text has no words. A null source is a source, the last in
 order. Documents without words are taken as often as their source's epochs and
@@ -23,6 +25,7 @@ them on.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ SOURCE_WEIGHTS = (1, 2, 3)
 QUALITY_WEIGHTS = {0: 0.5, 1: 2.0}
 SEED = "mix"
 #: Documents of a key range, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -124,4 +127,5 @@ def mixed(docs: DataFrame, quality: DataFrame, seed: str = SEED) -> DataFrame:
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "times").distinct()
     same = docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"])
     repeats = F.array_repeat(F.lit(1), taken["times"].cast("int"))
-    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], F.explode(repeats).alias("_one")).drop("_one")
+    one = f"one_{uuid.uuid4().hex}"
+    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], F.explode(repeats).alias(one)).drop(one)

@@ -224,8 +224,9 @@ FROM f WHERE place = 1
 )
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     size = F.octet_length("text")
-    shards = sharding.write_shards(table(spark, sf, "documents"), scratch_path(spark, "shards"), "doc_id", size)
-    return sharding.digest(shards, "doc_id", size)
+    docs = table(spark, sf, "documents")
+    shards = sharding.write_shards(docs, scratch_path(spark, "shards"), "doc_id", size)
+    return sharding.digest(shards, "doc_id", size, sharding.added(docs.columns)[0])
 
 
 @query()

@@ -21,7 +21,12 @@ its own.
 Defined cases. Null and empty texts have no bytes; a null key hashes as an empty
 one. Repeated rows are shared out by row number. An empty table gives an empty
 result. Every column of the input is kept, and the names of the columns added
-must be free: a name in use gets an underscore in front.
+must be free: a name in use, in whatever case, gets an underscore in front
+(:func:`added` says which).
+
+Shards are written whole, each into one file, and files hold their shards in
+order, so there is no folder per shard to list; :func:`manifest` says where each
+one is.
 """
 
 from __future__ import annotations
@@ -46,11 +51,17 @@ def hash_bits(key: Column) -> Column:
 
 
 def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
+    used = {t.lower() for t in taken}  # names that differ in case only are one name to Spark
+    while name in used:
         name = "_" + name
     return name
 
 
+def added(columns: list[str]) -> list[str]:
+    """The names of the columns that rows with these columns get: shard, depth, shard_bytes, shard_rows, if they are free."""
+    return [_free(c, columns) for c in ("shard", "depth", "shard_bytes", "shard_rows")]
+
+
 def _prefix(depth: Column | int) -> Column:
     """The first `depth` bits of h1 and h2 as two numbers; the second counts beyond `BITS`."""
     depth = depth if isinstance(depth, Column) else F.lit(depth)
@@ -84,7 +95,7 @@ def assigned(rows: DataFrame, key: str, size: Column, limit: int = LIMIT, round_
     total = counted.agg(F.sum("size")).first()[0] or 0
     step = min(round_bits, max(4, math.ceil(math.log2(max(total / limit, 1))) + 3))
     done, low = [], 0
-    names = [_free(c, columns) for c in ("shard", "depth", "shard_bytes", "shard_rows")]
+    names = added(columns)
     while True:
         high = min(low + step, 2 * BITS if low >= BITS else BITS)
         sums = stored(_sums(counted, low, high), "sums")
@@ -134,16 +145,20 @@ def assigned(rows: DataFrame, key: str, size: Column, limit: int = LIMIT, round_
 
 
 def write_shards(rows: DataFrame, path: str, key: str, size: Column, limit: int = LIMIT) -> DataFrame:
-    """Write one folder per shard; a shard's rows come from one task, as it fits the limit.
+    """Write every shard into one file, by one task, as it fits the limit.
 
     Returned are the rows as the files have them, with the columns of :func:`assigned`.
     """
     made = assigned(rows, key, size, limit)
-    name = made.columns[len(rows.columns)]
-    made.repartition(name).write.partitionBy(name).parquet(path)
-    # the schema keeps the bits text; the folder of the empty prefix reads as null
-    back = rows.sparkSession.read.schema(made.schema).parquet(path)
-    return back.withColumn(name, F.coalesce(name, F.lit(""))).select(made.columns)
+    name = added(rows.columns)[0]
+    made.repartition(name).sortWithinPartitions(name).write.parquet(path)
+    return rows.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def manifest(shards: DataFrame, shard: str = "shard", size: str = "shard_bytes", rows: str = "shard_rows") -> DataFrame:
+    """shard, file, bytes, rows of written shards, from those narrow columns alone."""
+    at = shards.select(F.col(shard).alias("shard"), F.col("_metadata.file_path").alias("file"), F.col(size).alias("bytes"), F.col(rows).alias("rows"))
+    return at.distinct()
 
 
 def digest(shards: DataFrame, key: str, size: Column, shard: str = "shard") -> DataFrame:

@@ -20,8 +20,10 @@ Defined cases. Null vectors and ids take no part, nor do vectors with null or
 non-finite components. Shorter vectors count as filled up with zeros. A query
 never meets rows of its own id; repeated rows count once. Ties go to the smaller
 id. With fewer candidates than k all are returned, and empty tables give empty
-results. Other columns are not read. Components may have up to 2^20 in absolute
-value, so that sums are exact in doubles.
+results. Other columns are not read. Components may be as large as a long; bounds
+allow for what doubles round off, and exact scores are computed in longs, or in
+Python's integers where products might pass them. A component or a best score
+that no long holds is an error.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ TOP = 5
 LEVELS = 16
 SHARD_ROWS = 32_768
 BLOCK_ROWS = 2_048
+#: Candidates of a shard, at least, where more shards would serve more tasks.
+LEAST_ROWS = 2_048
 #: Shares of a query's segments after which the bounds are looked at.
 LOOKS = (0.3, 0.45, 0.6, 0.75, 0.9, 1.0)
 
@@ -48,7 +52,20 @@ def integer_vector(embedding: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component as a double; null if one is null or not finite."""
     wide = F.transform(embedding, lambda x: x.cast("double"))
     odd = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~F.coalesce(odd, F.lit(True)), F.transform(wide, lambda x: F.floor(x * scale)))
+    large = F.raise_error(F.lit("a component is too large for a long")).cast("long")
+    whole = F.transform(wide, lambda x: F.when(F.abs(x * scale) < float(1 << 62), F.floor(x * scale)).otherwise(large))
+    return F.when(~F.coalesce(odd, F.lit(True)), whole)
+
+
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products without rounding or overflow."""
+    most = int(np.abs(vectors).max(initial=0)) * int(np.abs(query).max(initial=0)) * max(len(query), 1)
+    if most < 1 << 63:
+        return vectors @ query
+    found = vectors.astype(object) @ query.astype(object)
+    if any(not -(1 << 63) <= s < 1 << 63 for s in found):
+        raise OverflowError("a score is too large for a long")
+    return found.astype(np.int64)
 
 
 class Index:
@@ -82,6 +99,7 @@ class Index:
         impact = most - floor[self.dim]  # what the segment adds at most, from the dimension's lowest value on
         width = np.zeros(len(query))
         np.maximum.at(width, self.dim, most - least)
+        rounding = 1e-12 * float(np.abs(most).sum() + np.abs(least).sum())
         order = np.argsort(-impact, kind="stable")
         count = len(self.ids)
         sums = np.zeros(count)
@@ -101,10 +119,10 @@ class Index:
             rest = np.zeros(len(query))  # what each dimension can still add
             np.maximum.at(rest, self.dim[order[at:]], impact[order[at:]])
             mark = np.partition(sums[allowed], len(sums[allowed]) - k)[len(sums[allowed]) - k] - width.sum()
-            possible = np.flatnonzero(allowed & (sums + rest.sum() >= mark - 0.5))
+            possible = np.flatnonzero(allowed & (sums + rest.sum() >= mark - 0.5 - rounding))
             if len(possible) <= max(8 * top, count // 32):
                 break
-        exact = self.vectors[possible] @ query
+        exact = exact_scores(self.vectors[possible], query)
         best = np.lexsort([self.ids[possible], -exact])[:top]
         return self.ids[possible][best], exact[best]
 
@@ -157,7 +175,9 @@ def top_k(
     rows = stored(rows.where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").distinct(), "vectors")
     queries = rows.where(is_query)
     count, asked = rows.count(), queries.count()
-    shards, blocks = max(1, math.ceil(count / shard_rows)), max(1, math.ceil(asked / block_rows))
+    blocks = max(1, math.ceil(asked / block_rows))
+    tasks = 2 * shuffle_partitions(vectors.sparkSession)
+    shards = max(1, math.ceil(count / shard_rows), min(math.ceil(tasks / blocks), count // LEAST_ROWS))
 
     def part(number: int, salt: str) -> Column:
         return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(number)).cast("int")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridcast.llm import mixing
@@ -86,6 +87,14 @@ def test_mixed_rows(spark):
     assert have == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("name", ["_one", "_ONE", "_id", "_source", "Times", "range", "key"])
+def test_mixed_rows_keep_clashing_columns(spark, name):
+    docs, labels = tables(spark)
+    docs = docs.drop("times").withColumn(name, F.col("doc_id") * 2)
+    made = mixing.mixed(docs, labels)
+    assert made.columns == docs.columns and made.where(f"NOT (`{name}` <=> doc_id * 2)").count() == 0 and made.count() > 0
+
+
 def test_empty(spark):
     docs, labels = tables(spark)
     assert mixing.plan(docs.where(F.lit(False)), labels).count() == 0

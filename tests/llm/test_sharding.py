@@ -50,10 +50,21 @@ def test_empty_table_and_one_shard(spark):
 def test_written_shards(spark, tmp_path):
     rows = [(f"k{i}", 10) for i in range(100)]
     df = frame(spark, rows).drop("shard")
-    sharding.write_shards(df, str(tmp_path / "out"), "key", F.col("size"), 100)
-    back = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    back = sharding.write_shards(df, str(tmp_path / "out"), "key", F.col("size"), 100)
     assert back.count() == 100
-    assert len(list((tmp_path / "out").glob("shard=*"))) >= 10
+    assert not [p for p in (tmp_path / "out").iterdir() if p.is_dir()]  # no folder per shard
+    listed = sharding.manifest(back).collect()
+    assert len(listed) == len({r.shard for r in listed}) >= 10  # each shard in one file
+    assert sum(r.rows for r in listed) == 100 and sum(r.bytes for r in listed) == 1000
+
+
+@pytest.mark.parametrize("name", ["shard", "Shard", "SHARD_ROWS", "depth"])
+def test_clashing_names_through_the_query(spark, tmp_path, name):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs.withColumn(name, F.lit("own")).write.parquet(str(tmp_path / "documents.parquet"))
+    plain = queries.op9_sharding(spark, "/root/testdata/sf0.01")
+    got = queries.op9_sharding(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 
 def texts(spark):

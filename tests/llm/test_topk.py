@@ -55,3 +55,28 @@ def test_processing_stops_on_proof_and_stays_exact(monkeypatch):
     want = np.lexsort([np.arange(len(vectors)), -(vectors @ query)])[:5]
     assert ids.tolist() == want.tolist() and scores.tolist() == (vectors @ query)[want].tolist()
     assert len(looked) < len(topk.LOOKS)
+
+
+@pytest.mark.parametrize("size", [1e3, 1e6, 1e8, 5e6])
+def test_large_components(spark, size):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-size, size) for _ in range(3)]) for i in range(60)] + [(90, [size, -size, size]), (91, [size, -size, size * (1 - 1e-9)])]
+    if size < 1e8:
+        assert run(spark, rows) == plain(rows, lambda q: q % 3 == 0)
+    else:  # scores beyond a long
+        with pytest.raises(Exception, match="too large for a long"):
+            run(spark, rows)
+
+
+def test_components_beyond_a_long_are_an_error(spark):
+    with pytest.raises(Exception, match="too large for a long"):
+        run(spark, [(0, [1e30]), (3, [1.0])])
+
+
+def test_exact_scores_where_products_pass_longs():
+    vectors = np.array([[1 << 40, 1 << 40], [(1 << 40) + 1, -(1 << 40)]])
+    query = np.array([1 << 40, -(1 << 40) + 3])
+    want = [sum(int(a) * int(b) for a, b in zip(v, query)) for v in vectors]
+    assert topk.exact_scores(vectors[:1], query).tolist() == want[:1]
+    with pytest.raises(OverflowError):
+        topk.exact_scores(vectors, query)
