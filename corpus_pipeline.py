@@ -33,15 +33,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents and `ids`, the piece numbers of the text.
+    """The columns of the documents, `ids` (the piece numbers of the text), and `round_trip`.
 
-    All are decoded again, and rows are written only if their text comes back.
+    All texts are decoded again; `round_trip` is false for one that does not
+    come back, whose row stays. A column of one of these names is replaced.
     """
     back = f"decoded_{uuid.uuid4().hex}"
     rows = sentencepiece.encoded(docs, sentencepiece.model_bytes(), back=back)
     same = F.col(back).eqNullSafe(sentencepiece.readable(F.col("text")))
-    lost = F.raise_error(F.lit("a text does not come back from its piece numbers"))
-    return rows.withColumn("ids", F.when(same, F.col("ids")).otherwise(lost)).drop(back)
+    return rows.withColumn("round_trip", same).drop(back)
 
 
 STAGES = [
