@@ -12,15 +12,18 @@ inflected forms help one another. The score is the logistic of a sum over the
 distinct words of the whole text, of any length.
 
 What is bounded: at most about `MAX_POSITIVE` toxic and `MAX_UNLABELLED` other
-documents are learnt from, drawn by a hash of their id; `VOCABULARY` features
-are kept. Feature counts are made where the sampled texts lie; the classifiers
-(`BAGS` of them, each without another part of the unlabelled sample) are trained in
+documents are what weights are learnt from, drawn by a hash of their id. The
+features are those of the toxic sample. How many documents have each of them,
+and with that which ones tell and the class prior, is counted over all
+documents, where the texts lie, combined in each task. The classifiers (`BAGS`
+of them, each without another part of the unlabelled sample) are trained in
 tasks, from feature numbers only. Every document is scored in full.
 
 Defined cases. Null text counts as empty; a text without words gets the score
 of the intercept. Rows repeated in the documents are scored alike. Labels other
 than 0 and 1 are ignored; repeated label rows count once, and as toxic if one of
-them says so. Without any toxic example every score is 0. Other columns are not
+them says so. A row without a doc_id is not held out and has no label, but counts among
+all documents. Without any toxic example every score is 0. Other columns are not
 read. Empty tables give empty results. Without any telling feature every score is the
 prior.
 """
@@ -43,7 +46,6 @@ from gridcast.session import stored
 
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12_000
-VOCABULARY = 20_000
 BAGS = 3
 BEGINNINGS = (4, 5, 6, 7)
 #: A feature is kept if at least so many toxic samples have it, and so many deviations more than expected.
@@ -166,24 +168,58 @@ def _share(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def _counted(counts: list[Counter]) -> pa.RecordBatch:
-    names = list(counts[0] | counts[1])
-    numbers = [pa.array([c[x] for x in names], pa.int64()) for c in (counts[1], counts[0])]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *numbers], ["f", "p", "u"])
+def _counted(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["f", "n"])
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) to counts of documents by feature, combined up to `COUNTED` features at a time."""
-    counts = [Counter(), Counter()]
+    """Texts to counts of documents by feature, combined up to `COUNTED` features at a time."""
+    counts: Counter = Counter()
     for batch in batches:
-        for toxic, text in zip(batch.column(0), batch.column(1)):
-            counts[toxic.as_py()].update(set(document_features(text.as_py())))
-            if len(counts[0]) + len(counts[1]) > COUNTED:
+        for text in batch.column(0):
+            counts.update(set(document_features(text.as_py())))
+            if len(counts) > COUNTED:
                 yield _counted(counts)
-                counts = [Counter(), Counter()]
+                counts.clear()
     yield _counted(counts)
 
 
+class _Numbers(dict):
+    """The numbers of a word's features, looked up before, up to a bound."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = [self.number[f] for f in features_of(word) if f in self.number]
+        return value
+
+
+def document_counts(docs: DataFrame, names: list[str], text: str = "text") -> np.ndarray:
+    """How many of all documents have each of these features."""
+    sent = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = _Numbers(sent.value), np.zeros(len(names), np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                found: set[int] = set()
+                for word in words_of(value.as_py()):
+                    found.update(known[word])
+                counts[list(found)] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["f", "n"])
+
+    made = docs.select(F.col(text)).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(names), np.int64)
+    for r in made.collect():  # a row for each feature of the sample
+        out[r.f] = r.n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from the labels of rows that are not held out, and unlabelled text."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -206,19 +242,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not n_positive or not n_other:
         return Model(0.0)
 
-    counts = sample.select("role", "text").mapInArrow(_count_features, "f string, p long, u long")
-    counts = counts.groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_DOCS)
-    usual = (F.col("u") + 1) / (n_other + 1)
-    lift = F.col("p") / n_positive / usual
-    surprise = (F.col("p") / n_positive - usual) / F.sqrt(usual * (1 - usual) / n_positive + 1e-12)
-    # a feature of toxic texts alone has the lift 1 / prior, as the unlabelled hold that share of them;
-    # those features give the prior of the unlabelled, which need not be that of the labelled
-    telling = counts.where((lift >= 1 + (1 / prior - 1) / 6) & (surprise >= SURPRISE))
-    found = telling.orderBy(surprise.desc(), "f").limit(VOCABULARY).collect()
-    names = [r.f for r in found]
+    toxic_texts = sample.where("role = 1").select("text")
+    seen = toxic_texts.mapInArrow(_count_features, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    seen = sorted(map(tuple, seen.collect()))  # features of the toxic sample
+    every = document_counts(docs, [f for f, _ in seen], text)
+    found = []
+    for (f, p), u in zip(seen, every.tolist()):
+        usual = (u + 1) / (n_docs + 1)
+        lift = p / n_positive / usual
+        surprise = (p / n_positive - usual) / math.sqrt(max(usual * (1 - usual), 0.0) / n_positive + 1e-12)
+        # a feature of toxic texts alone has the lift 1 / prior, as the unlabelled hold that share of them;
+        # those features give the prior of the unlabelled, which need not be that of the labelled
+        if lift >= 1 + (1 / prior - 1) / 6 and surprise >= SURPRISE:
+            found.append((-surprise, f, p, u))
+    found.sort()
+    names = [f for _, f, _, _ in found]
     pure = found[:PURE]
     if pure:
-        prior = PRIOR_MARGIN * sum(r.u for r in pure) * n_positive / (sum(r.p for r in pure) * n_other)
+        prior = PRIOR_MARGIN * sum(u for *_, u in pure) * n_positive / (sum(p for _, _, p, _ in pure) * n_docs)
         prior = min(max(prior, 0.001), 0.9)
     if not names:
         return Model(prior, math.log(prior / (1 - prior)))

@@ -77,3 +77,53 @@ def test_weights_lower_the_risk():
     rows = [np.r_[np.flatnonzero(rng.random(6) < 0.3) + 2, [0] if t else []].astype(int) for t in toxic]
     weights = toxicity.train(rows, positive, 0.1, 8)
     assert weights[0] > 3 and abs(weights[2:8]).max() < 1.5 and weights[-1] < -1
+
+
+def test_counts_cover_all_documents(spark, monkeypatch):
+    """Frequencies and prior come from every document, however few are sampled."""
+    rows = made(900, seed=4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    names = ["gruk", "gruk*", "vilo*", "nosuchword"]
+    want = [sum(f in toxicity.document_features(t) for _, t, _ in rows) for f in names]
+    assert toxicity.document_counts(docs, names).tolist() == want
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if i % 5 < 2], "doc_id long, toxic int")
+    seen, count = [], toxicity.document_counts
+    monkeypatch.setattr(toxicity, "document_counts", lambda d, n, t: seen.append(d.count()) or count(d, n, t))
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 100)
+    few = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 900)
+    many = toxicity.fit(docs, labels)
+    assert seen == [900, 900] and few.prior == many.prior and few.weights.keys() == many.weights.keys()
+
+
+def plain_learner(rows, positive, prior, size, epochs, rate, decay):
+    """The non-negative risk by dense sums, its slope by hand, and Adam."""
+    x = np.zeros((len(rows), size + 1))
+    for i, r in enumerate(rows):
+        x[i, -1] = 1
+        for f in r:
+            x[i, f] += 1
+    w = np.zeros(size + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    p, u = x[positive], x[~positive]
+    for t in range(1, epochs + 1):
+        sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+        clean = -np.log(1 - su).mean() + prior * np.log(1 - sp).mean()
+        g_clean = su @ u / len(u) - prior * sp @ p / len(p)
+        g = prior * (sp - 1) @ p / len(p) + g_clean if clean >= 0 else -g_clean
+        g[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.6])
+def test_training_equals_a_plain_learner(prior):
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(0, 8, rng.integers(0, 7)) for _ in range(60)]
+    positive = np.arange(60) < 25
+    rows = [np.r_[r, [0] * 3] if p and i % 2 else r for i, (r, p) in enumerate(zip(rows, positive))]
+    got = toxicity.train(rows, positive, prior, 8, epochs=150)
+    want = plain_learner(rows, positive, prior, 8, 150, 0.1, 5e-5)
+    np.testing.assert_allclose(got, want, rtol=1e-6, atol=1e-8)
