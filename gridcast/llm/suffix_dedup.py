@@ -13,15 +13,19 @@ anchor of.
 
 1. Anchors whose token occurs in one document only can match nothing. Their
    hashes, packed, are dealt out by hash range; tokens of two and more documents
-   are reported back to their documents.
+   are reported back to their rows. A block packs one list per group of ranges,
+   `GROUPS` at most; where there are more ranges than groups, a second deal cuts
+   the groups, so a block's work does not depend on their number.
 2. The suffixes at the anchors that remain are dealt out by leading token, in
-   ranges whose splitters are drawn from a sample of documents. Splitters lie
-   between tokens, so equal strings never lie on two sides of a boundary, and
-   two neighbours across a boundary differ within the leading token.
-3. Each bucket sorts its suffixes, and the reversed bytes before them, by
-   multikey quicksort with keys of eight bytes: only suffixes that are still
-   equal go on to the next key. Common prefixes of neighbours then give, for
-   every place of the anchor in a string, the classes of equal strings.
+   ranges whose splitters, `SPLITTERS` at most, are drawn from a sample of
+   documents; where a range would be larger than a bucket may be, its tokens are
+   dealt out by their hash. Splitters lie between tokens, so equal strings never
+   lie on two sides of a boundary, and there is nothing to compare across one.
+3. Each bucket sorts its suffixes, and the reversed bytes before them, by keys
+   of eight bytes, the most significant first: only suffixes that are still
+   equal go on to the next key, as in multikey quicksort, but numpy sorts the
+   keys. Common prefixes of neighbours then give, for every place of the anchor
+   in a string, the classes of equal strings.
 4. In a class, all strings but those of its smallest doc_id are covered. The
    runs go back to their documents, which cut them out.
 
@@ -29,12 +33,14 @@ Many copies of a passage do not meet in one task: each block of some `BLOCK`
 bytes hands on one copy only, that of its smallest doc_id; the others are
 covered whatever other blocks hold, and their runs go straight back.
 
-Memory: a task holds a block, or one bucket. Long documents are cut into pieces
-of `PIECE` strings that overlap by a string.
+Memory: a task holds a block, or one bucket, whose size does not grow with the
+corpus unless one token of `TOKEN` bytes stands in ever more different contexts:
+that token stays in one bucket. Long documents are cut into pieces of `PIECE`
+strings that overlap by a string.
 
 Defined cases. Null text counts as empty. Texts under `SPAN` bytes lose nothing.
 Rows with the same doc_id are pieces of one document, and lose nothing to one
-another. A null doc_id counts as larger than any other. Other columns are not
+another; each is told of its own tokens and runs only. A null doc_id counts as larger than any other. Other columns are not
 read. An empty table gives an empty result.
 """
 
@@ -48,10 +54,10 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.session import shuffle_partitions
+from gridcast.session import shuffle_partitions, stored
 
 SPAN = 50
 TOKEN = 16
@@ -68,6 +74,11 @@ SAMPLE_TOKENS = 200_000
 #: Text bytes behind a bucket of token hashes, and behind one of suffixes.
 HASH_BUCKET = 16 << 20
 SUFFIX_BUCKET = 8 << 20
+#: Lists that a block packs of its token hashes, and token hashes cut at once in the second deal.
+GROUPS = 256
+REGROUPED = 1 << 20
+#: Ranges of leading tokens; beyond, tokens of a range are dealt out by hash.
+SPLITTERS = 4096
 LAST_ID = (1 << 63) - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -100,9 +111,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 class Block:
     """Pieces of texts side by side, and the runs of strings by their anchors."""
 
-    def __init__(self, pieces: list[tuple[int, int, int, bytes]]):
-        """pieces: (doc_id, number of the document in its task, place of the piece in the document, bytes)."""
-        self.doc, self.number, self.place = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
+    def __init__(self, pieces: list[tuple]):
+        """pieces: (doc_id, number of the row in its task, place of the piece in the row, bytes, tokens, row)."""
+        self.doc, self.number, self.place, self.row = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1, 2, 5))
         lengths = np.array([len(p[3]) for p in pieces], np.int64)
         self.starts = np.cumsum(lengths) - lengths
         self.data = np.frombuffer(b"".join([p[3] for p in pieces]) + bytes(WIDTH + 16), np.uint8)
@@ -173,16 +184,16 @@ def covered(most: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], block: int, piece: int) -> Iterator[list[tuple]]:
-    """Pieces (doc_id, number, place, bytes, tokens) of `block` bytes in all, from rows (doc_id, text, base, tokens)."""
+    """Pieces (doc_id, number, place, bytes, tokens, row) of `block` bytes in all, from rows (doc_id, text, row, tokens)."""
     held, size, number = [], 0, 0
     for batch in batches:
-        ids, bases = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        ids, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for row, text in enumerate(batch.column(1)):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             extra = batch.column(3)[row] if batch.num_columns > 3 else None
             for at in range(0, max(len(data) - SPAN + 1, 0), piece):
                 part = data[at : at + piece + SPAN - 1]
-                held.append((int(ids[row]), number, int(bases[row]) + at, part, extra))
+                held.append((int(ids[row]), number, at, part, extra, int(rows[row])))
                 size += len(part)
                 if size >= block:
                     yield held
@@ -195,91 +206,134 @@ def _pieces(batches: Iterator[pa.RecordBatch], block: int, piece: int) -> Iterat
 # --- 1. tokens of two and more documents ---------------------------------------------------------
 
 
+def _bucket_width(buckets: int) -> int:
+    return -(-(1 << 55) // buckets)
+
+
 def _token_hashes(buckets: int, sizes: tuple[int, int]):
+    """Lists (group of buckets, kind 0, tokens with their rows) and (some group, kind 1, rows with tokens known to be shared)."""
+    groups = min(buckets, GROUPS)
+
     def run(batches):
-        width = -(-(1 << 55) // buckets)
+        width = _bucket_width(buckets)
         for pieces in _pieces(batches, *sizes):
-            block = Block([p[:4] for p in pieces])
+            block = Block(pieces)
             if not len(block.token):
                 continue
-            order = np.argsort(block.token, kind="stable")  # pieces of a document stay side by side
-            token, doc = block.token[order], block.doc[block.piece[order]]
+            order = np.argsort(block.token, kind="stable")  # pieces of a row stay side by side
+            token, piece = block.token[order], block.piece[order]
+            doc, row, number = block.doc[piece], block.row[piece], block.number[piece]
             new = np.r_[True, token[1:] != token[:-1]]
-            first = np.flatnonzero(new)
+            own = new | np.r_[True, number[1:] != number[:-1]]  # once for each row
             group = np.cumsum(new) - 1
-            several = np.zeros(len(first), bool)
+            several = np.zeros(int(group[-1]) + 1, bool)
             several[group[1:][(doc[1:] != doc[:-1]) & ~new[1:]]] = True
-            shared = np.flatnonzero(several[group])
-            bucket = token[first] // width
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            shared = np.flatnonzero(several[group] & own)
+            kept = np.flatnonzero(new | own & ~several[group])
+            place = (token[kept] // width) * groups // buckets
+            cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             names, blobs, kinds = [], [], []
-            for b in range(buckets):
-                part = first[ends[b] : ends[b + 1]]
-                if len(part):
-                    steps = np.diff(token[part], prepend=b * width)
-                    names.append(b)
-                    kinds.append(0)
-                    blobs.append(pack(steps, doc[part], several[ends[b] : ends[b + 1]]))
+            for a, b in zip(cuts, np.r_[cuts[1:], len(kept)]):
+                part = kept[a:b]
+                names.append(int(place[a]))
+                kinds.append(0)
+                blobs.append(pack(np.diff(token[part], prepend=0), doc[part], row[part], several[group[part]]))
             if len(shared):
-                names.append(int(token[shared[0]] % buckets))
+                names.append(int(token[shared[0]] % groups))
                 kinds.append(1)
-                blobs.append(pack(doc[shared], token[shared]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+                blobs.append(pack(doc[shared], row[shared], token[shared]))
+            yield _lists(names, kinds, blobs)
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator]]:
-    rows = (tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
-    return groupby(rows, key=lambda r: r[0])
-
+def _lists(names: list, kinds: list, blobs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
-def _pairs(doc: np.ndarray, value: np.ndarray, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(value, pa.int64())], ["doc_id", name])
 
+def _regrouped(buckets: int):
+    """The second deal: lists of groups, which come sorted, cut into lists of buckets."""
 
-def _shared_tokens(buckets: int):
     def run(batches):
-        width = -(-(1 << 55) // buckets)
-        for bucket, rows in _by_bucket(batches):
-            parts = []
+        width = _bucket_width(buckets)
+
+        def cut(parts: list) -> pa.RecordBatch:
+            token, doc, row, several = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(token, kind="stable")
+            token, doc, row, several = token[order], doc[order], row[order], several[order]
+            bucket = token // width
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            spans_ = list(zip(cuts, np.r_[cuts[1:], len(bucket)]))
+            blobs = [pack(np.diff(token[a:b], prepend=0), doc[a:b], row[a:b], several[a:b]) for a, b in spans_]
+            return _lists([int(bucket[a]) for a, _ in spans_], [0] * len(blobs), blobs)
+
+        for group, rows in _by_bucket(batches):
+            parts, size = [], 0
             for _, kind, blob in rows:
                 if kind:
-                    yield _pairs(*unpack(blob), "token")
-                else:
-                    steps, doc, several = unpack(blob)
-                    parts.append((np.cumsum(steps) + bucket * width, doc, several))
-            if not parts:
-                continue
-            token, doc, several = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(token, kind="stable")
-            token, doc, several = token[order], doc[order], several[order]
-            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            shared = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(several, first) > 0)
-            here = np.repeat(shared, np.diff(np.r_[first, len(token)])) & (several == 0)
-            yield _pairs(doc[here], token[here], "token")
+                    yield _lists([group * buckets // GROUPS], [1], [blob])
+                    continue
+                steps, doc, row, several = unpack(blob)
+                parts.append((np.cumsum(steps), doc, row, several))
+                size += len(steps)
+                if size >= REGROUPED:
+                    yield cut(parts)
+                    parts, size = [], 0
+            if parts:
+                yield cut(parts)
 
     return run
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator]]:
+    rows = (tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
+    return groupby(rows, key=lambda r: r[0])
+
+
+def _told(doc: np.ndarray, row: np.ndarray, value: np.ndarray, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, row, value)], ["doc_id", "row", name])
+
+
+def _shared_tokens(batches):
+    for _, rows in _by_bucket(batches):
+        parts = []
+        for _, kind, blob in rows:
+            if kind:
+                yield _told(*unpack(blob), "token")
+            else:
+                steps, doc, row, several = unpack(blob)
+                parts.append((np.cumsum(steps), doc, row, several))
+        if not parts:
+            continue
+        token, doc, row, several = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(token, kind="stable")
+        token, doc, row, several = token[order], doc[order], row[order], several[order]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        shared = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(several, first) > 0)
+        here = np.repeat(shared, np.diff(np.r_[first, len(token)])) & (several == 0)
+        yield _told(doc[here], row[here], token[here], "token")
+
+
 # --- 2. suffixes by leading token ----------------------------------------------------------------
 
 
 def _leading_tokens(sizes: tuple[int, int]):
     def run(batches):
         for pieces in _pieces(batches, *sizes):
-            block = Block([p[:4] for p in pieces])
+            block = Block(pieces)
             found = block.leading(np.arange(len(block.anchor))) >> np.uint64(1)
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["lead"])
 
     return run
 
 
-def _suffixes(splitters: np.ndarray, sizes: tuple[int, int]):
+def _suffixes(splitters: np.ndarray, parts: int, sizes: tuple[int, int]):
+    """Lists of suffixes by range of leading tokens, each range in `parts` by the token's hash; kind 1 lists runs found in the block."""
+
     def run(batches):
         for pieces in _pieces(batches, *sizes):
-            block = Block([p[:4] for p in pieces])
-            # the tokens that each document has been told of; a chance hit costs work only
+            block = Block(pieces)
+            # the tokens that each row has been told of; a chance hit costs work only
             lists = [np.asarray(p[4].values.to_numpy(zero_copy_only=False), np.int64) if p[4].is_valid else np.zeros(0, np.int64) for p in pieces]
             told = np.concatenate(lists) ^ (np.repeat(block.number, [len(x) for x in lists]) << 44)
             runs = np.flatnonzero(np.isin(block.token ^ (block.number[block.piece] << 44), told))
@@ -288,7 +342,7 @@ def _suffixes(splitters: np.ndarray, sizes: tuple[int, int]):
             names, kinds, blobs = [], [], []
             rows = block.strings(runs)
             piece = block.piece[runs]
-            doc, start = block.doc[piece], block.starts[piece]
+            doc, row_of, start = block.doc[piece], block.row[piece], block.starts[piece]
             most, least = block.anchor[runs] - block.low[runs], block.anchor[runs] - block.high[runs]
             place = block.place[piece] + block.anchor[runs] - start
             # equal runs within the block: those of larger documents are covered by the smallest's
@@ -307,23 +361,23 @@ def _suffixes(splitters: np.ndarray, sizes: tuple[int, int]):
             smallest = doc[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
             later = order[doc[order] > smallest]
             if len(later):
-                names.append(int(place[later[0]] % (len(splitters) + 1)))
+                names.append(int(place[later[0]] % ((len(splitters) + 1) * parts)))
                 kinds.append(1)
-                blobs.append(pack(doc[later], spans(place[later] - most[later], most[later] - least[later] + SPAN)))
+                blobs.append(pack(doc[later], row_of[later], spans(place[later] - most[later], most[later] - least[later] + SPAN)))
             keep = np.setdiff1d(np.arange(len(runs)), later, assume_unique=True)
             lead = block.leading(runs[keep]) >> np.uint64(1)
             by_lead = np.argsort(lead, kind="stable")
             keep, lead = keep[by_lead], lead[by_lead].astype(np.int64)
-            bucket = np.searchsorted(splitters, lead, "right")
+            bucket = np.searchsorted(splitters, lead, "right") * parts + block.token[runs[keep]] % parts
             held = covered(most, least)
             for n in np.unique(bucket):
                 part = keep[bucket == n]
                 names.append(int(n))
                 kinds.append(0)
-                numbers = pack(doc[part], place[part], most[part], least[part])
+                numbers = pack(doc[part], row_of[part], place[part], most[part], least[part])
                 text = zstandard.ZstdCompressor(level=3).compress(rows[part][held[part]].tobytes())
                 blobs.append(len(numbers).to_bytes(8, "little") + numbers + text)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+            yield _lists(names, kinds, blobs)
 
     return run
 
@@ -373,8 +427,8 @@ def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return (start << 8) | length
 
 
-def covered_runs(doc: np.ndarray, place: np.ndarray, most: np.ndarray, least: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id, span) of the bytes that smaller documents of the bucket cover."""
+def covered_runs(doc: np.ndarray, row: np.ndarray, place: np.ndarray, most: np.ndarray, least: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc_id, row, span) of the bytes that smaller documents of the bucket cover."""
     right, shared_right = suffix_order(rows[:, REACH:])
     token = np.empty(len(doc), np.int64)
     token[right] = np.cumsum(shared_right < TOKEN)
@@ -386,9 +440,9 @@ def covered_runs(doc: np.ndarray, place: np.ndarray, most: np.ndarray, least: np
     live = np.zeros(len(doc), bool)
     live[by] = several
     live = np.flatnonzero(live)
-    doc, place, most, least, rows = doc[live], place[live], most[live], least[live], rows[live]
+    doc, row, place, most, least, rows = doc[live], row[live], place[live], most[live], least[live], rows[live]
     if not len(doc):
-        return doc, place
+        return doc, row, place
     right, shared_right = suffix_order(rows[:, REACH:])
     left, shared_left = suffix_order(np.ascontiguousarray(rows[:, :REACH][:, ::-1]))
     low, high = np.full(len(doc), -1), np.full(len(doc), -1)
@@ -408,7 +462,7 @@ def covered_runs(doc: np.ndarray, place: np.ndarray, most: np.ndarray, least: np
         low[late] = np.where(low[late] < 0, at, low[late])
         high[late] = at
     hit = np.flatnonzero(high >= 0)
-    return doc[hit], spans(place[hit] - high[hit], high[hit] - low[hit] + SPAN)
+    return doc[hit], row[hit], spans(place[hit] - high[hit], high[hit] - low[hit] + SPAN)
 
 
 def _sorted_buckets(batches):
@@ -416,18 +470,18 @@ def _sorted_buckets(batches):
         parts, texts = [], []
         for _, kind, blob in rows:
             if kind:
-                yield _pairs(*unpack(blob), "span")
+                yield _told(*unpack(blob), "span")
                 continue
             size = int.from_bytes(blob[:8], "little")
             numbers = unpack(blob[8 : 8 + size])
-            held = covered(numbers[2], numbers[3])
+            held = covered(numbers[3], numbers[4])
             text = np.zeros(held.shape, np.uint8)
             text[held] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + size :]), np.uint8)
             parts.append(numbers)
             texts.append(text)
         if parts:
-            doc, place, most, least = (np.concatenate(x) for x in zip(*parts))
-            yield _pairs(*covered_runs(doc, place, most, least, np.concatenate(texts)), "span")
+            numbers = (np.concatenate(x) for x in zip(*parts))
+            yield _told(*covered_runs(*numbers, np.concatenate(texts)), "span")
 
 
 # --- 4. cutting ----------------------------------------------------------------------------------
@@ -451,11 +505,9 @@ def _cutter(batches):
     for batch in (whole.slice(at, OUT_ROWS) for whole in batches for at in range(0, whole.num_rows, OUT_ROWS)):
         ids = batch.column(0)
         starts, ends, kept = [], [], []
-        for text, base, found in zip(batch.column(1), batch.column(2), batch.column(3)):
+        for text, found in zip(batch.column(1), batch.column(2)):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            at = base.as_py()
-            own = np.asarray(found.values.to_numpy(zero_copy_only=False), np.int64) - (at << 8) if found.is_valid else np.zeros(0, np.int64)
-            own = own[(own >= 0) & (own >> 8 < max(len(data), 1))]
+            own = np.asarray(found.values.to_numpy(zero_copy_only=False), np.int64) if found.is_valid else np.zeros(0, np.int64)
             rest, a, b = cut(data, own)
             starts.append(a)
             ends.append(b)
@@ -466,43 +518,51 @@ def _cutter(batches):
         )
 
 
-def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text, base: where the row's bytes begin among those of its doc_id."""
+def _numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
+    """doc_id, text, row: 0, or for a doc_id of several rows the number of the text among all such; and whether there are any."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text).alias("text"))
-    twice = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    twice = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if twice.isEmpty():
-        return rows.withColumn("base", F.lit(0).cast("long"))
+        return rows.withColumn("row", F.lit(0).cast("long")), False
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(digest)) - 1
-    return rows.withColumn("base", F.shiftleft(place.cast("long"), 32))
+    texts = rows.select("doc_id", digest.alias("digest")).join(stored(twice, "twice"), "doc_id", "left_semi").distinct()
+    numbers = stored(texts.withColumn("row", F.monotonically_increasing_id() + 1), "numbers")
+    found = rows.withColumn("digest", digest).join(numbers, ["doc_id", "digest"], "left")
+    return found.select("doc_id", "text", F.coalesce("row", F.lit(0)).cast("long").alias("row")), True
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """One row per document: doc_id, starts and ends of the removed runs, kept (the bytes left)."""
     spark, sizes = docs.sparkSession, (block, piece)
-    rows = _numbered(docs, doc_id, text)
+    rows, repeated = _numbered(docs, doc_id, text)
+    gathered = F.collect_set if repeated else F.collect_list  # equal rows of one id say the same
     count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     size = size or 0
     partitions = shuffle_partitions(spark)
     lead = rows.sample(min(1.0, SAMPLE_DOCS / max(count, 1)), seed=7).mapInArrow(_leading_tokens(sizes), "lead long")
     lead = lead.orderBy(F.xxhash64("lead")).limit(SAMPLE_TOKENS)
     buckets = max(partitions, math.ceil(size / SUFFIX_BUCKET))
-    shares = [i / buckets for i in range(1, buckets)]
+    ranges = min(buckets, SPLITTERS)
+    shares = [i / ranges for i in range(1, ranges)]
     drawn = lead.agg(F.percentile_approx("lead", shares, 100_000)).first()[0] if shares else []
     splitters = np.unique(np.array(drawn or [], np.int64))
 
     hash_buckets = max(partitions, math.ceil(size / HASH_BUCKET))
-    packed = "bucket int, kind int, blob binary"
+    packed = "bucket long, kind int, blob binary"
     hashes = rows.mapInArrow(_token_hashes(hash_buckets, sizes), packed)
     hashes = hashes.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    told = hashes.mapInArrow(_shared_tokens(hash_buckets), "doc_id long, token long")
-    told = told.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
-
-    suffixes = rows.join(told, "doc_id").select("doc_id", "text", "base", "tokens").mapInArrow(_suffixes(splitters, sizes), packed)
+    if hash_buckets > GROUPS:
+        hashes = hashes.mapInArrow(_regrouped(hash_buckets), packed)
+        hashes = hashes.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    told = hashes.mapInArrow(_shared_tokens, "doc_id long, row long, token long")
+    told = told.groupBy("doc_id", "row").agg(gathered("token").alias("tokens"))
+
+    suffixes = rows.join(told, ["doc_id", "row"]).select("doc_id", "text", "row", "tokens")
+    suffixes = suffixes.mapInArrow(_suffixes(splitters, math.ceil(buckets / ranges), sizes), packed)
     suffixes = suffixes.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    found = suffixes.mapInArrow(_sorted_buckets, "doc_id long, span long")
-    found = found.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    whole = rows.join(found, "doc_id", "left").select("doc_id", "text", "base", "spans")
+    found = suffixes.mapInArrow(_sorted_buckets, "doc_id long, row long, span long")
+    found = found.groupBy("doc_id", "row").agg(gathered("span").alias("spans"))
+    whole = rows.join(found, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
     made = whole.mapInArrow(_cutter, SPANS_SCHEMA)
     return made.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,52 @@ def test_spans_stay_whole_numbers(spark):
     made = S.suffix_dedup(spark.createDataFrame([(1, "q" * 60), (2, "q" * 70)], "doc_id long, text string"))
     assert {(r.doc_id, tuple(r.starts), tuple(r.ends), bytes(r.kept)) for r in made.collect()} == {(1, (), (), b"q" * 60), (2, (0,), (70,), b"")}
     assert made.where(F.col("kept").isNull()).count() == 0
+
+
+def listed(text, buckets):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([0])], ["doc_id", "text", "row"])
+    return [b for made in S._token_hashes(buckets, (S.BLOCK, S.PIECE))(iter([batch])) for b in made.to_pylist()]
+
+
+def test_a_block_costs_the_same_at_any_number_of_buckets():
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(140_000))[: 1 << 20]
+    listed(text, 200)
+    took = []
+    for buckets in (200, 1_000_000):
+        start = time.perf_counter()
+        made = listed(text, buckets)
+        took.append(time.perf_counter() - start)
+        assert len(made) <= S.GROUPS + 1
+        assert sum(len(b["blob"]) for b in made) < 1 << 20
+    assert took[1] < 2 * took[0] + 0.2
+
+
+def test_lists_are_cut_again_and_many_buckets_give_the_same(spark, monkeypatch):
+    """Every bucket far smaller than the texts: two deals of hashes, hashed parts of ranges."""
+    for name, value in (("HASH_BUCKET", 64), ("SUFFIX_BUCKET", 128), ("GROUPS", 3), ("SPLITTERS", 5), ("REGROUPED", 50)):
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcde", k=4)) for _ in range(30)]
+    passage = " ".join(rng.choices(words, k=60))
+    rows = [(i, " ".join(rng.choices(words, k=20)) + (passage[i : i + 120] if i % 2 else "")) for i in range(40)] + [(3, passage), (None, passage), (None, passage[::-1])]
+    check(spark, rows)
+
+
+def test_lists_of_one_id_grow_with_its_rows(spark):
+    """Rows of one id are told of their own tokens: the numbers joined grow in proportion."""
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    passages = [" ".join(rng.choices(words, k=25)) for _ in range(400)]
+    joined = []
+    for n in (100, 200, 400):
+        rows = [(i % 2 if i < n else None, passages[i % n] + f" {i} " + passages[(i * 7) % n]) for i in range(2 * n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        numbered, repeated = S._numbered(docs, "doc_id", "text")
+        assert repeated and numbered.select("doc_id", "row").distinct().count() == len(set(rows))
+        hashes = numbered.mapInArrow(S._token_hashes(8, (S.BLOCK, S.PIECE)), "bucket long, kind int, blob binary").repartition(4, "bucket").sortWithinPartitions("bucket")
+        told = hashes.mapInArrow(S._shared_tokens, "doc_id long, row long, token long")
+        lists = told.groupBy("doc_id", "row").agg(F.collect_set("token").alias("tokens"))
+        joined.append(numbered.join(lists, ["doc_id", "row"]).agg(F.sum(F.size("tokens"))).first()[0])
+    assert joined[1] < 2.5 * joined[0] and joined[2] < 2.5 * joined[1]
+    check(spark, rows[:120] + [(5, passages[0])] * 30 + [(None, passages[0])] * 30)
