@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.session import frozen
+from gridcast.session import frozen, scratch_table, shuffle_partitions
 
 #: Measured bytes up to which a small table is broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -62,6 +62,22 @@ def attach(
     return rows.join(small, list(keys), how)
 
 
+def co_located(df: DataFrame, keys: Sequence[str] = ("series_id", "ts"), buckets: int | None = None) -> DataFrame:
+    """The rows as a table bucketed and sorted by these keys, in the shared folder.
+
+    Tables of the same keys and number of buckets are aligned, sampled and
+    matched without moving their rows again: the shuffle is paid once, when they
+    are written. `buckets` is by default the session's number of shuffle
+    partitions.
+    """
+    spark = df.sparkSession
+    number = buckets or shuffle_partitions(spark)
+    name, path = scratch_table(spark, "co_located")
+    dealt = df.repartition(number, *keys)  # one file per bucket
+    dealt.write.bucketBy(number, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on equal keys; N:M keys give every combination."""
     return left.join(right, list(keys), "inner")

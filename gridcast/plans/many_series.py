@@ -9,8 +9,10 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.operators.columns import fill_missing
 from gridcast.operators.forecast import lag_features, latest_state, recursive_linear
 from gridcast.operators.frames import walk_forward_segments
+from gridcast.operators.grid import resample_mean
 from gridcast.operators.models import xy_split
 from gridcast.operators.scale import fit_log_mean, log_demean, log_demean_inverse
 from gridcast.operators.stats import error_metrics
@@ -19,6 +21,19 @@ from gridcast.session import stored
 DAY = timedelta(days=1)
 
 
+def every_day(days: DataFrame, value: str = "value", keys: Sequence[str] = ("series_id",), ts: str = "ts") -> DataFrame:
+    """Every day of every series, from the first to the last day of the whole table, missing values as 0.
+
+    The days are laid out along the time axis: no plan, schema or task grows a
+    column per day.
+    """
+    rows = days.select(*keys, F.col(ts).cast("timestamp_ntz").alias(ts), value)
+    span = rows.agg(F.struct(F.min(ts).alias("a"), F.max(ts).alias("z")).alias("s")).scalar()
+    bounds = rows.select(*keys).distinct().select(*keys, span["a"].alias("first_ts"), span["z"].alias("last_ts"))
+    grid = resample_mean(rows, DAY, [value], keys, ts, bounds)
+    return fill_missing(grid.withColumn(ts, F.col(ts).cast("date")), [value])
+
+
 def segment_values(
     daily: DataFrame, horizon: int, keys: Sequence[str] = ("series_id",), span=None
 ) -> DataFrame:

@@ -12,7 +12,8 @@ from gridcast.plans.dataset import QUARTER
 from gridcast.queries.registry import GRID_15, query, readings, rnd, table, tidy
 from gridcast.session import scratch_path
 from gridcast.sources import csv as S
-from gridcast.sources.landing import parse_json, read_json_pages
+from gridcast.sources.days import read_days, write_days
+from gridcast.sources.landing import parse_json, read_json_pages, read_numbered_pages
 
 HOUR = timedelta(hours=1)
 
@@ -133,6 +134,34 @@ def json_pages(spark, sf):
     return tidy(rows.select("station", F.col("tm").cast("timestamp_ntz").alias("tm"), "ta"))
 
 
+@query(
+    "json_pages_source",
+    f"""SELECT event_id // 1000 + 1 AS page, event_type AS station, date_trunc('second', ts)::TIMESTAMP AS tm, {rnd('value')} AS ta FROM events
+WHERE event_id >= 1000 AND event_id // 1000 <= (SELECT max(event_id) FROM events) // 1000""",
+)
+def json_pages_source(spark, sf):
+    """Pages of a thousand events, read on from the second one."""
+    path = scratch_path(spark, "numbered")
+    item = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("tm"), F.col("value").alias("ta"), F.col("event_type").alias("station"))
+    events = table(spark, sf, "events").withColumn("page", F.floor(F.col("event_id") / 1000) + 1)
+    pages = events.select("page", F.struct(F.struct(F.array(item).alias("item")).alias("body")).alias("response"))
+    pages.write.partitionBy("page").json(path)
+    schema = "response STRUCT<body: STRUCT<item: ARRAY<STRUCT<tm: STRING, ta: DOUBLE, station: STRING>>>>"
+    rows = read_numbered_pages(spark, path, schema, "response.body.item", after=1)
+    return tidy(rows.select("page", "station", F.col("tm").cast("timestamp_ntz").alias("tm"), "ta"))
+
+
+@query(
+    "day_store_slice",
+    f"SELECT event_type AS series_id, ts, {rnd('value')} AS value FROM events WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-13'",
+)
+def day_store_slice(spark, sf):
+    """A range of time from a store with a folder for each day."""
+    path = scratch_path(spark, "days")
+    write_days(readings(spark, sf), path)
+    return tidy(read_days(spark, path, "2024-01-10 06:00:00", "2024-01-12").drop("day"))
+
+
 @query(
     "upsample_repeat",
     f"""WITH d AS (SELECT event_type series_id, date_trunc('day', ts) + INTERVAL 3 HOUR * (hour(ts) // 3) ts, avg(value) v FROM events GROUP BY 1, 2)

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from gridcast.operators.analog import in_season
 from gridcast.operators.boosting import Boosting
-from gridcast.operators.columns import fill_missing, pivot, unpivot
+from gridcast.operators.columns import fill_missing, slice_inclusive
 from gridcast.operators.grid import bucket_sum, resample_mean
 from gridcast.operators.models import linear
 from gridcast.plans.analog_features import analog_features
 from gridcast.plans.dataset import QUARTER, build_dataset, sensor_grid
 from gridcast.plans.forecast_day import forecast_day
-from gridcast.plans.many_series import forecast_many, forecast_validation, segment_values
+from gridcast.plans.many_series import every_day, forecast_many, forecast_validation, segment_values
 from gridcast.plans.submission import hourly_submission, keyless_submission
 from gridcast.plans.training import fit_scaled, prepare, train_and_score
-from gridcast.queries.registry import GRID_15, SPAN, daily_users, days_of, query, readings, readings_two, rnd, tidy
+from gridcast.queries.registry import GRID_15, SPAN, daily_users, query, readings, readings_two, rnd, tidy
 from gridcast.queries.sequences import _FILLED, _PROFILE, _profile, hourly
 from gridcast.session import scratch_path, stored
 from gridcast.sources.csv import number_across_files, read_ordered_numbers, write_ordered_numbers
@@ -81,6 +81,23 @@ def submission_keyless(spark, sf):
     return tidy(keyless_submission(lines, keys=[], strict=False), 4)
 
 
+@query(
+    "submission_keyless_strict",
+    f"""WITH g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-10 23:45:00', INTERVAL '15 minutes')) AS ts),
+b AS (SELECT time_bucket(INTERVAL '15 minutes', ts) AS ts, avg(value) AS v FROM events GROUP BY 1),
+n AS (SELECT row_number() OVER (ORDER BY ts) AS pos, CASE WHEN coalesce(v, 0) - 20 < 0.01 THEN 0 ELSE coalesce(v, 0) - 20 END AS v FROM g LEFT JOIN b USING (ts))
+SELECT ((pos - 1) // 4)::BIGINT AS block, {rnd('sum(v)', 4)} AS value FROM n GROUP BY 1""",
+)
+def submission_keyless_strict(spark, sf):
+    """One whole day without times: 96 lines in blocks of four, as a submission needs them."""
+    path = scratch_path(spark, "day")
+    grid = fill_missing(resample_mean(readings(spark, sf).withColumn("series_id", F.lit("all")), QUARTER, ["value"]), ["value"])
+    day = slice_inclusive(grid, "2024-01-10", "2024-01-10")
+    write_ordered_numbers(day.select("ts", (F.col("value") - 20).alias("value")), path, "value", ["ts"])
+    lines = number_across_files(read_ordered_numbers(spark, path))
+    return tidy(keyless_submission(lines, keys=[]), 4)
+
+
 @query(
     "analog_features_day",
     f"""WITH {_FILLED}, {_PROFILE}, x AS (SELECT f.series_id, CAST(f.ts AS DATE) AS day,
@@ -174,11 +191,9 @@ def holdout_score_linear(spark, sf):
     return tidy(errors, 4)
 
 
-def _wide_to_daily(spark, sf):
-    """Page-by-day matrix back to rows, missing days as 0."""
-    days = daily_users(spark, sf)
-    wide = pivot(days.withColumn("ts", F.col("ts").cast("string")), "series_id", days_of(days))
-    return fill_missing(unpivot(wide, "series_id"), ["value"])
+def _every_day(spark, sf):
+    """Every day of every user from the first to the last day of all, missing ones as 0."""
+    return every_day(daily_users(spark, sf))
 
 
 _WIDE = f"""{SPAN}, d AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS ts, sum(value) AS value FROM events GROUP BY 1, 2),
@@ -196,7 +211,7 @@ m AS (SELECT series_id, part, avg(ln(1 + value)) AS a FROM w WHERE segment LIKE
   {rnd('ln(1 + value) - a', 4)} AS scaled FROM w JOIN m USING (series_id, part)""",
 )
 def many_series_encode(spark, sf):
-    return tidy(segment_values(_wide_to_daily(spark, sf), 7), 4)
+    return tidy(segment_values(_every_day(spark, sf), 7), 4)
 
 
 _STEP = "0.1::DOUBLE + h[-1] * 0.3141592653::DOUBLE + h[-7] * 0.2718281828::DOUBLE"
@@ -213,14 +228,14 @@ SELECT series_id, step::BIGINT AS step, (span.z - 7 + INTERVAL 1 DAY * step)::TI
   {rnd('exp(h[-1] + x.a) - 1', 3)} AS prediction FROM x, span WHERE step > 0""",
 )
 def many_series_recursion(spark, sf):
-    segments = segment_values(_wide_to_daily(spark, sf), 7)
+    segments = segment_values(_every_day(spark, sf), 7)
     ahead = forecast_validation(segments, [1, 7], [0.3141592653, 0.2718281828], 0.1, 7)
     return tidy(ahead.drop("log_mean"), 3)
 
 
 @query("many_series_forecast")
 def many_series_forecast(spark, sf):
-    _, scored, _ = forecast_many(_wide_to_daily(spark, sf), 7, [1, 2, 7])
+    _, scored, _ = forecast_many(_every_day(spark, sf), 7, [1, 2, 7])
     return tidy(scored.drop("log_mean"), 3)
 
 
@@ -238,5 +253,5 @@ SELECT x.series_id, x.step::BIGINT AS step, (span.z - 7 + INTERVAL 1 DAY * x.ste
 FROM span, x JOIN z ON z.series_id = x.series_id WHERE z.ts = span.z - 7 + x.step AND x.step > 0""",
 )
 def many_series_one_lag(spark, sf):
-    _, scored, _ = forecast_many(_wide_to_daily(spark, sf), 7, [1])
+    _, scored, _ = forecast_many(_every_day(spark, sf), 7, [1])
     return tidy(scored.drop("log_mean"), 3)

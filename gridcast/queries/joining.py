@@ -4,7 +4,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from gridcast.operators.align import align_full, attach, join_on, match_truth, sample_at
+from gridcast.operators.align import align_full, attach, co_located, join_on, match_truth, sample_at
 from gridcast.operators.columns import keep_equal
 from gridcast.operators.grid import bucket_sum, grid_shift, resample_mean
 from gridcast.plans.dataset import QUARTER
@@ -91,3 +91,17 @@ def match_truth_query(spark, sf):
     naive = grid_shift(hourly, {"prediction": ("value", -24)}, HOUR).dropna(subset=["prediction"])
     truth = hourly.withColumnRenamed("value", "truth")
     return tidy(match_truth(truth, naive.select("series_id", "ts", "prediction")))
+
+
+@query(
+    "align_co_located",
+    f"""WITH {GRID_15}, h AS (SELECT event_type series_id, time_bucket(INTERVAL '1 hour', ts) - INTERVAL 5 DAY ts,
+  sum(value) s FROM events GROUP BY 1, 2)
+SELECT coalesce(r.series_id, h.series_id) AS series_id, coalesce(r.ts, h.ts)::TIMESTAMP AS ts, {rnd('h.s', 4)} AS result,
+  {rnd('r.v', 4)} AS value FROM h FULL JOIN r ON h.series_id = r.series_id AND h.ts = r.ts""",
+)
+def align_co_located(spark, sf):
+    """The full alignment of two bucketed tables, which moves no rows."""
+    sums = bucket_sum(readings(spark, sf), HOUR, ["value"]).withColumnRenamed("value", "result")
+    earlier = co_located(sums.withColumn("ts", F.col("ts") - F.expr("INTERVAL 5 DAY")))
+    return tidy(align_full(earlier, co_located(resample_mean(readings(spark, sf), QUARTER, ["value"]))), 4)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _SCRATCH: set[str] = set()
+_TABLES: set[str] = set()
 
 
 def local_session(app: str = "gridcast", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -50,6 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A fresh name for a table and a path for its files; :func:`release` drops both."""
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    _TABLES.add(table)
+    return table, path
+
+
 def stored(df: DataFrame, name: str = "rows", by: str | None = None) -> DataFrame:
     """Write a table as Parquet below the shared folder and read it from there.
 
@@ -73,6 +82,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch paths given out so far; results that read them must be done."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _SCRATCH:
         discard(spark, next(iter(_SCRATCH)))
 

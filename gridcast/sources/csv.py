@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,14 +55,23 @@ def _as_latin1(name: str) -> str:
     return name.encode("euc-kr").decode("latin-1")
 
 
-def _java_charsets(spark: SparkSession) -> bool:
-    """Whether the session lets text be coded in any charset of the JVM."""
-    return spark.conf.get("spark.sql.legacy.javaCharsets", "false").lower() == "true"
+JVM_CHARSETS = "spark.sql.legacy.javaCharsets"
 
 
-def _recode(spark: SparkSession, column: str, source: str, target: str) -> Column:
-    """The text whose bytes in `target` are the given text's bytes in `source`; in Python where the JVM may not."""
-    if _java_charsets(spark):
+@contextmanager
+def _any_charset(spark: SparkSession) -> Iterator[None]:
+    """Expressions built inside may code text in any charset of the JVM; they stay so when the setting is put back."""
+    before = spark.conf.get(JVM_CHARSETS, "false")
+    spark.conf.set(JVM_CHARSETS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(JVM_CHARSETS, before)
+
+
+def _recode(column: str, source: str, target: str, in_python: bool) -> Column:
+    """The text whose bytes in `target` are the given text's bytes in `source`."""
+    if not in_python:
         return F.decode(F.encode(F.col(f"`{column}`"), source), target)
 
     @F.pandas_udf(StringType())
@@ -77,13 +87,14 @@ def read_korean_csv(
     headers: Mapping[str, str],
     schema: StructType,
     check_header: bool = True,
+    in_python: bool = False,
 ) -> DataFrame:
     """A header CSV in EUC-KR, renamed by `headers` (file header → column of `schema`).
 
     EUC-KR never uses a comma, quote or newline inside a character, so the
     bytes are split as Latin-1 (large files stay splittable) and only text
-    columns are decoded: by the JVM with `spark.sql.legacy.javaCharsets`, else in
-    Arrow batches. The header is compared with the expected one by the scan
+    columns are decoded: by the JVM, or with `in_python` in Arrow batches, where a
+    JVM lacks the charset. The header is compared with the expected one by the scan
     itself.
     """
     fields = {f.name: f for f in schema}
@@ -97,20 +108,20 @@ def read_korean_csv(
         .csv(path)
         .toDF(*headers.values())
     )
-    decoded = {
-        n: _recode(spark, n, "ISO-8859-1", "EUC-KR") for n in headers.values() if isinstance(fields[n].dataType, StringType)
-    }
-    return df.withColumns(decoded) if decoded else df
+    texts = [n for n in headers.values() if isinstance(fields[n].dataType, StringType)]
+    with _any_charset(spark):
+        return df.withColumns({n: _recode(n, "ISO-8859-1", "EUC-KR", in_python) for n in texts}) if texts else df
 
 
-def write_korean_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_korean_csv(df: DataFrame, path: str, mode: str = "errorifexists", in_python: bool = False) -> None:
     """Header CSV in EUC-KR, the form :func:`read_korean_csv` reads."""
-    encoded = df.select(
-        *[
-            (_recode(df.sparkSession, n, "EUC-KR", "ISO-8859-1") if kind == "string" else F.col(f"`{n}`")).alias(_as_latin1(n))
-            for n, kind in df.dtypes
-        ]
-    )
+    with _any_charset(df.sparkSession):
+        encoded = df.select(
+            *[
+                (_recode(n, "EUC-KR", "ISO-8859-1", in_python) if kind == "string" else F.col(f"`{n}`")).alias(_as_latin1(n))
+                for n, kind in df.dtypes
+            ]
+        )
     encoded.write.mode(mode).option("header", True).option("encoding", "ISO-8859-1").option(
         "nullValue", "NaN"
     ).csv(path)
