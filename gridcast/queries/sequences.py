@@ -11,6 +11,7 @@ from gridcast.operators.align import attach
 from gridcast.operators.analog import analog_day, day_distances
 from gridcast.operators.columns import fill_missing
 from gridcast.operators.forecast import latest_state, recursive_linear
+from gridcast.operators.frame_batches import frame_batches, frame_chunks
 from gridcast.operators.grid import calendar_ordinal, resample_mean
 from gridcast.queries.registry import GRID_HOUR, SPAN, daily_users, query, readings, readings_two, rnd, tidy
 from gridcast.queries.sampling import _number
@@ -49,6 +50,32 @@ def sliding_frames(spark, sf):
     return tidy(cut.select("series_id", "ts", F.inline(F.concat(past, ahead))))
 
 
+@query(
+    "frame_batches",
+    f"""WITH {_FILLED}, a AS (SELECT series_id, ts, i FROM f WHERE i >= 48 AND i < n - 24),
+h AS (SELECT a.series_id, a.ts, sum(h.value) AS past, sum(h.load * (h.i - a.i)) AS weighted FROM a JOIN f h ON h.series_id = a.series_id
+  AND h.i >= a.i - 48 AND h.i < a.i AND (h.i - a.i + 48) % 4 = 0 GROUP BY 1, 2),
+l AS (SELECT a.series_id, a.ts, sum(l.value * (l.i - a.i + 1)) AS ahead FROM a JOIN f l ON l.series_id = a.series_id AND l.i >= a.i AND l.i < a.i + 24 GROUP BY 1, 2)
+SELECT series_id, ts, {rnd('past', 4)} AS past, {rnd('weighted', 3)} AS weighted, {rnd('ahead', 3)} AS ahead FROM h JOIN l USING (series_id, ts)""",
+)
+def frame_batches_query(spark, sf):
+    """The batches of all frames, each frame summed up from its place in the batch."""
+    chunks = frame_chunks(hourly(spark, sf), ["value", "load"], 48, 24, HOUR)
+    batches = frame_batches(chunks, ["value", "load"], "value", 48, 24, HOUR, 32, stride=4)
+
+    def total(values, weight):
+        return F.aggregate(F.transform(values, weight), F.lit(0.0), lambda acc, x: acc + x)
+
+    def one(anchor, i):
+        x, y = F.slice("x", i * 24 + 1, F.lit(24)), F.slice("y", i * 24 + 1, F.lit(24))
+        past = total(x, lambda v, j: F.when(j % 2 == 0, v).otherwise(0.0))
+        weighted = total(x, lambda v, j: F.when(j % 2 == 1, v * (F.floor(j / 2) * 4 - 48)).otherwise(0.0))
+        return F.struct(anchor.alias("ts"), past.alias("past"), weighted.alias("weighted"), total(y, lambda v, j: v * (j + 1)).alias("ahead"))
+
+    rows = batches.select("series_id", F.inline(F.transform("anchors", one)))
+    return tidy(tidy(rows, 3).drop("past").join(tidy(rows.select("series_id", "ts", "past"), 4), ["series_id", "ts"]), 6)
+
+
 @query(
     "single_step_frames",
     f"""WITH {_FILLED}, a AS (SELECT series_id, ts, i FROM f WHERE i >= 24 AND i < n - 12 AND ts < TIMESTAMP '2024-01-25'),

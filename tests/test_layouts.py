@@ -1,16 +1,23 @@
 """Stores and layouts: what they open, what they do not move, and that rows stay the same."""
 
+import math
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridcast.operators.align import align_full, co_located, match_truth, sample_at
 from gridcast.operators.columns import slice_inclusive
+from gridcast.operators.frame_batches import frame_batches, frame_chunks
+from gridcast.operators.frames import sliding_frames
 from gridcast.plans.many_series import every_day
 from gridcast.session import release
 from gridcast.sources import csv as S
 from gridcast.sources.days import on_days, read_days, write_days
 from gridcast.sources.landing import landed_pages, read_numbered_pages
 
+HOUR = timedelta(hours=1)
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -118,3 +125,32 @@ def test_every_day_of_every_series(spark):
     assert got == {(s, d): {("a", "2024-02-28"): 2.0, ("b", "2024-03-02"): 5.0}.get((s, d), 0.0) for s in "ab" for d in want}
     assert len(made.columns) == 3 and made.schema["ts"].dataType.simpleString() == "date"
     assert every_day(days.withColumn("ts", F.to_date("ts")).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stride", [1, 3])
+def test_frame_batches_hold_the_frames(spark, stride):
+    ts = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id, 0, 0)")
+    rows = spark.range(900).where("id NOT IN (300, 301, 640)").crossJoin(spark.range(2).select(F.col("id").alias("s")))
+    rows = rows.select(F.col("s").alias("series_id"), ts.alias("ts"), (F.col("id") % 13).cast("double").alias("a"), F.when(F.col("id") % 50 != 0, F.sqrt("id") + F.col("s")).alias("b"))
+    frames = sliding_frames(rows, ["a", "b"], "b", 12, 5, HOUR, stride=stride, chunk=100)
+    want = {}
+    for r in frames.collect():
+        want[r.series_id, r.ts] = [v for h in r.history for v in (h.a, h.b)], list(r.labels)
+    chunks = frame_chunks(rows, ["a", "b"], 12, 5, HOUR, chunk=100)
+    got, plain = {}, lambda v: [None if math.isnan(x) else x for x in v]
+    for r in frame_batches(chunks, ["a", "b"], "b", 12, 5, HOUR, 7, stride, chunk=100).collect():
+        assert 0 < len(r.anchors) <= 7
+        wide = len(r.x) // len(r.anchors)
+        for i, at in enumerate(r.anchors):
+            assert (r.series_id, at) not in got
+            got[r.series_id, at] = plain(r.x[i * wide : (i + 1) * wide]), plain(r.y[i * 5 : i * 5 + 5])
+    assert got == want and len(got) > 1500
+
+
+def test_frame_chunks_are_little_more_than_the_input(spark):
+    ts = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 15 * id, 0)")
+    rows = spark.range(60_000).select(F.lit("s").alias("series_id"), ts.alias("ts"), F.rand(1).alias("v"))
+    chunks = frame_chunks(rows, ["v"], 960, 96, timedelta(minutes=15))
+    held = chunks.agg(F.sum(F.size("positions")), F.count("*")).first()
+    assert held[0] <= 1.2 * 60_000 and held[1] >= 10
+    assert frame_batches(chunks.limit(0), ["v"], "v", 960, 96, timedelta(minutes=15), 32).count() == 0
