@@ -48,6 +48,8 @@ MOST_ACROSS = 200
 #: Words that a worker remembers, twice, and the longest one remembered.
 CACHE_WORDS = 250_000
 CACHE_CHARS = 48
+#: Pairs of pieces of which a worker remembers whether one may follow the other.
+CACHE_PAIRS = 300_000
 #: Rows handed on at once.
 OUT_ROWS = 512
 
@@ -157,6 +159,8 @@ class Machine:
     def _fits(self, last: int, number: int) -> bool:
         """Whether a piece may follow another one, or -1: nothing, or bytes."""
         parts = [self.names[number]] if last < 0 else [self.names[last], self.names[number]]
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()  # in place: paths under way hold it too
         fits = self.pairs[last, number] = self.merged("".join(parts)) == parts
         return fits
 

@@ -116,3 +116,13 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id, r.back) for r in made.collect()) == sorted((i, t or "") for i, t, _ in rows)
     assert S.encoded(docs.where(F.lit(False)), MODEL).count() == 0
     assert S.decoded(spark.createDataFrame([(None,), ([],)], "ids array<int>"), MODEL).where("decoded IS NULL").count() == 1
+
+
+def test_remembered_pairs_are_bounded(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=3000)) for _ in range(6)]
+    free, held = S.Machine(MODEL), S.Machine(MODEL)
+    want = [free.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(S, "CACHE_PAIRS", 40)
+    for text, ids in zip(texts, want):
+        assert held.encode(text).tolist() == ids and len(held.pairs) <= 40 < len(free.pairs)
