@@ -42,6 +42,12 @@ HEADLINE = (
     "cart_stump",
     "direct_forecast_one_lag",
     "forecast_day_linear",
+    "early_stop_stump",
+    "recursive_stump_forecast",
+    "random_search_ridge",
+    "direct_forecast_all_steps",
+    "shuffle_epochs",
+    "frame_batches",
 )
 
 
