@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +115,29 @@ class Penalised:
     alpha: float = 0.0
     ratio: float = 0.0
 
+    def fit(self, rows: DataFrame, features: Sequence[str], label: str) -> LinearWeights:
+        """The model of these rows, from one scan."""
+        grams = gram_matrices(rows, [*features, label], [])
+        if not grams:
+            raise ValueError("no rows to fit on")
+        weights = solve(grams[()], features, [label], self)[:, 0]
+        return LinearWeights(tuple(features), tuple(weights.tolist()))
+
+
+@dataclass(frozen=True)
+class LinearWeights:
+    """A fitted linear model: the intercept, then a weight for each feature."""
+
+    features: tuple[str, ...]
+    weights: tuple[float, ...]
+
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """Adds the prediction, from the vector `features` if there is one, else from the columns themselves."""
+        if "features" in df.columns:
+            held = df.withColumn("_x", vector_to_array("features"))
+            return held.withColumn(name, linear_value(self.weights, [F.col("_x")[i] for i in range(len(self.features))])).drop("_x")
+        return df.withColumn(name, linear_value(self.weights, [missing_to_null(f) for f in self.features]))
+
 
 def slopes(covariance: np.ndarray, with_label: np.ndarray, model: Penalised) -> np.ndarray:
     """The weights for these covariances of the features, and of them with one label or several (columns)."""

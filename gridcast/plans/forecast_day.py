@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
 
+from gridcast.operators.boosting import BoostedTrees
+from gridcast.operators.gram import LinearWeights
 from gridcast.operators.models import xy_split
 from gridcast.operators.scale import minmax, minmax_inverse
 from gridcast.plans.submission import hourly_submission
 
 
 def forecast_day(
-    model: Model,
+    model: Model | BoostedTrees | LinearWeights,
     fit: DataFrame,
     day: DataFrame,
     features: Sequence[str],

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridcast.functions.timecols import ntz
 from gridcast.operators.boosting import Boosting, BoostedTrees
 from gridcast.operators.columns import cast_columns, clip_negatives, drop_holdout, fill_missing
+from gridcast.operators.gram import LinearWeights, Penalised
 from gridcast.operators.models import fit_early_stop, xy_split
 from gridcast.operators.rank import chrono_split
 from gridcast.operators.scale import fit_minmax, minmax, minmax_inverse
@@ -37,11 +38,11 @@ def fit_forecaster(
     rows: DataFrame,
     features: Sequence[str],
     label: str,
-    regressor: Estimator | Boosting,
+    regressor: Estimator | Boosting | Penalised,
     fraction: float = 0.8,
     keys: Sequence[str] = ("series_id",),
     patience: int = 30,
-) -> Model | BoostedTrees:
+) -> Model | BoostedTrees | LinearWeights:
     """Fit on the first part of each series.
 
     Boosted trees keep the rounds with the least error on the rest of the
@@ -50,6 +51,8 @@ def fit_forecaster(
     split = chrono_split(rows, fraction, keys)
     if isinstance(regressor, Boosting):
         return regressor.fit(split.withColumn("is_validation", ~F.col("is_train")), features, label, "is_validation")
+    if isinstance(regressor, Penalised):
+        return regressor.fit(split.where("is_train"), features, label)
     if isinstance(regressor, GBTRegressor):
         marked = split.withColumn("is_validation", ~F.col("is_train"))
         vectors = xy_split(marked, features, label, ["is_validation"])
@@ -60,11 +63,11 @@ def fit_forecaster(
 def fit_scaled(
     prepared: DataFrame,
     features: Sequence[str],
-    regressor: Estimator | Boosting,
+    regressor: Estimator | Boosting | Penalised,
     label: str = "result",
     holdouts: Sequence[tuple[str, str]] = (),
     keys: Sequence[str] = ("series_id",),
-) -> tuple[Model | BoostedTrees, DataFrame]:
+) -> tuple[Model | BoostedTrees | LinearWeights, DataFrame]:
     """A forecaster on min-max scaled rows, and the scaler's fit over all rows."""
     columns = [label, *features]
     fit = frozen(fit_minmax(prepared, columns))
@@ -76,11 +79,11 @@ def train_and_score(
     prepared: DataFrame,
     features: Sequence[str],
     holdouts: Sequence[tuple[str, str]],
-    regressor: Estimator | Boosting,
+    regressor: Estimator | Boosting | Penalised,
     label: str = "result",
     keys: Sequence[str] = ("series_id",),
     capacity: float | None = None,
-) -> tuple[Model | BoostedTrees, DataFrame, DataFrame]:
+) -> tuple[Model | BoostedTrees | LinearWeights, DataFrame, DataFrame]:
     """Model, hold-out predictions in the data's unit, and their errors per hold-out.
 
     The scaler is fitted on all rows. Hold-out ranges (start, end) leave

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridcast.operators.analog import in_season
 from gridcast.operators.boosting import Boosting
 from gridcast.operators.columns import fill_missing, slice_inclusive
+from gridcast.operators.gram import Penalised
 from gridcast.operators.grid import bucket_sum, resample_mean
 from gridcast.operators.models import linear
 from gridcast.plans.analog_features import analog_features
@@ -160,7 +161,7 @@ SELECT series_id, date_trunc('hour', ts)::TIMESTAMP AS ts, {rnd('sum(CASE WHEN p
 )
 def forecast_day_linear(spark, sf):
     rows = stored(prepare(_dataset(spark, sf), ["value"], whole=()), "prepared")
-    model, fit = fit_scaled(rows, ["value"], linear())
+    model, fit = fit_scaled(rows, ["value"], Penalised())
     target = hourly_profile(spark, _TARGET)
     season = hourly(spark, sf).where(in_season("ts", (1, 5), (1, 20)))
     day = analog_features(season, readings(spark, sf), target, ["value"], ["value"], [], date=31, month=7)

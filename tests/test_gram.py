@@ -160,3 +160,15 @@ def test_epochs_of_a_table(spark):
     again = {(r.number, r.epoch): (r.batch, r.slot) for r in epochs.shuffled_epochs(rows, 500, 64, 3).collect()}
     assert again == {(r.number, r.epoch): (r.batch, r.slot) for r in got}
     assert epochs.shuffled_epochs(rows.limit(0), 0, 64, 2).count() == 0
+
+
+def test_a_fitted_model_predicts_from_columns_and_vectors(spark):
+    x, y, _, rows = drawn(spark)
+    model = Penalised(0.2, 0.0).fit(rows, ["a", "b", "c"], "y")
+    b, w = plain_fit(x, y, Penalised(0.2, 0.0), 300)
+    want = b + x @ w
+    np.testing.assert_allclose([r.prediction for r in model.transform(rows).orderBy("id").collect()], want)
+    vectors = M.xy_split(rows, ["a", "b", "c"], None, ["id", "b"])
+    np.testing.assert_allclose([r.prediction for r in model.transform(vectors).orderBy("id").collect()], want)
+    with pytest.raises(ValueError):
+        Penalised().fit(rows.limit(0), ["a"], "y")
