@@ -9,12 +9,13 @@ impact, the largest that the component can add to the score, and processed from
 the largest impact down; each posting adds the segment's impact to its
 candidate's sum.
 
-After some segments, a candidate's score is at most its sum plus what the
-dimensions not yet seen can still add, and at least its sum less the width of
-the steps. With the k-th largest lower bound as the mark, candidates whose upper
-bound is below it are out: that is the proof on which processing stops, once few
-candidates remain. What remains is scored again exactly, and the exact scores
-decide. The best of all shards are merged by query.
+After some segments, all impacts still to come are at most the next one's. A
+candidate's score is therefore at most its sum, plus the next impact for every
+dimension begun in which it has not been met, plus what each dimension not begun
+can add. The k-th best score of the leaders so far, scored exactly, is the mark;
+candidates whose upper bound is below it are out: that is the proof on which
+processing stops, once few candidates remain. What remains is scored again
+exactly, and the exact scores decide. The best of all shards are merged by query.
 
 Defined cases. Null vectors and ids take no part, nor do vectors with null or
 non-finite components. Shorter vectors count as filled up with zeros. A query
@@ -39,13 +40,15 @@ from pyspark.sql import functions as F
 from gridcast.session import shuffle_partitions, stored
 
 TOP = 5
-LEVELS = 16
+LEVELS = 64
 SHARD_ROWS = 32_768
 BLOCK_ROWS = 2_048
 #: Candidates of a shard, at least, where more shards would serve more tasks.
 LEAST_ROWS = 2_048
 #: Shares of a query's segments after which the bounds are looked at.
-LOOKS = (0.3, 0.45, 0.6, 0.75, 0.9, 1.0)
+LOOKS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Leaders whose exact scores set the mark, for each of the best wanted.
+LEADERS = 4
 
 
 def integer_vector(embedding: Column, scale: int = 256) -> Column:
@@ -75,19 +78,28 @@ class Index:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         count, dims = vectors.shape
-        self.postings = np.argsort(self.vectors, axis=0, kind="stable").T.copy() if count else np.zeros((dims, 0), int)
-        dim, first, low, high = [], [], [], []
+        postings = np.argsort(self.vectors, axis=0, kind="stable").T
+        dim, first, size, low, high = [], [], [], [], []
         for d in range(dims):
-            values = self.vectors[self.postings[d], d]
+            values = self.vectors[postings[d], d]
             step = max(1, -(-(int(values[-1]) - int(values[0]) + 1) // levels))
             at = np.flatnonzero(np.r_[True, np.diff((values - values[0]) // step) > 0])
             ends = np.r_[at[1:], count]
             dim.append(np.full(len(at), d))
-            first.append(np.column_stack([at, ends]))
+            first.append(at + d * count)
+            size.append(ends - at)
             low.append(values[at])
             high.append(values[ends - 1])
-        self.dim, self.first = np.concatenate(dim), np.concatenate(first)
+        self.postings = postings.ravel()
+        self.dim, self.first, self.size = np.concatenate(dim), np.concatenate(first), np.concatenate(size)
         self.low, self.high = np.concatenate(low).astype(float), np.concatenate(high).astype(float)
+        self.read = 0.0  # share of the last query's segments that were processed
+
+    def _postings(self, segments: np.ndarray) -> np.ndarray:
+        """The candidates of the segments, one after the other."""
+        size = self.size[segments]
+        start = self.first[segments] - np.r_[0, np.cumsum(size)[:-1]]
+        return self.postings[np.repeat(start, size) + np.arange(size.sum())]
 
     def search(self, query: np.ndarray, top: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, exact scores) of the best `top`, ties to the smaller id."""
@@ -97,31 +109,37 @@ class Index:
         floor = np.full(len(query), np.inf)
         np.minimum.at(floor, self.dim, least)
         impact = most - floor[self.dim]  # what the segment adds at most, from the dimension's lowest value on
-        width = np.zeros(len(query))
-        np.maximum.at(width, self.dim, most - least)
         rounding = 1e-12 * float(np.abs(most).sum() + np.abs(least).sum())
         order = np.argsort(-impact, kind="stable")
-        count = len(self.ids)
-        sums = np.zeros(count)
-        allowed = self.ids != own
-        k = min(top, int(allowed.sum()))
+        unbegun = np.zeros(len(query))  # what dimensions not begun can add
+        np.maximum.at(unbegun, self.dim, impact)
+        begun = np.zeros(len(query), bool)
+        allowed = np.flatnonzero(self.ids != own)
+        k = min(top, len(allowed))
         if not k:
             return self.ids[:0], np.zeros(0, np.int64)
+        count = len(self.ids)
+        sums, met = np.zeros(count), np.zeros(count)
         at = 0
         for look in LOOKS:
             upto = math.ceil(look * len(order))
             part = order[at:upto]
             at = upto
             if len(part):
-                lengths = self.first[part, 1] - self.first[part, 0]
-                posts = np.concatenate([self.postings[self.dim[s], self.first[s, 0] : self.first[s, 1]] for s in part.tolist()])
-                sums += np.bincount(posts, np.repeat(impact[part], lengths), count)
-            rest = np.zeros(len(query))  # what each dimension can still add
-            np.maximum.at(rest, self.dim[order[at:]], impact[order[at:]])
-            mark = np.partition(sums[allowed], len(sums[allowed]) - k)[len(sums[allowed]) - k] - width.sum()
-            possible = np.flatnonzero(allowed & (sums + rest.sum() >= mark - 0.5 - rounding))
+                found = self._postings(part)
+                sums += np.bincount(found, np.repeat(impact[part], self.size[part]), count)
+                met += np.bincount(found, minlength=count)
+                begun[self.dim[part]] = True
+                unbegun[begun] = 0.0
+            coming = impact[order[at]] if at < len(order) else 0.0
+            upper = (sums + coming * (begun.sum() - met))[allowed] + float(unbegun.sum() + floor.sum())
+            leaders = allowed[np.argpartition(-upper, min(LEADERS * k, len(upper)) - 1)[: LEADERS * k]]
+            marks = self.vectors[leaders].astype(float) @ query.astype(float)
+            mark = np.partition(marks, len(marks) - k)[len(marks) - k]
+            possible = allowed[upper >= mark - 0.5 - rounding]
             if len(possible) <= max(8 * top, count // 32):
                 break
+        self.read = look
         exact = exact_scores(self.vectors[possible], query)
         best = np.lexsort([self.ids[possible], -exact])[:top]
         return self.ids[possible][best], exact[best]

@@ -57,6 +57,35 @@ def test_processing_stops_on_proof_and_stays_exact(monkeypatch):
     assert len(looked) < len(topk.LOOKS)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_proof_comes_early_on_dense_vectors(seed):
+    """Unit vectors without any structure, as embeddings may be: every query stops before its last segments."""
+    rng = np.random.default_rng(seed)
+    made = rng.normal(size=(3000, 48))
+    vectors = np.floor(256 * made / np.linalg.norm(made, axis=1, keepdims=True)).astype(np.int64)
+    ids = rng.permutation(len(vectors))
+    index = topk.Index(ids, vectors)
+    for own in range(0, 3000, 300):
+        query = vectors[own]
+        found, scores = index.search(query, 5, ids[own])
+        others = np.flatnonzero(ids != ids[own])
+        want = others[np.lexsort([ids[others], -(vectors[others] @ query)])[:5]]
+        assert found.tolist() == ids[want].tolist() and scores.tolist() == (vectors[want] @ query).tolist()
+        assert index.read < 1.0
+
+
+def test_zero_constant_and_opposed_vectors():
+    """Dimensions in which all are equal, queries of zeros, negative components, ties everywhere."""
+    rng = np.random.default_rng(9)
+    vectors = np.column_stack([np.full(400, 7), rng.integers(-2, 3, (400, 5)), np.zeros(400, int)]).astype(np.int64)
+    index = topk.Index(np.arange(400), vectors)
+    for query in [np.zeros(7, np.int64), -vectors[3], vectors[5] * np.array([1, -1, 1, -1, 0, 3, 9])]:
+        found, scores = index.search(query, 6, 11)
+        others = np.delete(np.arange(400), 11)
+        want = others[np.lexsort([others, -(vectors[others] @ query)])[:6]]
+        assert found.tolist() == want.tolist() and scores.tolist() == (vectors[want] @ query).tolist()
+
+
 @pytest.mark.parametrize("size", [1e3, 1e6, 1e8, 5e6])
 def test_large_components(spark, size):
     rng = random.Random(5)
