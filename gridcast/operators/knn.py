@@ -8,6 +8,13 @@ answer, so a second walk down the tree follows only nodes whose boxes come
 nearer, and the tiles it ends at are searched as well. Both walks visit a number
 of nodes that grows with the depth of the tree, not with the number of tiles. A
 tile with many queries is searched by several tasks.
+
+The tree has two levels. Its upper part, which the driver and all tasks hold, has
+a bounded number of tiles. A task cuts the tile it searches by a tree of its own
+and walks it in the same two steps, so beyond that number tiles may hold more
+rows than one comparison should read. A tile that is too long for one task is
+dealt into parts by key; each part offers its k nearest, and the nearest of all
+parts count.
 """
 
 from __future__ import annotations
@@ -27,6 +34,9 @@ LEVELS_AT_ONCE = 3
 ACCURACY = 1000
 #: Tiles that the driver and the tasks hold the tree of; some 100 bytes each. Beyond, tiles hold more rows.
 TREE_TILES = 1 << 18
+#: Training rows of a tile that one task searches, and rows in a leaf of the tree that the task makes of them.
+PART_ROWS = 1 << 19
+LEAF_ROWS = 512
 
 
 class Tree:
@@ -175,28 +185,102 @@ class Boxes:
         return self._pairs(batches, False)
 
 
-def _nearest(features: Sequence[str], label: str, key: str, k: int):
-    """The k nearest training rows of one tile for each query point of the group."""
+def _first_k(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k nearest of each query, ties to the smaller id."""
+    order = np.lexsort([ids, d, q])
+    sorted_q = q[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q) < k]
+
+
+def _compared(asked: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, row, squared distance) of the k nearest rows by comparing all rows, in blocks of queries."""
+    k_here = min(k, len(points))
+    block = max(1, 2_000_000 // max(len(points), 1))
+    out = []
+    for start in range(0, len(asked), block):
+        part = asked[start : start + block]
+        distance = np.zeros((len(part), len(points)))
+        for i in range(points.shape[1]):
+            gap = part[:, i : i + 1] - points[:, i]
+            distance += gap * gap
+        kth = np.partition(distance, k_here - 1, axis=1)[:, k_here - 1 : k_here]
+        q, t = np.nonzero(distance <= kth)
+        d = distance[q, t]
+        best = _first_k(q, d, ids[t], k)
+        out.append((q[best] + start, t[best], d[best]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+class Leaves:
+    """One task's rows, cut by medians into leaves of a tree of their own."""
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, k: int, leaf_rows: int):
+        self.points, self.ids, self.k = points, ids, k
+        wide, tree = points.shape[1], Tree()
+        self.rows: dict[int, np.ndarray] = {}
+        waiting = [(0, np.arange(len(points)), 0, 0)]
+        while waiting:
+            node, rows, f, idle = waiting.pop()
+            if len(rows) <= leaf_rows or idle == wide:
+                self.rows[node] = rows
+                continue
+            x, after = points[rows, f], (f + 1) % wide
+            cut = np.partition(x, (len(x) - 1) // 2)[(len(x) - 1) // 2]
+            if cut == x.max():
+                below = x[x < cut]
+                if not len(below):
+                    waiting.append((node, rows, after, idle + 1))
+                    continue
+                cut = below.max()
+            tree.split(node, f, [cut])
+            low = x <= cut
+            waiting += [(tree.left[node], rows[low], after, 0), (tree.right[node], rows[~low], after, 0)]
+        boxes = [
+            {"_tile": node, "_n": len(rows)}
+            | {f"_{n}{i}": g(points[rows, i]) for i in range(wide) for n, g in (("lo", np.min), ("hi", np.max))}
+            for node, rows in self.rows.items()
+        ]
+        self.boxes = Boxes(tree, boxes, [str(i) for i in range(wide)], k)
+
+    def _in_leaves(self, asked: np.ndarray, q: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(leaf, kind="stable")
+        q, leaf = q[order], leaf[order]
+        cuts = np.flatnonzero(np.r_[True, np.diff(leaf) > 0, True])
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows, own = self.rows[int(leaf[start])], q[start:end]
+            found, t, d = _compared(asked[own], self.points[rows], self.ids[rows], self.k)
+            out.append((own[found], rows[t], d))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def nearest(self, asked: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, row, squared distance) of the k nearest rows: at home first, then in leaves that come nearer."""
+        home = self.boxes._home(asked)
+        q, leaf, _ = self.boxes.tiles(asked, np.full(len(asked), np.inf), home, True)
+        at_home = self._in_leaves(asked, q, leaf)
+        best = _first_k(at_home[0], at_home[2], self.ids[at_home[1]], self.k)
+        reach = np.zeros(len(asked))
+        np.maximum.at(reach, at_home[0][best], at_home[2][best])
+        q, leaf, _ = self.boxes.tiles(asked, reach, home, False)
+        found = [np.concatenate(c) for c in zip(at_home, self._in_leaves(asked, q, leaf))]
+        best = _first_k(found[0], found[2], self.ids[found[1]], self.k)
+        return tuple(c[best] for c in found)
+
+
+def _nearest(features: Sequence[str], label: str, key: str, k: int, leaf_rows: int):
+    """The k nearest training rows of one tile, or part of one, for each query point of the group."""
 
     def search(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        train = train.sort_values(key, kind="stable")
-        points = train[list(features)].to_numpy()
+        if not len(queries) or not len(train):
+            return queries[list(features)].iloc[:0].assign(_d=0.0, _id=0, _y=0.0)
+        asked = queries[list(features)].to_numpy(dtype=float)
+        points = train[list(features)].to_numpy(dtype=float)
         ids, labels = train[key].to_numpy(), train[label].to_numpy()
-        k_here = min(k, len(train))
-        out = []
-        block = max(1, 2_000_000 // max(len(train), 1))
-        for start in range(0, len(queries), block):
-            part = queries.iloc[start : start + block]
-            distance = np.zeros((len(part), len(train)))
-            for i, f in enumerate(features):
-                gap = part[f].to_numpy()[:, None] - points[:, i]
-                distance += gap * gap
-            kth = np.partition(distance, k_here - 1, axis=1)[:, k_here - 1 : k_here]
-            q, t = np.nonzero(distance <= kth)
-            found = part[list(features)].iloc[q].assign(_d=distance[q, t], _id=ids[t], _y=labels[t])
-            found = found.assign(_q=q).sort_values(["_q", "_d", "_id"], kind="stable")
-            out.append(found.groupby("_q", sort=False).head(k).drop(columns="_q"))
-        return pd.concat(out) if out else queries[list(features)].iloc[:0].assign(_d=0.0, _id=0, _y=0.0)
+        if len(train) > 2 * leaf_rows:
+            q, t, d = Leaves(points, ids, k, leaf_rows).nearest(asked)
+        else:
+            q, t, d = _compared(asked, points, ids, k)
+        return queries[list(features)].iloc[q].assign(_d=d, _id=ids[t], _y=labels[t])
 
     return search
 
@@ -204,29 +288,37 @@ def _nearest(features: Sequence[str], label: str, key: str, k: int):
 def _search(
     pairs: DataFrame,
     tiled: DataFrame,
+    sizes: dict[int, int],
     features: list[str],
     label: str,
     key: str,
     k: int,
     queries_per_task: int,
+    part_rows: int,
 ) -> DataFrame:
-    """The k nearest of each (query point, tile) pair: features, _d, _id, _y."""
+    """The k nearest of each (query point, tile) pair, of every part of the tile: features, _d, _id, _y."""
     load = {r["_tile"]: r["n"] for r in pairs.groupBy("_tile").agg(F.count("*").alias("n")).collect()}
-    busy = [(t, -(-n // queries_per_task)) for t, n in load.items() if n > queries_per_task]
-    if busy:
-        # a tile with many queries is shared out; its training rows go to every share
-        counts = F.broadcast(pairs.sparkSession.createDataFrame(busy, "_tile int, _shares bigint"))
-        shares = F.coalesce("_shares", F.lit(1))
+    cut = [(t, -(-n // queries_per_task), -(-sizes[t] // part_rows)) for t, n in load.items()]
+    cut = [(t, shares, parts) for t, shares, parts in cut if shares > 1 or parts > 1]
+    if cut:
+        # a tile with many queries is shared out, its training rows go to every share;
+        # a tile with many rows is dealt into parts, its queries go to every part
+        counts = F.broadcast(pairs.sparkSession.createDataFrame(cut, "_tile int, _shares bigint, _parts bigint"))
+        shares, parts = F.coalesce("_shares", F.lit(1)), F.coalesce("_parts", F.lit(1))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
         pairs = pairs.join(counts, "_tile", "left").withColumn("_share", F.pmod(F.xxhash64(*features), shares))
-        tiled = tiled.join(counts, "_tile", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
-        pairs, tiled = pairs.drop("_shares"), tiled.drop("_shares")
+        tiled = tiled.join(counts, "_tile", "left").withColumn("_share", every(shares))
+        pairs, tiled = pairs.withColumn("_part", every(parts)), tiled.withColumn("_part", F.pmod(F.xxhash64(key), parts))
+        pairs, tiled = pairs.drop("_shares", "_parts"), tiled.drop("_shares", "_parts")
     else:
-        pairs, tiled = pairs.withColumn("_share", F.lit(0)), tiled.withColumn("_share", F.lit(0))
+        none = {"_share": F.lit(0), "_part": F.lit(0)}
+        pairs, tiled = pairs.withColumns(none), tiled.withColumns(none)
     columns = ", ".join(f"`{f}` double" for f in features)
+    task = ["_tile", "_share", "_part"]
     return (
-        pairs.groupBy("_tile", "_share")
-        .cogroup(tiled.groupBy("_tile", "_share"))
-        .applyInPandas(_nearest(features, label, key, k), f"{columns}, _d double, _id bigint, _y double")
+        pairs.groupBy(*task)
+        .cogroup(tiled.groupBy(*task))
+        .applyInPandas(_nearest(features, label, key, k, LEAF_ROWS), f"{columns}, _d double, _id bigint, _y double")
     )
 
 
@@ -240,6 +332,7 @@ def knn_regress(
     tile_rows: int = 4096,
     queries_per_task: int = 200_000,
     name: str = "prediction",
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Mean label of the k training rows nearest to each query row.
 
@@ -267,7 +360,11 @@ def knn_regress(
 
     asked = queries.select(*features).distinct()
     columns = ", ".join(f"`{f}` double" for f in features)
-    search = lambda pairs: _search(stored(pairs, "pairs"), tiled, features, label, key, k, queries_per_task)
+    sizes = {r["_tile"]: r["_n"] for r in boxes}
+
+    def search(pairs: DataFrame) -> DataFrame:
+        return _search(stored(pairs, "pairs"), tiled, sizes, features, label, key, k, queries_per_task, part_rows)
+
     at_home = stored(search(asked.mapInPandas(tiles.home, f"{columns}, _tile int")), "at_home")
     kth = F.element_at(F.sort_array(F.collect_list("_d")), k)
     reach = at_home.groupBy(*features).agg(F.when(F.count("*") >= k, kth).alias("_reach"))

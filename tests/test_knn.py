@@ -66,6 +66,43 @@ def test_one_feature(spark):
     assert {r["id"]: r["prediction"] for r in got.collect()} == pytest.approx(brute(train, queries, 5))
 
 
+@pytest.mark.parametrize("part_rows", [40, 10_000])
+def test_a_bounded_upper_tree_with_long_tiles_in_parts(spark, monkeypatch, part_rows):
+    """Two tiles at most in the upper tree: tasks cut them by trees of their own, and long ones are dealt into parts."""
+    monkeypatch.setattr(K, "TREE_TILES", 2)
+    monkeypatch.setattr(K, "LEAF_ROWS", 8)
+    r = np.random.default_rng(11)
+    points = np.round(np.concatenate([r.normal(0, 1, (260, 3)), np.tile([[0.5, 0.5, 0.5]], (40, 1))]), 2)
+    train = [(i, tuple(map(float, x)), float(i % 13)) for i, x in enumerate(points)]
+    queries = [(i, tuple(map(float, x))) for i, x in enumerate(np.round(r.normal(0, 1.5, (80, 3)), 2))]
+    t, q = as_frames(spark, train, [*queries, (99, (0.5, 0.5, 0.5))])
+    assert K._tiled(t, ["a", "b", "c"], 300, 8)[0].select("_tile").distinct().count() <= 8
+    got = knn_regress(t, q, ["a", "b", "c"], "y", "id", 5, tile_rows=8, queries_per_task=30, part_rows=part_rows)
+    want = brute(train, [*queries, (99, (0.5, 0.5, 0.5))], 5)
+    assert {r["id"]: r["prediction"] for r in got.collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_leaves_of_one_task_equal_comparing_all(seed):
+    r = np.random.default_rng(seed)
+    points = np.round(r.normal(0, 1, (700, 2)), 1)  # many ties
+    points[:90] = points[0]
+    ids, asked = r.permutation(700), np.round(r.normal(0, 2, (150, 2)), 1)
+    got = K.Leaves(points, ids, 7, 10).nearest(asked)
+    want = K._compared(asked, points, ids, 7)
+    assert got[0].tolist() == want[0].tolist()
+    assert ids[got[1]].tolist() == ids[want[1]].tolist() and got[2].tolist() == want[2].tolist()
+
+
+def test_a_walk_of_one_tasks_leaves_compares_few_rows(monkeypatch):
+    r = np.random.default_rng(3)
+    seen = []
+    real = K._compared
+    monkeypatch.setattr(K, "_compared", lambda a, p, i, k: seen.append(len(a) * len(p)) or real(a, p, i, k))
+    K.Leaves(r.uniform(0, 1, (100_000, 2)), np.arange(100_000), 5, 128).nearest(r.uniform(0, 1, (200, 2)))
+    assert sum(seen) < 200 * 100_000 / 50
+
+
 def test_fewer_rows_than_neighbours(spark):
     t, q = as_frames(spark, [(1, (0.0, 0.0, 0.0), 2.0), (2, (9.0, 9.0, 9.0), 4.0)], [(1, (1.0, 1.0, 1.0))])
     assert knn_regress(t, q, ["a", "b", "c"], "y", "id").first()["prediction"] == 3.0
