@@ -43,10 +43,11 @@ TOP = 5
 LEVELS = 64
 SHARD_ROWS = 32_768
 BLOCK_ROWS = 2_048
-#: Candidates of a shard, at least, where more shards would serve more tasks.
-LEAST_ROWS = 2_048
+#: Candidates of a shard and queries of a block, at least, where more of them would serve more tasks.
+LEAST_ROWS = 8_192
+LEAST_ASKED = 256
 #: Shares of a query's segments after which the bounds are looked at.
-LOOKS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+LOOKS = (0.3, 0.45, 0.6, 0.7, 0.8, 0.9, 1.0)
 #: Leaders whose exact scores set the mark, for each of the best wanted.
 LEADERS = 4
 
@@ -193,9 +194,9 @@ def top_k(
     rows = stored(rows.where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").distinct(), "vectors")
     queries = rows.where(is_query)
     count, asked = rows.count(), queries.count()
-    blocks = max(1, math.ceil(asked / block_rows))
     tasks = 2 * shuffle_partitions(vectors.sparkSession)
-    shards = max(1, math.ceil(count / shard_rows), min(math.ceil(tasks / blocks), count // LEAST_ROWS))
+    shards = max(1, math.ceil(count / shard_rows), min(tasks, count // LEAST_ROWS))
+    blocks = max(1, math.ceil(asked / block_rows), min(math.ceil(tasks / shards), asked // LEAST_ASKED))
 
     def part(number: int, salt: str) -> Column:
         return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(number)).cast("int")
